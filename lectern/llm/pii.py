@@ -49,7 +49,7 @@ KINDS = (
     Kind("ip", 1, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.7, r"(?i)\bip\b|address|host|server|login", "."),
     Kind("card", 2, r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){13,}+", 0.9, r"(?i)card|visa|master|credit|debit|payment", ""),
     Kind("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", 0.8, r"(?i)phone|\btel|call|mobile|fax", "+"),
-    Kind("iban", 4, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.9, r"(?i)iban|account|bank|konto|compte|cuenta", "", base=False),
+    Kind("iban", 4, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", 0.9, r"(?i)iban|account|bank|konto|compte|cuenta", "", base=False),
     Kind("phone", 3, r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])", 0.3, r"(?i)phone|\btel|call|mobile|fax", "", base=False),
     Kind("card", 2, r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12}+(?![\x20-]?[0-9])", 0.3, r"(?i)card|visa|master|credit|debit|payment", "", base=False),
 )
