@@ -34,16 +34,19 @@ def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key:
     return children.join(parents, children[child_key] == parents[parent_key], "left_anti")
 
 
-def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Gapless numbers from 1 in the order of a column, without one task for
-    all rows: ranges are sorted apart and their counts added up."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is never coalesced, so both passes agree
-    parted = rows.repartitionByRange(parts, F.col(order)).withColumn("_part", F.spark_partition_id())
+def numbered(rows: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
+    """Gapless numbers from 1 in the order of a numeric column, without one
+    task for all rows: quantiles give ranges, whose counts are added up; rows
+    are numbered inside their range."""
+    fractions = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(rows.agg(F.percentile_approx(order, fractions, 1000)).first()[0] or []))
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    parted = rows.withColumn("_part", part)
     counts = {r[0]: r[1] for r in parted.groupBy("_part").count().collect()}
     before, total = {}, 0
-    for part in sorted(counts):
-        before[part] = total
-        total += counts[part]
-    offset = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part")), F.lit(0)) if before else F.lit(0)
+    for i in sorted(counts):
+        before[i] = total
+        total += counts[i]
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part")) if before else F.lit(0)
     own = Window.partitionBy("_part").orderBy(order)
     return parted.withColumn(name, (F.row_number().over(own) + offset).cast("long")).drop("_part")
