@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.common import small_batches
+
 SYMBOLS = "#*$%&|<>"
 BREAKS = " \t\n\x0b\x0c\r"
 #: Number of values of each categorical feature of a line.
@@ -288,6 +290,7 @@ def score_documents(docs: DataFrame, field: LineField, least_share: float = 0.5)
                 made = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(f.name for f in RESULT)])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -305,4 +308,5 @@ def filter_documents(docs: DataFrame, field: LineField, least_share: float = 0.5
             for part in parts(batch):
                 yield part.filter(pa.array([judge(t, field, least_share)[-1] for t in part.column(at).to_pylist()], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

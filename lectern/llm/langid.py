@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import small_batches
+
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 CACHE = 200_000
@@ -144,4 +146,5 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = given.drop("_lx_text").schema.add("lang_pred", "string").add("score", "double")
+    small_batches(docs.sparkSession)
     return given.mapInArrow(run, schema)

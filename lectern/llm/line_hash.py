@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, small_batches
 
 UNITS = "doc_id long, line_no long, start long, stop long, n_words long, high long, low long, text_key long"
 NULL_ID = -(2**63)
@@ -59,6 +59,7 @@ def line_units(docs: DataFrame, min_words: int) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, UNITS)
 
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, small_batches
 
 #: Fixed values of the formats: frame magics and the record version.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -43,6 +43,10 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 EPOCH = "1970-01-01T00:00:00Z"
+#: Bytes that the decoder is handed at once.
+STEP = 1 << 16
+#: Repeated payloads up to which their list goes to all executors: 60 bytes each.
+BROADCAST_PAYLOADS = 100_000
 
 RECORDS = "archive string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
 
@@ -76,7 +80,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("sha", F.sha1("payload"))
     # only payloads that occur twice or more; the sums of each task come first, so a hot payload is one row a task
     groups = rows.groupBy("sha").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(groups, "sha", "left").select("page_id", "url", "payload", F.when(F.coalesce(F.col("page_id") < F.col("first"), F.col("first").isNotNull() & F.col("page_id").isNull()), F.col("first")).alias("refers_to"))
+    groups = cut(groups, "payloads")
+    small = groups.limit(BROADCAST_PAYLOADS + 1).count() <= BROADCAST_PAYLOADS
+    return rows.join(F.broadcast(groups) if small else groups, "sha", "left").select("page_id", "url", "payload", F.when(F.coalesce(F.col("page_id") < F.col("first"), F.col("first").isNotNull() & F.col("page_id").isNull()), F.col("first")).alias("refers_to"))
 
 
 def train_dictionary(pages: DataFrame, rows: int = 200, size: int = 16_384) -> bytes:
@@ -114,6 +120,7 @@ def write_archives(pages: DataFrame, dictionary: bytes, archive_bytes: int = 4 <
         if held:
             yield out()
 
+    small_batches(pages.sparkSession)
     return with_revisits(pages).mapInArrow(run, "path string, content binary")
 
 
@@ -139,12 +146,14 @@ def frames_of(content: bytes) -> Iterator[bytes]:
             continue
         if magic != FRAME:
             raise ValueError(f"no frame at byte {at}")
-        one = reader.decompressobj()
-        made = one.decompress(view[at:])
+        one, made, to = reader.decompressobj(), [], at
+        while not one.eof and to < len(content):
+            made.append(one.decompress(view[to : to + STEP]))
+            to = min(to + STEP, len(content))
         if not one.eof:
             raise ValueError(f"the frame at byte {at} is cut off")
-        at = len(content) - len(one.unused_data)
-        yield made
+        at = to - len(one.unused_data)
+        yield b"".join(made)
 
 
 def parse(raw: bytes) -> dict:

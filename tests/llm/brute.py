@@ -150,7 +150,7 @@ def line_edits(docs, min_chars=20):
 
 def repeated_lines(docs, min_words=20):
     first, out = {}, []
-    for d, text in sorted(docs):
+    for d, text in sorted(docs, key=lambda r: (r[0], r[1] or "")):
         at = 0
         for i, line in enumerate((text or "").split("\n")):
             w = words(line.lower())
