@@ -88,8 +88,10 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 def train_dictionary(pages: DataFrame, rows: int = 200, size: int = 16_384) -> bytes:
     """From the payloads of `rows` pages, those first by a hash of the id, at
     most 64 KB of each; empty if they are too few to learn from."""
-    sample = pages.where("html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id").limit(rows).select(F.substring("html", 1, 65_536)).collect()
-    texts = [r[0].encode("utf-8", "surrogatepass") for r in sample]
+    # ids first: each task sends its best `rows` ids to the driver, not their pages
+    ids = [r[0] for r in pages.where("page_id IS NOT NULL AND html IS NOT NULL").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(rows).collect()]
+    sample = pages.where(F.col("page_id").isin(ids)).select("page_id", F.substring("html", 1, 65_536).alias("html")).dropDuplicates(["page_id"]).collect() if ids else []
+    texts = [r.html.encode("utf-8", "surrogatepass") for r in sorted(sample, key=lambda r: ids.index(r.page_id)) if r.html]
     if len(texts) < 16 or sum(map(len, texts)) < 8 * size:
         return b""
     return zstandard.train_dictionary(size, texts).as_bytes()
