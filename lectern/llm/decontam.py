@@ -17,7 +17,7 @@ spread out and joined to the anchors, and Spark picks the join.
 Defined results: null and empty texts have no words and are not contaminated;
 items without words are ignored; rows that are equal in id and text get equal
 results; items that share an item_id count as one.  Extra columns stay in
-`remove_hits`.  An empty benchmark hits nothing; an empty table gives an empty
+`remove_documents`.  An empty benchmark hits nothing; an empty table gives an empty
 result.
 """
 
@@ -29,10 +29,12 @@ from pyspark.sql.window import Window
 
 from lectern.llm.common import cut
 
-#: Words of lower-cased text: ASCII letters and digits, and all that is not ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What is no word in lower-cased text: all of ASCII but letters and digits.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ANCHORS = 20_000
+#: Contaminated documents up to which their list goes to all executors: 16 bytes each.
+BROADCAST_DOCUMENTS = 200_000
 GRAM = 3
 
 
@@ -43,7 +45,8 @@ def lower_ascii(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    # what lies between words, split off: faster than to extract the words
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def anchors_of(benchmark: DataFrame, width: int) -> DataFrame:
@@ -66,41 +69,54 @@ def anchors_of(benchmark: DataFrame, width: int) -> DataFrame:
     return picked.select("item_id", "words", "need", "at", F.slice("words", F.col("at") + 1, F.col("size")).alias("gram"))
 
 
-def hashed(gram: Column) -> Column:
-    return F.xxhash64(gram)
+def hashed(words: list[Column]) -> Column:
+    """Of the words of a gram; missing ones (null) add nothing."""
+    return F.xxhash64(*words)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
-    """doc_id, key (of the text), item_id, first, last (places of the first
-    and last hit word, from 0): one row for each stretch."""
-    anchors = cut(anchors_of(benchmark, width).withColumn("hash", hashed(F.col("gram"))), "anchors")
+def scan(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Documents as (doc_id, key, n_words, places), places being an array of
+    (at, near): where an anchor may begin and the words around it.  With it
+    the anchors, and whether they are few enough to be sent to all tasks."""
+    gram = [F.try_element_at("gram", F.lit(k + 1)) for k in range(GRAM)]
+    anchors = cut(anchors_of(benchmark, width).withColumn("hash", hashed(gram)), "anchors")
     small = anchors.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
     reach = width - 1
-    sizes = range(1, GRAM + 1)
-    probe = None
-    if small:
-        known = anchors.select(F.element_at("gram", 1).alias("first"), "hash", F.size("gram").alias("size")).distinct().collect()
-        firsts = sorted({r.first for r in known}) or [""]
-        by_size = {k: sorted({r.hash for r in known if r.size == k}) for k in sizes}
-
-        def probe(w: Column, i: Column) -> Column:
-            own = [hashed(F.slice(w, i + 1, k)).isin(by_size[k]) for k in sizes if by_size[k]]
-            return F.element_at(w, i + 1).isin(firsts) & _any(own or [F.lit(False)])
-
-    def scan(w: Column) -> Column:
+    known = anchors.select(F.element_at("gram", 1).alias("first"), "hash", F.size("gram").alias("size")).distinct().collect() if small else []
+    firsts = sorted({r.first for r in known}) or [""]
+    by_size = {k: sorted({r.hash for r in known if r.size == k}) for k in range(1, GRAM + 1)}
+
+    def probe(w: Column, i: Column) -> Column:
+        # single elements: slice() copies the whole array
+        own = [hashed(probed(w, i, k)).isin(by_size[k]) for k in by_size if by_size[k]]
+        return F.element_at(w, i + 1).isin(firsts) & _any(own or [F.lit(False)])
+
+    def look(w: Column) -> Column:
         # w is bound by transform(), so the text is taken apart once a row
         n = F.size(w)
         places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        if probe:
+        if small:
             places = F.filter(places, lambda i: probe(w, i))
         near = F.transform(places, lambda i: F.struct(i.alias("at"), F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + 1 + reach).alias("near")))
-        return near
+        return F.struct(n.cast("long").alias("n_words"), near.alias("places"))
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.transform(F.array(words_of(F.col("text"))), look)).alias("x")).select("doc_id", "key", "x.n_words", "x.places")
+    # one scan serves both the counts and the hits
+    return cut(rows, "scanned") if small else rows, anchors, small
+
 
-    found = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.flatten(F.transform(F.array(words_of(F.col("text"))), scan))).alias("p"))
-    spread = found.select("doc_id", "key", F.col("p.at").alias("place"), F.col("p.near").alias("near"))
+def probed(w: Column, i: Column, size: int) -> list[Column]:
+    return [F.try_element_at(w, i + k + 1) for k in range(size)]
+
+
+def hits(scanned: DataFrame, anchors: DataFrame, small: bool, width: int) -> DataFrame:
+    """doc_id, key, item_id, first, last (places of the first and last hit
+    word, from 0): one row for each stretch."""
+    reach = width - 1
+    spread = scanned.select("doc_id", "key", F.explode("places").alias("p")).select("doc_id", "key", F.col("p.at").alias("place"), F.col("p.near").alias("near"))
     # near[mid] is the word at place
     spread = spread.withColumn("mid", F.least("place", F.lit(reach)))
-    grams = spread.withColumn("probe", F.explode(F.array_distinct(F.array(*[hashed(F.slice("near", F.col("mid") + 1, k)) for k in sizes]))))
+    grams = spread.withColumn("probe", F.explode(F.array_distinct(F.array(*[hashed(probed(F.col("near"), F.col("mid"), k)) for k in range(1, GRAM + 1)]))))
     side = F.broadcast(anchors) if small else anchors
     pairs = grams.join(side, F.col("probe") == F.col("hash"))
     same = lambda step: F.element_at(F.col("near"), F.col("mid") + step + 1) == F.element_at(F.col("words"), F.col("at") + step + 1)
@@ -127,10 +143,10 @@ def _run(most: Column, same, start: int) -> Column:  # noqa: ANN001
     return F.when(F.size(breaks) > 0, F.element_at(breaks, 1) - start).otherwise(most)
 
 
-def count_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
+def count_hits(scanned: DataFrame, anchors: DataFrame, small: bool, width: int) -> DataFrame:
     """doc_id, key, n_hit, items: one row for each document that is hit."""
-    found = hits(docs, benchmark, width).distinct()
-    # stretches that overlap or touch make one: a new one starts where first is beyond all earlier ends
+    found = hits(scanned, anchors, small, width).distinct()
+    # stretches that overlap or touch make one: what lies beyond all earlier ends is new
     before = Window.partitionBy("doc_id", "key").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("last").over(before), F.lit(-1))
     new = F.greatest(F.col("last") - F.greatest(F.col("first") - 1, reached), F.lit(0))
@@ -138,11 +154,12 @@ def count_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFr
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: tuple[int, int] = (1, 20)) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, contaminated for each row."""
-    found = count_hits(docs, benchmark, width)
-    own = docs.select(F.col("doc_id").alias("_lx_id"), F.xxhash64("text").alias("_lx_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    out = own.join(found, own["_lx_id"].eqNullSafe(found["doc_id"]) & (own["_lx_key"] == found["key"]), "left")
-    return out.select(F.col("_lx_id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).withColumns({
+    """doc_id, key, n_words, n_hit, n_items, items, contaminated for each row."""
+    scanned, anchors, small = scan(docs, benchmark, width)
+    found = count_hits(scanned, anchors, small, width).withColumnsRenamed({"doc_id": "_lx_id", "key": "_lx_key"})
+    own = scanned.select("doc_id", "key", "n_words")
+    out = own.join(found, own["doc_id"].eqNullSafe(found["_lx_id"]) & (own["key"] == found["_lx_key"]), "left")
+    return out.select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).withColumns({
         "n_items": F.size("items").cast("long"),
         "contaminated": (F.col("n_hit") > 0) & (F.col("n_hit") * share[1] >= F.col("n_words") * share[0]),
     })
@@ -150,9 +167,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: tuple[int, int] = (1, 20)) -> DataFrame:
     """The rows of `docs` that are not contaminated."""
-    found = count_hits(docs, benchmark, width)
-    own = docs.withColumns({"_lx_key": F.xxhash64("text")})
-    bad = found.select(F.col("doc_id").alias("_lx_id"), F.col("key").alias("_lx_of"), F.col("n_hit").alias("_lx_hit"))
-    marked = own.join(bad, own["doc_id"].eqNullSafe(bad["_lx_id"]) & (own["_lx_key"] == bad["_lx_of"]), "left")
-    n_words = F.when(F.col("_lx_hit").isNotNull(), F.size(words_of(F.col("text"))))
-    return marked.where(F.col("_lx_hit").isNull() | (F.col("_lx_hit") * share[1] < n_words * share[0])).select(*[own[c] for c in docs.columns])
+    found = contamination(docs, benchmark, width, share).where("contaminated").select(F.col("doc_id").alias("_lx_id"), F.col("key").alias("_lx_of")).distinct()
+    bad = cut(found, "contaminated")
+    few = bad.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS
+    side = F.broadcast(bad) if few else bad
+    own = docs.withColumn("_lx_key", F.xxhash64("text"))
+    return own.join(side, own["doc_id"].eqNullSafe(bad["_lx_id"]) & (own["_lx_key"] == bad["_lx_of"]), "left_anti").select(*docs.columns)
