@@ -37,9 +37,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, small_batches
 from lectern.llm.components import components
 
 BITS = 2048
@@ -49,28 +49,29 @@ BROADCAST_IDS = 200_000
 BREAKS = np.uint64(0x9E3779B97F4A7C15)
 
 
+class WordHashes(dict):
+    """Hashes of words, made when a word is first seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Hashed shingle sets of texts; words are hashed once."""
 
     def __init__(self, width: int) -> None:
         self.width = width
-        self.cache: dict[bytes, int] = {}
+        self.cache = WordHashes()
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes."""
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.zeros(0, dtype=np.uint64)
-        cache, hashed = self.cache, xxhash.xxh3_64_intdigest
-        if len(cache) > 400_000:
-            cache.clear()
-        ids = []
-        for w in words:
-            h = cache.get(w)
-            if h is None:
-                h = cache[w] = hashed(w)
-            ids.append(h)
-        seq = np.array(ids, dtype=np.uint64)
+        if len(self.cache) > 400_000:
+            self.cache.clear()
+        seq = np.fromiter(map(self.cache.__getitem__, words), dtype=np.uint64, count=len(words))
         width = min(self.width, len(words))
         n = len(words) - width + 1
         out = np.full(n, width, dtype=np.uint64)
@@ -182,9 +183,10 @@ class Tree:
         return tuple(x[i] for x in self.levels[level])
 
 
-def walk(one: Tree, two: Tree, num: int, den: int) -> Iterator[tuple[int, int]]:
+def walk(one: Tree, two: Tree, num: int, den: int) -> Iterator[tuple[int, int, float]]:
     """Places (in the trees' input) of pairs that may link and are of
-    different components.  one and two may be the same tree."""
+    different components, with their greatest overlap by their sizes.  one and
+    two may be the same tree."""
     same = one is two
     stack = [(len(one.levels) - 1, 0, len(two.levels) - 1, 0)]
     while stack:
@@ -209,50 +211,128 @@ def walk(one: Tree, two: Tree, num: int, den: int) -> Iterator[tuple[int, int]]:
             stack.extend((la, i, lb - 1, y) for y in range(int(b[0]), int(b[1])))
 
 
-def leaves(one: Tree, two: Tree, a0: int, a1: int, b0: int, b1: int, same: bool, num: int, den: int) -> Iterator[tuple[int, int]]:
+def leaves(one: Tree, two: Tree, a0: int, a1: int, b0: int, b1: int, same: bool, num: int, den: int) -> Iterator[tuple[int, int, float]]:
     n, m = one.n[a0:a1, None], two.n[None, b0:b1]
     x, y = one.sig[a0:a1, None, :], two.sig[None, b0:b1, :]
     most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=2).astype(np.int64), m - np.bitwise_count(y & ~x).sum(axis=2).astype(np.int64))
     fit = (most * (num + den) >= num * (n + m)) & (one.comp[a0:a1, None] != two.comp[None, b0:b1])
     if same and a0 == b0:
         fit &= np.arange(a0, a1)[:, None] < np.arange(b0, b1)[None, :]
+    share = most / (n + m)
     for i, j in zip(*np.nonzero(fit), strict=True):
-        yield int(one.order[a0 + i]), int(two.order[b0 + j])
+        yield int(one.order[a0 + i]), int(two.order[b0 + j]), float(share[i, j])
+
+
+#: Columns of candidates: group, a, b, their components, greatest overlap by size.
+Candidates = list[tuple[int, int, int, int, int, float]]
 
 
-def search_group(rows: pa.Table, first: int, second: int, num: int, den: int) -> set[tuple[int, int]]:
+def search_group(rows: pa.Table, group: int, first: int, second: int, num: int, den: int) -> Candidates:
     """rows: kid, comp, n, sig, part of one group or pair of blocks."""
     part = rows["part"].to_numpy()
     kid, comp, n = rows["kid"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
     sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
     if first == second:
-        tree = Tree(n, comp, sig)
-        found = ((kid[i], kid[j]) for i, j in walk(tree, tree, num, den))
+        a = b = np.arange(len(kid))
+        one = two = Tree(n, comp, sig)
     else:
         a, b = np.nonzero(part == first)[0], np.nonzero(part == second)[0]
         if not len(a) or not len(b):
-            return set()
+            return []
         one, two = Tree(n[a], comp[a], sig[a]), Tree(n[b], comp[b], sig[b])
-        found = ((kid[a[i]], kid[b[j]]) for i, j in walk(one, two, num, den))
-    return {(int(min(p)), int(max(p))) for p in found if p[0] != p[1]}
-
-
-def tree_pairs(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    return [(group, int(kid[a[i]]), int(kid[b[j]]), int(comp[a[i]]), int(comp[b[j]]), share) for i, j, share in walk(one, two, num, den)]
+
+
+def forest(found: Candidates) -> Candidates:
+    """Of each group, the likeliest candidates that join its components
+    without a circle."""
+    root: dict[tuple[int, int], int] = {}
+
+    def find(group: int, x: int) -> int:
+        while (up := root.get((group, x), x)) != x:
+            root[group, x] = root.get((group, up), up)
+            x = up
+        return x
+
+    out = []
+    for row in sorted(found, key=lambda r: (-r[5], r[1], r[2])):
+        x, y = find(row[0], row[3]), find(row[0], row[4])
+        if x != y:
+            root[row[0], x] = y
+            out.append(row)
+    return out
+
+
+def small_groups(rows: dict[str, np.ndarray], num: int, den: int) -> Candidates:
+    """Pairs that may link in groups of up to LEAF rows, all groups at once:
+    each row against the next, the second next and so on of its group."""
+    out: Candidates = []
+    group, n, comp, sig, kid = rows["group"], rows["n"], rows["comp"], rows["sig"], rows["kid"]
+    for step in range(1, LEAF):
+        i = np.nonzero(group[step:] == group[:-step])[0] if len(group) > step else np.zeros(0, dtype=np.int64)
+        if not len(i):
+            break
+        j = i + step
+        fit = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+        i, j = i[fit], j[fit]
+        for at in range(0, len(i), 20_000):
+            p, q = i[at : at + 20_000], j[at : at + 20_000]
+            x, y = sig[p], sig[q]
+            most = np.minimum(n[p] - np.bitwise_count(x & ~y).sum(axis=1).astype(np.int64), n[q] - np.bitwise_count(y & ~x).sum(axis=1).astype(np.int64))
+            good = most * (num + den) >= num * (n[p] + n[q])
+            p, q, share = p[good], q[good], (most[good] / (n[p[good]] + n[q[good]]))
+            out += zip(group[p].tolist(), kid[p].tolist(), kid[q].tolist(), comp[p].tolist(), comp[q].tolist(), share.tolist(), strict=True)
+    return out
+
+
+def tree_pairs(rows: DataFrame, num: int, den: int, block: int, every: bool) -> DataFrame:
     """rows: token, df, kid, comp, n, sig.  Pairs that may link, of different
-    components, from groups by token; large groups as pairs of blocks."""
+    components, from groups by token; large groups as pairs of blocks.  Not
+    `every`: of each group only what would join its components, the likeliest
+    first."""
     parts = F.ceil(F.col("df") / F.lit(float(block))).cast("int")
     own = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("kid"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     spread = own.select("token", "kid", "comp", "n", "sig", "part", other)
+    key = ["token", "first", "second"]
     keyed = spread.select("token", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "kid", "comp", "n", "sig", "part")
+    dealt = keyed.repartition(*key).sortWithinPartitions(*key)
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        """table: whole groups."""
+        keys = [table[c].to_numpy() for c in key]
+        new = np.ones(table.num_rows, dtype=bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        group = np.cumsum(new) - 1
+        starts = np.append(np.nonzero(new)[0], table.num_rows)
+        sizes = np.diff(starts)
+        pairs: Candidates = []
+        for g in np.nonzero((sizes > LEAF) | (keys[1][starts[:-1]] != keys[2][starts[:-1]]))[0]:
+            at = int(starts[g])
+            own = search_group(table.slice(at, int(sizes[g])), int(g), int(keys[1][at]), int(keys[2][at]), num, den)
+            pairs += own if every else forest(own)
+        few = (sizes[group] <= LEAF) & (keys[1] == keys[2])
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+        own = small_groups({"group": group[few], "sig": sig[few]} | {c: table[c].to_numpy().astype(np.int64)[few] for c in ("n", "comp", "kid")}, num, den)
+        rows = sorted({(min(r[1:3]), max(r[1:3])) for r in pairs + (own if every else forest(own)) if r[1] != r[2]})
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    def run(table: pa.Table) -> pa.Table:
-        if table.num_rows < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        pairs = sorted(search_group(table, table["first"][0].as_py(), table["second"][0].as_py(), num, den))
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            # the last group may go on in the next batch
+            last = [table[c][-1].as_py() for c in key]
+            open_ = np.logical_and.reduce([table[c].to_numpy() == v for c, v in zip(key, last, strict=True)])
+            at = int(np.argmax(open_))
+            if at >= 20_000 or (at and table.num_rows - at > LEAF):
+                yield found(table.slice(0, at))
+                held = table.slice(at).to_batches()
+        if held:
+            yield found(pa.Table.from_batches(held).combine_chunks())
 
-    return keyed.groupBy("token", "first", "second").applyInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -263,25 +343,28 @@ def rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, block: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of `docs`."""
+    small_batches(docs.sparkSession)
     rows = cut(prefixes(docs, width, num, den), "prefixes")
     own = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low_doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = cut(own.withColumn("kid", F.monotonically_increasing_id()), "nodes")
 
     # 1. shingles that two sets have in their prefixes
-    tokens = nodes.select("kid", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = nodes.select("kid", F.explode("prefix").alias("token"))
     twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = cut(tokens.join(twice, "token"), "shared")
     n = F.col("n")
     least = _ceil_share(n, num, den)
     asked = F.greatest(F.lit(1), F.floor(least / F.lit(20)).cast("int"))
-    counted = shared.groupBy("kid", "n").agg(F.count(F.lit(1)).alias("n_shared")).where(F.col("n_shared") >= asked)
+    counted = shared.groupBy("kid").agg(F.count(F.lit(1)).alias("n_shared")).join(nodes.select("kid", "low_doc", "k1", "k2", "n"), "kid").where(F.col("n_shared") >= asked)
     length = n - least + F.greatest(F.lit(1), F.floor(n / F.lit(20)).cast("int"))
-    left = cut(counted.select("kid", (F.col("n_shared") / length).alias("central")).join(nodes.select("kid", "low_doc", "k1", "k2", "n"), "kid"), "left")
+    left = cut(counted.select("kid", "low_doc", "k1", "k2", "n", (F.col("n_shared") / length).alias("central")), "left")
     if left.isEmpty():
         return result(rows, nodes.select("k1", "k2", F.col("low_doc").alias("component")))
     sets = cut(whole_sets(docs, left.select("kid", "low_doc", "k1", "k2"), width), "sets")
-    # one shared shingle is enough from here on, and only among those that are left
-    groups = cut(shared.join(left.select("kid", "central"), "kid").where(F.col("pos") <= n - least).select("token", "kid", "n", "central"), "groups")
+    # a pair shares l of these shingles, so each set may leave out its l - 1 most frequent ones and the pair's rarest stays
+    often = Window.partitionBy("kid").orderBy(F.desc("df"), F.desc("token"))
+    rare = shared.join(left.select("kid", "n", "central"), "kid").withColumn("place", F.row_number().over(often)).where(F.col("place") >= asked)
+    groups = cut(rare.select("token", "kid", "n", "central"), "groups")
 
     # 2. stars: the most central set of a group against the others, for each set's three rarest groups
     middle = F.struct("central", "n", "kid")
@@ -292,14 +375,19 @@ def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     edges = cut(linked(pairs, sets, num, den), "star-edges")
     comps = cut(rooted(left.select("kid"), edges), "star-components")
 
-    # 3. trees over the groups that hold several components
-    held = groups.join(comps, "kid")
-    mixed = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("df")).where("low <> high").select("token", "df")
-    search = held.join(mixed, "token").select("token", "df", "kid", "comp").join(sets.select("kid", "n", "sig"), "kid")
-    more = cut(tree_pairs(search, num, den, block).distinct(), "tree-pairs")
-    # 4. by the whole sets
-    edges = cut(edges.unionByName(linked(more, sets, num, den)), "edges")
-    comps = rooted(left.select("kid"), edges)
+    # 3. trees over the groups that hold several components: twice only what would join them, then all that is left
+    for step in range(3):
+        held = groups.join(comps, "kid")
+        mixed = cut(held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("kid").alias("a"), F.max("kid").alias("b"), F.count(F.lit(1)).alias("df")).where("low <> high"), "mixed")
+        search = held.join(mixed.where("df > 2").select("token", "df"), "token").select("token", "df", "kid", "comp").join(sets.select("kid", "n", "sig"), "kid")
+        more = tree_pairs(search, num, den, block, every=step == 2)
+        if not step:  # a group of two is a pair as it stands
+            more = more.unionByName(mixed.where("df = 2").select("a", "b"))
+        # 4. by the whole sets
+        new = cut(linked(cut(more.distinct(), "tree-pairs"), sets, num, den), "new-edges")
+        if not new.isEmpty():
+            edges = edges.unionByName(new)
+            comps = cut(rooted(left.select("kid"), edges), "components")
     roots = nodes.select("kid", "k1", "k2", "low_doc").join(comps, "kid", "left").select("k1", "k2", "low_doc", F.coalesce("comp", "kid").alias("comp"))
     lows = roots.groupBy("comp").agg(F.min("low_doc").alias("component"))
     return result(rows, roots.join(lows, "comp").select("k1", "k2", "component"))

@@ -248,8 +248,8 @@ def test_language(spark):
 def test_jaccard_components(spark, docs, monkeypatch):
     rng = random.Random(7)
     base = [t for _, t in docs[:6]]
-    rows = docs + [(5000 + d, t) for d, t in EDGES if d is not None]
-    for i in range(150):
+    rows = docs[:120] + [(5000 + d, t) for d, t in EDGES if d is not None]
+    for i in range(120):
         w = base[i % 3].split(" ")
         for _ in range(rng.randrange(12)):
             w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
@@ -279,7 +279,7 @@ def test_trees_find_all_links():
         n = np.array([len(s) for s in sets])
         sig = np.frombuffer(b"".join(map(signature_tree.signature, sets)), dtype=np.uint64).reshape(len(sets), -1)
         tree = signature_tree.Tree(n, np.arange(len(sets)), sig)
-        found = {tuple(sorted(p)) for p in signature_tree.walk(tree, tree, num, den)}
+        found = {tuple(sorted(p[:2])) for p in signature_tree.walk(tree, tree, num, den)}
         for i in range(len(sets)):
             for j in range(i):
                 both = len(np.intersect1d(sets[i], sets[j]))
