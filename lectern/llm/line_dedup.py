@@ -1,28 +1,25 @@
-"""Line dedup by deletion neighbourhoods, for an edit bound of one character.
+"""Line dedup by blocks, for an edit bound that grows with a line's length.
 DataFrame functions only.
 
-Two lines within one edit become equal when one character is deleted from one
-of them or from both, at the same place.  So with all single deletions of a
-line as hashed keys, lines that lose the same character position of the same
-rest are substitutions of each other, and a line that equals another's rest is
-one insertion away.  Each such class points to its earliest line; nothing else
-of a class is paired, so a class of any size costs as much as it has rows.
-
-Emitting every deletion of every line would cost the square of a line's
-length, so keys come in three steps, each only for what shares a key of the
-step before, and each losing no pair:
-
-1. the first and the last half of a line (one of the two is without the edit);
-2. a line without one block of about sqrt(length) characters;
-3. a line without one character of such a block.
-
-The edit distance to the line pointed to is then verified on the texts.  Of
-all lines within the bound, itself included, the one with the smallest
-(doc_id, line_no) is a line's earliest; a line that is not its own earliest
-goes.
-
-Lines are compared as they are, but for white space at the end; lines under
-`min_chars` are left alone.
+Two lines are near copies when their edit distance is at most `edit_bound` of
+the shorter one: one edit for each `per_edit` characters, at least one and at
+most `edits`.  A line with k edits has one of k + 1 separate blocks whole: the
+j-th (from 0) such that j edits lie before it and at most k - j after it.  So
+the block is found within j places of where it stands from the left, or within
+k - j of where it stands from the right.  Each line gives its own blocks, and
+what stands at these places of it as a partner of lines as long or slightly
+shorter; for k = 4 that is 5 and 13 hashed keys, whatever the length.  Blocks
+are as wide for all lines of a class of lengths.
+
+A line is compared with the earliest of each key it shares first.  Only where
+an earlier one than what that found could be left are the others of the key
+compared.  The edit distance is then verified on the texts.  Of all lines
+within the bound, itself included, the one with the smallest (doc_id, line_no)
+is a line's earliest; a line that is not its own earliest goes.
+
+Lines are compared as they are, but for blanks at the end.  Lines under
+`min_chars` are left alone, or with `short_copies` compared for equality only;
+empty lines are always left alone.
 
 Defined results: null and empty texts have no lines; a null doc_id ranks
 before all others; rows that share the smallest (doc_id, line_no) all stay, so
@@ -54,90 +51,93 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def half_keys(line: Column) -> Column:
-    """The first and last h characters, for h half the length and half the
-    length of a line shorter by one: partners share one h."""
-    n = F.length(line)
-    halves = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
-    return F.flatten(F.transform(halves, lambda h: F.array(F.xxhash64(h, F.lit(0), F.substring(line, 1, h)), F.xxhash64(h, F.lit(1), F.right(line, h)))))
+def edit_bound(n: Column, edits: int, per_edit: int) -> Column:
+    return F.least(F.lit(edits), F.greatest(F.lit(1), F.floor(n / per_edit).cast("int")))
 
 
-def block_size(n: Column) -> Column:
-    return F.greatest(F.lit(8), F.floor(F.sqrt(n)).cast("int"))
+def length_class(n: Column, edits: int, per_edit: int) -> Column:
+    """k (the bound), low (n rounded down to a quarter of its power of two)
+    and w (the width of k + 1 blocks of low)."""
+    step = F.greatest(F.lit(1), F.pow(F.lit(2), F.length(F.bin(n)) - 3).cast("int"))
+    k, low = edit_bound(n, edits, per_edit), n - n % step
+    return F.struct(k.alias("k"), low.alias("low"), F.floor(low / (k + 1)).cast("int").alias("w"))
 
 
-def block_rows(lines: DataFrame) -> DataFrame:
-    """key, h1, kind (0 the line itself, 1 with one deletion), m (length of
-    the rest), j (block), mid (block, with the character to delete), head and
-    tail hashes."""
-    line, n = F.col("line"), F.length("line")
+def block_keys(line: Column, c: Column, shifted: bool) -> Column:
+    """Hashes of the blocks of class c: the first half of them by their place
+    from the left, the others from the right; with `shifted` of all places
+    where they can stand in a partner."""
+    k, w, n = c["k"], c["w"], F.length(line)
+
+    def places(j: Column) -> Column:
+        left = j * 2 <= k
+        far = F.when(left, j).otherwise(k - j) if shifted else F.lit(0)
+        at = F.when(left, j * w).otherwise(n - (k - j + 1) * w)
+        return F.transform(F.sequence(-far, far), lambda x: F.xxhash64(k, c["low"], j, F.substring(line, at + x + 1, w)))
 
-    def blocks(kind: int) -> Column:
-        # of the rest: its length sets the blocks, so that both lines of a pair agree on them
-        m = n - kind
-        b = block_size(m)
-        return F.transform(
-            F.sequence(F.lit(0), F.floor(m / b).cast("int")),
-            lambda j: F.struct(F.lit(kind).alias("kind"), m.alias("m"), b.alias("b"), j.alias("j"), F.xxhash64(F.substring(line, F.lit(1), j * b)).alias("head"), F.substring(line, j * b + 1, b + kind).alias("mid"), F.xxhash64(F.substring(line, j * b + b + kind + 1, n)).alias("tail")),
-        )
+    return F.flatten(F.transform(F.sequence(F.lit(0), k), places))
 
-    rows = lines.select("h1", "h2", "first", F.explode(F.concat(blocks(0), blocks(1))).alias("x")).select("h1", "h2", "first", "x.*")
-    return rows.withColumn("key", F.xxhash64("m", "j", "head", "tail"))
 
+def key_rows(texts: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """key, h1, moved (false: a block of the line itself)."""
+    line, n = F.col("line"), F.length("line")
+    shorter = F.sequence(F.greatest(F.lit(1), n - edit_bound(n, edits, per_edit)), n)
+    classes = F.array_distinct(F.transform(shorter, lambda m: length_class(m, edits, per_edit)))
+    own = F.transform(F.array(length_class(n, edits, per_edit)), lambda c: block_keys(line, c, False))
+    partner = F.transform(classes, lambda c: block_keys(line, c, True))
+
+    def as_rows(keys: Column, moved: bool) -> Column:
+        return F.transform(F.array_distinct(F.flatten(keys)), lambda key: F.struct(key.alias("key"), F.lit(moved).alias("moved")))
 
-def rest_rows(blocks: DataFrame) -> DataFrame:
-    """rest (hash of a line with at most one character gone), at (its place,
-    -1 if none), h1, h2, first."""
-    base = [F.col(c) for c in ("m", "j", "head", "tail")]
-    whole = F.array(F.struct(F.xxhash64(*base, "mid").alias("rest"), F.lit(-1).alias("at")))
-    gone = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.least(F.col("b"), F.length("mid")) - 1, F.lit(0))),
-        lambda o: F.struct(F.xxhash64(*base, F.concat(F.substring(F.col("mid"), F.lit(1), o), F.substring(F.col("mid"), o + 2, F.length("mid")))).alias("rest"), (F.col("j") * F.col("b") + o).alias("at")),
-    )
-    rows = blocks.where((F.col("kind") == 0) | (F.length("mid") > 0))
-    return rows.select("h1", "h2", "first", F.explode(F.when(F.col("kind") == 0, whole).otherwise(gone)).alias("x")).select("h1", "h2", "first", "x.*")
+    return texts.select("h1", F.explode(F.concat(as_rows(own, False), as_rows(partner, True))).alias("x")).select("x.key", "h1", "x.moved")
 
 
-def shared_only(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key different lines have."""
-    twice = rows.groupBy(key).agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select(key)
-    return rows.join(twice, key, "left_semi")
+def verified(pairs: DataFrame, texts: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """first, and the smallest `to` within the bound, of pairs (first, to)."""
+    one = texts.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "line")
+    two = texts.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("line").alias("other"))
+    rows = pairs.select("first", "to", F.col("first.h1").alias("f1"), F.col("first.h2").alias("f2"), F.col("to.h1").alias("t1"), F.col("to.h2").alias("t2"))
+    rows = rows.join(one, ["f1", "f2"]).join(two, ["t1", "t2"]).withColumn("bound", edit_bound(F.least(F.length("line"), F.length("other")), edits, per_edit))
+    return rows.where("levenshtein(line, other, bound) >= 0").groupBy("first").agg(F.min("to").alias("to"))
 
 
-def earliest_lines(docs: DataFrame, min_chars: int = 20) -> tuple[DataFrame, DataFrame]:
+def earliest_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1, per_edit: int = 40, short_copies: bool = False) -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, line_no, h1, h2), and by (h1, h2) the earliest line
-    within one edit, for lines that are not unique."""
-    every = lines_of(docs, min_chars)
-    lines = cut(every.select("doc_id", "line_no", "h1", "h2", half_keys(F.col("line")).alias("halves")), "lines")
-    mark = F.struct(*[F.col("p.id").alias("id"), F.col("p.no").alias("no")], "h1", "h2")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place()).alias("p"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
-    distinct = cut(distinct.select("h1", "h2", mark.alias("first"), "n", "halves"), "distinct-lines")
-    # step 1
-    near = cut(shared_only(distinct.select("h1", "h2", F.explode("halves").alias("half")), "half").select("h1", "h2").distinct(), "near-lines")
+    within the bound, for lines that are not unique."""
+    every = lines_of(docs, 1 if short_copies else min_chars)
+    lines = cut(every.select("doc_id", "line_no", "h1", "h2"), "lines")
+    distinct = lines.groupBy("h1", "h2").agg(F.min(place()).alias("p"), F.count(F.lit(1)).alias("n"))
+    distinct = cut(distinct.select("h1", "h2", F.struct(F.col("p.id").alias("id"), F.col("p.no").alias("no"), "h1", "h2").alias("first"), "n"), "distinct-lines")
+    # what different lines share
+    long = every.where(F.length("line") >= min_chars)
+    once = long.groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    of_key = Window.partitionBy("key")
+    rows = key_rows(once, edits, per_edit).select("*", F.min("h1").over(of_key).alias("low"), F.max("h1").over(of_key).alias("high"), F.min("moved").over(of_key).alias("all_moved"))
+    rows = cut(rows.where("low <> high AND NOT all_moved").select("key", "h1", "moved"), "shared-keys")
+    near = cut(rows.select("h1").distinct(), "near-lines")
     small = near.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    texts = every.select("line", "h1", "h2").join(F.broadcast(near) if small else near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    texts = long.select("line", "h1", "h2").join(F.broadcast(near) if small else near, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     texts = cut(texts.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "near-texts")
-    # step 2
-    blocks = cut(shared_only(block_rows(texts), "key"), "shared-blocks")
-    # step 3
-    rests = rest_rows(blocks)
-    substituted = F.min(F.when(F.col("at") >= 0, F.col("first"))).over(Window.partitionBy("rest", "at"))
-    own = F.min(F.when(F.col("at") < 0, F.col("first"))).over(Window.partitionBy("rest"))
-    longer = F.min(F.when(F.col("at") >= 0, F.col("first"))).over(Window.partitionBy("rest"))
-    pointed = rests.select("h1", "h2", "first", F.when(F.col("at") < 0, longer).otherwise(F.least(substituted, own)).alias("to"))
-    links = pointed.where("to IS NOT NULL AND to < first").groupBy("h1", "h2").agg(F.collect_set("to").alias("all")).select("h1", "h2", F.explode("all").alias("to"))
-    # the edit distance, on the texts
-    one, two = texts.select("h1", "h2", "line"), texts.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("line").alias("other"))
-    checked = links.select("h1", "h2", "to", F.col("to.h1").alias("t1"), F.col("to.h2").alias("t2")).join(one, ["h1", "h2"]).join(two, ["t1", "t2"])
-    good = checked.where(F.levenshtein("line", "other", 1) >= 0).groupBy("h1", "h2").agg(F.min("to").alias("to"))
-    found = distinct.select("h1", "h2", "first", "n").join(good, ["h1", "h2"], "left").where("n > 1 OR to IS NOT NULL")
+    # the earliest of each key
+    rows = rows.join(texts.select("h1", "first", F.length("line").alias("n")), "h1")
+    own, partner = F.min(F.when(~F.col("moved"), F.col("first"))).over(of_key), F.min(F.when(F.col("moved"), F.col("first"))).over(of_key)
+    rows = cut(rows.select("key", "moved", "first", "n", F.when(F.col("moved"), own).otherwise(partner).alias("to")), "keys")
+    good = cut(verified(rows.where("to < first").select("first", "to").distinct(), texts, edits, per_edit), "first-links")
+    # the others of a key that has one before what was found
+    open_rows = rows.join(good.withColumnRenamed("to", "found"), "first", "left").withColumn("found", F.coalesce("found", "first")).where("to < found")
+    others = rows.select("key", F.col("moved").alias("as"), F.col("first").alias("other"), F.col("n").alias("m"))
+    left = open_rows.join(others, "key").where((F.col("as") != F.col("moved")) & (F.col("other") > F.col("to")) & (F.col("other") < F.col("found")))
+    left = left.where(F.abs(F.col("n") - F.col("m")) <= edit_bound(F.least("n", "m"), edits, per_edit)).select("first", F.col("other").alias("to")).distinct()
+    good = good.unionByName(verified(left, texts, edits, per_edit)).groupBy("first").agg(F.min("to").alias("to"))
+    good = good.select(F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2"), "to")
+    found = distinct.join(good, ["h1", "h2"], "left").where("n > 1 OR to IS NOT NULL")
     return lines, found.select("h1", "h2", F.least("first", "to").alias("keep"))
 
 
-def near_repeated_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+def near_repeated_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1, per_edit: int = 40, short_copies: bool = False) -> DataFrame:
     """The lines that go: doc_id, line_no, and the line that stays for it as
     keep_doc_id and keep_line_no."""
-    lines, found = earliest_lines(docs, min_chars)
+    lines, found = earliest_lines(docs, min_chars, edits, per_edit, short_copies)
     out = lines.select("doc_id", "line_no", "h1", "h2").join(found, ["h1", "h2"])
     out = out.where(place() > F.struct(F.col("keep.id").alias("id"), F.col("keep.no").alias("no")))
     return out.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.nullif(F.col("keep.id"), F.lit(NULL_ID)).alias("keep_doc_id"), F.col("keep.no").cast("long").alias("keep_line_no"))

@@ -45,7 +45,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.near_repeated_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.near_repeated_lines(table(spark, sf_dir, "documents"), edits=4, short_copies=True)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from lectern.llm import crf_quality, decontam, langid, line_dedup, line_hash, mixing, pii, queries, signature_tree, splitters, warc
@@ -191,6 +192,37 @@ def test_line_edits(spark, docs):
     same(line_dedup.near_repeated_lines(frame(spark, long)).collect(), [(2, 0, 1, 0), (3, 0, 1, 0)])
 
 
+def test_line_edits_grow_with_length(spark, docs):
+    rng = random.Random(7)
+    bound = lambda n: min(4, max(1, n // 40))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    base = [x.rstrip(" ") for _, t in docs[:60] for x in t.split("\n") if len(x) >= 170]
+    rows = []
+    for i in range(60):
+        line = base[i % 3][: (24, 45, 79, 83, 125, 160, 167)[i % 7]].rstrip(" ")
+        for _ in range(rng.randrange(6)):
+            at, how = rng.randrange(len(line) + 1), rng.randrange(3)
+            line = line[:at] + ("q" if how else "") + line[at + (how < 2) :]
+        rows.append((i, f"{line}\nOn.\n\n"))
+    lines = sorted((d, i, x) for d, t in rows for i, x in enumerate(t.split("\n")) if x)
+    wanted = []
+    for d, i, x in lines:
+        near = lambda y, x=x: x == y or (min(len(x), len(y)) >= 20 and sum((Counter(x) - Counter(y)).values()) <= 4 >= sum((Counter(y) - Counter(x)).values()) and distance(x, y) <= bound(min(len(x), len(y))))
+        first = next((e, j) for e, j, y in lines if near(y))
+        if first < (d, i):
+            wanted.append((d, i, *first))
+    assert len([w for w in wanted if w[1] == 0]) > 10 and len([w for w in wanted if w[1] == 1]) == 59
+    same(line_dedup.near_repeated_lines(frame(spark, rows), edits=4, short_copies=True).collect(), wanted)
+
+
 def test_repeated_lines(spark, docs):
     rows = docs + [e for e in EDGES if e[0] is not None]
     same(line_hash.repeated_lines(frame(spark, rows)).drop("text_key").collect(), brute.repeated_lines(rows))
