@@ -342,10 +342,16 @@ def rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, block: int = 4096) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of `docs`."""
+    """doc_id, text_key, n_shingles, component_id of each row of `docs`."""
+    return component_rows(docs, width, num, den, block).drop("stays")
+
+
+def component_rows(docs: DataFrame, width: int, num: int, den: int, block: int = 4096) -> DataFrame:
+    """`link_components`, with stays, the `rank` of a component's first row
+    (null for rows without words)."""
     small_batches(docs.sparkSession)
     rows = cut(prefixes(docs, width, num, den), "prefixes")
-    own = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low_doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    own = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low_doc"), F.min(rank()).alias("low_row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = cut(own.withColumn("kid", F.monotonically_increasing_id()), "nodes")
 
     # 1. shingles that two sets have in their prefixes
@@ -359,7 +365,7 @@ def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     length = n - least + F.greatest(F.lit(1), F.floor(n / F.lit(20)).cast("int"))
     left = cut(counted.select("kid", "low_doc", "k1", "k2", "n", (F.col("n_shared") / length).alias("central")), "left")
     if left.isEmpty():
-        return result(rows, nodes.select("k1", "k2", F.col("low_doc").alias("component")))
+        return result(rows, nodes.select("k1", "k2", F.col("low_doc").alias("component"), F.col("low_row").alias("stays")))
     sets = cut(whole_sets(docs, left.select("kid", "low_doc", "k1", "k2"), width), "sets")
     # a pair shares l of these shingles, so each set may leave out its l - 1 most frequent ones and the pair's rarest stays
     often = Window.partitionBy("kid").orderBy(F.desc("df"), F.desc("token"))
@@ -388,9 +394,14 @@ def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
         if not new.isEmpty():
             edges = edges.unionByName(new)
             comps = cut(rooted(left.select("kid"), edges), "components")
-    roots = nodes.select("kid", "k1", "k2", "low_doc").join(comps, "kid", "left").select("k1", "k2", "low_doc", F.coalesce("comp", "kid").alias("comp"))
-    lows = roots.groupBy("comp").agg(F.min("low_doc").alias("component"))
-    return result(rows, roots.join(lows, "comp").select("k1", "k2", "component"))
+    roots = nodes.select("kid", "k1", "k2", "low_doc", "low_row").join(comps, "kid", "left").select("k1", "k2", "low_doc", "low_row", F.coalesce("comp", "kid").alias("comp"))
+    lows = roots.groupBy("comp").agg(F.min("low_doc").alias("component"), F.min("low_row").alias("stays"))
+    return result(rows, roots.join(lows, "comp").select("k1", "k2", "component", "stays"))
+
+
+def rank() -> Column:
+    """Rows in the order in which they stay: by id, null last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
 
 
 def _ceil_share(n: Column, num: int, den: int) -> Column:
@@ -401,16 +412,17 @@ def _ceil_share(n: Column, num: int, den: int) -> Column:
 
 def result(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Sets back to rows; a row without words is its own component."""
-    found = rows.where("n > 0").join(keys, ["k1", "k2"], "left").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
-    return found.unionByName(rows.where("n = 0").select("doc_id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    found = rows.where("n > 0").join(keys, ["k1", "k2"], "left").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), "stays")
+    return found.unionByName(rows.where("n = 0").select("doc_id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast(found.schema["stays"].dataType).alias("stays")))
 
 
 def drop_linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """`docs` with one row of each component: that with the smallest doc_id;
-    of rows equal in id and text one."""
-    found = cut(link_components(docs, width, num, den), "components")
+    """`docs` with one row of each component: that with the smallest doc_id
+    (null last), then the smallest text key; of rows equal in both one.  Rows
+    without words all stay."""
+    found = cut(component_rows(docs, width, num, den), "components").withColumn("is_first", rank().eqNullSafe(F.col("stays")))
     key = [F.col("doc_id").alias("_lx_id"), F.col("text_key").alias("_lx_key")]
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()
+    gone = found.where((F.col("n_shingles") > 0) & ~F.col("is_first")).select(*key).distinct()
     rows = docs.withColumn("_lx_text", F.xxhash64("text"))
 
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -419,7 +431,7 @@ def drop_linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
         return left.join(side, left["doc_id"].cast("long").eqNullSafe(right["_lx_id"]) & left["_lx_text"].eqNullSafe(right["_lx_key"]), how)
 
     kept = joined(rows, gone, "left_anti")
-    again = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(*key).agg(F.count(F.lit(1)).alias("often")).where("often > 1").select("_lx_id", "_lx_key")
+    again = found.where("is_first").groupBy(*key).agg(F.count(F.lit(1)).alias("often")).where("often > 1").select("_lx_id", "_lx_key")
     if not again.isEmpty():
         kept = joined(kept, again, "left_anti").unionByName(joined(kept, again, "left_semi").dropDuplicates(["doc_id", "_lx_text"]))
     return kept.select(*docs.columns)

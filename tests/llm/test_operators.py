@@ -296,6 +296,17 @@ def test_jaccard_components(spark, docs, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted({d for d, n, c in brute.jaccard_components(rows, 5, 80) if d == c})
 
 
+def test_one_row_of_each_component_stays(spark):
+    other = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, BASE), (None, BASE + " today"), (None, BASE + " today"), (7, other), (7, other + " more"), (8, other + " again")]
+    third = " ".join(f"thing{i}" for i in range(40))
+    rows += [(7, third), (None, third + " more"), (9, third + " again"), (None, ""), (None, None)]
+    kept = [(r.doc_id, r.text) for r in signature_tree.drop_linked(frame(spark, rows)).collect()]
+    assert sorted((d or 0, (t or "")[:5]) for d, t in kept) == [(0, ""), (0, ""), (0, BASE[:5]), (7, "thing"), (7, "word0")]
+    alone = [(None, other), (None, other), (None, third)]
+    assert sorted(r.text for r in signature_tree.drop_linked(frame(spark, alone)).collect()) == sorted([other, third])
+
+
 def test_trees_find_all_links():
     import numpy as np
 
