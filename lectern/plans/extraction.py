@@ -129,7 +129,8 @@ def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_quality_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return varied(spark, sf_dir).select("doc_id", X.quality_score(F.col("text")).alias("score"))
+    """All terms, over whole texts as they are."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.quality_score(F.col("text")).alias("score"))
 
 
 WORDS = r"len(regexp_extract_all(text, '[^\s\p{Z}\x0b\x1c-\x1f\x85]+'))"

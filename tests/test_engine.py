@@ -220,3 +220,13 @@ def test_average_hash(spark):
     assert vectors.average_hash(grey) == "f0f0f0f0f0f0f0f"
     rows = spark.createDataFrame([(1, 16, 16, bytearray(grey.astype(np.uint8).tobytes()))], "id long, width int, height int, pixels binary")
     assert vectors.image_hashes(rows).first().hash == "f0f0f0f0f0f0f0f"
+
+
+def test_quality_of_whole_texts(spark, tmp_path):
+    from lectern.plans import extraction
+
+    clean = "A plain sentence of several words, which ends here. " * 4
+    rows = [(i, clean) for i in range(8)] + [(i + 8, clean + X.ARTIFACTS[0]) for i in range(8)] + [(i + 16, "") for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    score = {r.doc_id: r.score for r in extraction.text_quality_full(spark, str(tmp_path)).collect()}
+    assert [score[i] for i in range(24)] == [100] * 8 + [95] * 8 + [0] * 8
