@@ -1,96 +1,158 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing of lines and passages.
 
-Every line of at least `min_words` words is normalised (lower case, runs of
-white space as one blank, ends stripped) and hashed; digests are grouped over
-all documents; the occurrence with the smallest (doc_id, start) stays and all
-others go.  Offsets are code points of the original text, end exclusive,
-without the line break.
+The words of a text (lower case) are cut into units: a unit ends after a word
+with a full stop, question or exclamation mark, or after one of about one word
+in eight, picked by the word's own MD5, so that where units end depends on the
+words alone and never on line breaks or on what stands around a passage.  Two
+kinds of blocks are hashed:
 
-Lines under `min_words` words repeat by chance and as plain headers and
-footers; they are left alone.
+* passages: from the start of each unit (or line, or the text) on as many
+  units as make `least_words` words or more, or what the text has left if that
+  is as much;
+* lines of `line_words` words or more.
 
-Defined results: null and empty texts have no lines; a null doc_id ranks
+Digests are grouped over all documents; the occurrence with the smallest
+(doc_id, start) stays and all others go.  Blocks that go and overlap or touch
+are one span.  Offsets are code points of the original text, end exclusive.
+
+Of a passage that two texts share, what lies before its first unit and after
+its last stays, so a passage is found if it has `least_words` words besides
+those; most passages of 50 words have.  Blocks that are shorter repeat by
+chance and as plain headers and footers; they are left alone.
+
+Defined results: null and empty texts have no words; a null doc_id ranks
 before all others; rows that share both the smallest doc_id and the start all
-keep the line, so repeated rows fare alike.  Extra columns stay in
-`remove_repeats`.  An empty table gives an empty result.
+keep the block, so repeated rows fare alike; rows equal in id and text are
+listed once.  Extra columns stay in `remove_repeats`.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.llm.common import cut, small_batches
 
-UNITS = "doc_id long, line_no long, start long, stop long, n_words long, high long, low long, text_key long"
+UNITS = "doc_id long, text_key long, start long, stop long, first_word int, last_word int, high long, low long"
 NULL_ID = -(2**63)
-
-
-def units_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """line_no, start, stop, n_words and the digest of each line that counts."""
-    at = 0
-    for i, line in enumerate(text.split("\n")):
-        words = line.lower().encode("utf-8", "surrogatepass").split()
-        if len(words) >= max(1, min_words):
-            yield i, at, at + len(line), len(words), *struct.unpack("<qq", hashlib.md5(b" ".join(words)).digest())
-        at += len(line) + 1
-
-
-def line_units(docs: DataFrame, min_words: int) -> DataFrame:
-    types = [pa.int64()] * 8
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LEAST_WORDS, LINE_WORDS = 30, 20
+
+
+class Ends(dict):
+    """Whether a unit ends after a word, kept when a word is first seen."""
+
+    def __missing__(self, word: bytes) -> bool:
+        if len(self) >= 100_000:
+            self.clear()
+        found = self[word] = word[-1:] in b".!?" or hashlib.md5(word).digest()[0] < 32
+        return found
+
+
+def lowered(text: str) -> str:
+    """Lower case, code point by code point where the whole would get longer."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def blocks_of(text: str, ends: Ends, least_words: int, line_words: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """start, stop, first word, last word (exclusive) and digest of each block."""
+    low = lowered(text)
+    words = low.encode("utf-8", "surrogatepass").split()
+    n = len(words)
+    if not n:
+        return
+    lines = [0, *accumulate(len(x.encode("utf-8", "surrogatepass").split()) for x in low.split("\n"))]
+    cuts = [i for i, w in enumerate(words, 1) if ends[w]]
+    found = {(a, b) for a, b in zip(lines, lines[1:], strict=False) if b - a >= max(1, line_words)}
+    for a in {0, *cuts, *lines}:
+        if n - a >= least_words:
+            at = bisect_left(cuts, a + least_words)
+            found.add((a, cuts[at] if at < len(cuts) else n))
+    if found:
+        spans = [m.span() for m in WORDS.finditer(text)]
+        joined, at = b" ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
+        for a, b in sorted(found):
+            yield spans[a][0], spans[b - 1][1], a, b, *struct.unpack("<qq", hashlib.md5(joined[at[a] : at[b] - 1]).digest())
+
+
+def hashed_blocks(docs: DataFrame, least_words: int, line_words: int) -> DataFrame:
+    """UNITS of each row."""
+    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()] * 2
     names = [x.split()[0] for x in UNITS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, held = Ends(), []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
         for batch in batches:
-            held: list[tuple] = []
-            for doc_id, text in zip(*batch.columns, strict=True):
-                doc_id, text = doc_id.as_py(), text.as_py()
-                if text:
-                    key = struct.unpack("<q", hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:8])[0]
-                    held += [(doc_id, *u, key) for u in units_of(text, min_words)]
+            for doc_id, key, text in zip(*batch.columns, strict=True):
+                if text := text.as_py():
+                    lead = (doc_id.as_py(), key.as_py())
+                    held += [(*lead, *block) for block in blocks_of(text, ends, least_words, line_words)]
                 if len(held) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names)
+                    yield out()
                     held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names)
+        if held:
+            yield out()
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, UNITS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, UNITS)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
-    """The lines that go: doc_id, line_no, start, stop, n_words, and the
-    occurrence that stays as first_doc_id and first_start."""
-    units = cut(line_units(docs, min_words), "line-units")
-    # a hot line is one row for each task before it is shuffled; the join below only has lines that repeat, and its hot keys can be split
-    firsts = units.groupBy("high", "low").agg(F.min(F.struct(*place_columns(), "doc_id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+def repeated_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """The blocks that go: UNITS without the digest, and the occurrence that
+    stays as first_doc_id and first_start."""
+    units = cut(hashed_blocks(docs, least_words, line_words), "blocks")
+    # a hot block is one row for each task before it is shuffled; the join below only has blocks that repeat, and its hot keys can be split
+    place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("start"), "doc_id")
+    firsts = units.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = units.join(firsts, ["high", "low"])
     later = (F.coalesce("doc_id", F.lit(NULL_ID)) != F.col("first.id")) | (F.col("start") != F.col("first.start"))
-    return found.where(later).select("doc_id", "line_no", "start", "stop", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "text_key")
-
-
-def place_columns() -> list:
-    return [F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("start")]
-
-
-def remove_repeats(docs: DataFrame, min_words: int = 20) -> DataFrame:
-    """`docs` without the lines that go, and with removed, an array of their
+    return found.where(later).drop("high", "low").select("*", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")).drop("first")
+
+
+def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """The spans that go: doc_id, text_key, start, stop, n_words, n_blocks and
+    what stays for the first block in it as first_doc_id and first_start."""
+    of_text = Window.partitionBy("doc_id", "text_key").orderBy("first_word", "last_word")
+    before = of_text.rowsBetween(Window.unboundedPreceding, -1)
+    rows = repeated_blocks(docs, least_words, line_words).distinct()
+    rows = rows.withColumn("opens", (F.col("first_word") > F.coalesce(F.max("last_word").over(before), F.lit(-1))).cast("int"))
+    rows = rows.withColumn("span", F.sum("opens").over(of_text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = rows.groupBy("doc_id", "text_key", "span").agg(
+        F.min("start").alias("start"),
+        F.max("stop").alias("stop"),
+        (F.max("last_word") - F.min("first_word")).cast("long").alias("n_words"),
+        F.count(F.lit(1)).alias("n_blocks"),
+        F.min(F.struct("first_word", "last_word", "first_doc_id", "first_start")).alias("lead"),
+    )
+    return merged.select("doc_id", "text_key", "start", "stop", "n_words", "n_blocks", "lead.first_doc_id", "lead.first_start")
+
+
+def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """`docs` without the spans that go, and with removed, an array of their
     (start, stop) in the original text."""
-    gone = repeated_lines(docs, min_words).groupBy(F.col("doc_id").alias("_lx_id"), "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_lx_gone")).withColumnRenamed("text_key", "_lx_key")
-
-    @F.udf("long")
-    def key_of(text):  # noqa: ANN001, ANN202
-        return struct.unpack("<q", hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:8])[0] if text else None
-
+    span = F.struct("start", "stop")
+    gone = repeated_spans(docs, least_words, line_words).groupBy(F.col("doc_id").alias("_lx_id"), F.col("text_key").alias("_lx_key")).agg(F.array_sort(F.collect_list(span)).alias("_lx_gone"))
     own = [c for c in docs.columns if c.lower() != "removed"]
-    rows = docs.select(*own).withColumn("_lx_own", key_of("text"))
+    rows = docs.select(*own).withColumn("_lx_own", F.xxhash64("text"))
     rows = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["_lx_id"]) & (rows["_lx_own"] == gone["_lx_key"]), "left")
-    # what is left between the spans that go, each with its line break
     spans = F.coalesce("_lx_gone", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
-    kept = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("out"), (s["stop"] + 1).alias("at")), lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
+    # what is left lies before the first span, between two of them and after the last
+    opens = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["stop"]))
+    closes = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length("text").cast("long")))
+    kept = F.array_join(F.zip_with(opens, closes, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))), "")
     return rows.select(*[F.when(F.size(spans) > 0, kept).otherwise(F.col("text")).alias("text") if c == "text" else rows[c] for c in own], spans.alias("removed"))

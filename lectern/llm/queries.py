@@ -53,7 +53,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_hash.repeated_lines(table(spark, sf_dir, "documents")).drop("text_key")
+    return line_hash.repeated_spans(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,17 +148,52 @@ def line_edits(docs, min_chars=20):
     return out
 
 
-def repeated_lines(docs, min_words=20):
+def passage_blocks(text, least_words=30, line_words=20):
+    """(first word, last word) of what is hashed, by the rules one by one."""
+    w = words(text.lower())
+    ends = [i + 1 for i, x in enumerate(w) if x[-1] in ".!?" or hashlib.md5(x.encode()).hexdigest()[0] in "01"]
+    lines, n = [], 0
+    for line in text.split("\n"):
+        k = len(words(line))
+        if k:
+            lines.append((n, n + k))
+        n += k
+    out = {x for x in lines if x[1] - x[0] >= line_words}
+    for i in {0} | {i for i in ends if i < n} | {a for a, _ in lines}:
+        last = [e for e in ends if e >= i + least_words]
+        if n - i >= least_words:
+            out.add((i, last[0] if last else n))
+    return sorted(out)
+
+
+def repeated_spans(docs, least_words=30, line_words=20):
+    """docs with different ids, none null.  The spans that go."""
     first, out = {}, []
-    for d, text in sorted(docs, key=lambda r: (r[0], r[1] or "")):
-        at = 0
-        for i, line in enumerate((text or "").split("\n")):
-            w = words(line.lower())
-            if len(w) >= min_words:
-                place = first.setdefault(" ".join(w), (d, at))
-                if place != (d, at):
-                    out.append((d, i, at, at + len(line), len(w), *place))
-            at += len(line) + 1
+    for d, text in sorted(docs, key=lambda r: r[0]):
+        text = text or ""
+        w = words(text.lower())
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        held = []
+        for a, b in passage_blocks(text, least_words, line_words):
+            place = first.setdefault(" ".join(w[a:b]), (d, spans[a][0]))
+            if place != (d, spans[a][0]):
+                if held and a <= held[-1][1]:
+                    held[-1][1] = max(b, held[-1][1])
+                    held[-1][2] += 1
+                else:
+                    held.append([a, b, 1, place])
+        out += [(d, spans[a][0], spans[b - 1][1], b - a, n, *place) for a, b, n, place in held]
+    return out
+
+
+def repeated_windows(docs, width=50):
+    """doc_id to the words that lie in a window found earlier."""
+    first, out = {}, {}
+    for d, text in sorted(docs, key=lambda r: r[0]):
+        w = words((text or "").lower())
+        for i in range(len(w) - width + 1):
+            if first.setdefault(tuple(w[i : i + width]), (d, i)) != (d, i):
+                out.setdefault(d, set()).update(range(i, i + width))
     return out
 
 

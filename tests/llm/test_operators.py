@@ -3,7 +3,6 @@
 import base64
 import hashlib
 import random
-import zlib
 from collections import Counter
 
 import pytest
@@ -223,11 +222,53 @@ def test_line_edits_grow_with_length(spark, docs):
     same(line_dedup.near_repeated_lines(frame(spark, rows), edits=4, short_copies=True).collect(), wanted)
 
 
-def test_repeated_lines(spark, docs):
-    rows = docs + [e for e in EDGES if e[0] is not None]
-    same(line_hash.repeated_lines(frame(spark, rows)).drop("text_key").collect(), brute.repeated_lines(rows))
-    kept = {r.doc_id: r for r in line_hash.remove_repeats(frame(spark, [e for e in EDGES if e[0] in (4, 17)])).collect()}
-    assert kept[4].text == BASE and kept[17].text.split("\n") == [BASE[:-1], BASE + "x", "x" + BASE, "short", ""]
+def test_repeated_spans(spark, docs):
+    rows = docs + [(5000 + d, t) for d, t in EDGES if d not in (None, 6)]
+    same(line_hash.repeated_spans(frame(spark, rows)).drop("text_key").collect(), brute.repeated_spans(rows))
+    same(line_hash.repeated_spans(frame(spark, rows), 8, 3).drop("text_key").collect(), brute.repeated_spans(rows, 8, 3))
+
+
+def test_passages_are_found_whatever_stands_around(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    passage = [word() + ("." if i % 17 == 16 else "") for i in range(70)]
+    rows = []
+    for i in range(30):
+        own = [word() for _ in range(rng.randrange(5, 60))]
+        at = rng.randrange(len(own))
+        breaks = ["\n" if rng.random() < (0, 0.07, 0.3)[i % 3] else " " for _ in range(len(own) + 70)]
+        text = "".join(w + b for w, b in zip(own[:at] + passage + own[at:], breaks, strict=True))
+        rows.append((i, text.upper() if i % 5 == 4 else text))
+    rows += [(100 + i, " ".join(word() for _ in range(150))) for i in range(20)]
+    found = {r.doc_id: r for r in line_hash.repeated_spans(frame(spark, rows)).collect()}
+    # all but what lies before the first end of a unit and after the last
+    assert sorted(found) == list(range(1, 30)) and all(50 <= r.n_words <= 70 and r.first_doc_id < r.doc_id for r in found.values())
+    kept = {r.doc_id: r for r in line_hash.remove_repeats(frame(spark, rows)).collect()}
+    assert kept[0].text == rows[0][1] and kept[100].removed == []
+    for i in range(1, 30):
+        (span,) = kept[i].removed
+        assert kept[i].text == rows[i][1][: span.start] + rows[i][1][span.stop :]
+
+
+def test_repeats_recall(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    wanted = brute.repeated_windows(rows)
+    found = {}
+    for r in line_hash.repeated_spans(frame(spark, rows)).collect():
+        before = len(brute.words(dict(rows)[r.doc_id][: r.start]))
+        found.setdefault(r.doc_id, set()).update(range(before, before + r.n_words))
+    caught = [d for d, own in wanted.items() if 2 * len(own & found.get(d, set())) >= len(own)]
+    assert len(caught) >= 0.95 * len(wanted)
+    words = sum(len(own) for own in wanted.values())
+    assert sum(len(own & found.get(d, set())) for d, own in wanted.items()) >= 0.85 * words
+
+
+def test_repeats_of_odd_rows(spark):
+    rows = [(None, BASE * 2), (4, BASE * 2), (4, BASE * 2), (5, "\n" + BASE * 2), (5, "\n" + BASE * 2), (6, None), (7, "")]
+    found = line_hash.repeated_spans(frame(spark, rows)).select("doc_id", "start", "first_doc_id", "first_start").collect()
+    same(found, [(4, 0, None, 0), (5, 1, None, 0)])
+    kept = line_hash.remove_repeats(frame(spark, rows))
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == [(0, len(BASE) * 2), (4, 0), (4, 0), (5, 1), (5, 1), (6, 0), (7, 0)]
 
 
 PAGES = [(1, "http://a/é?x=1\r\n", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "u", None), (4, "u", ""), (5, "v", "<p>é</p>" * 50_000), (None, "w", "<p>one</p>"), (7, "z", "r"), (7, "z", "r")]
@@ -370,14 +411,11 @@ def test_empty_tables(spark):
     assert pii.find_spans(docs).count() == 0
     assert decontam.contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert line_dedup.near_repeated_lines(docs).count() == 0
-    assert line_hash.repeated_lines(docs).count() == 0
+    assert line_hash.repeated_spans(docs).count() == 0
+    assert line_hash.remove_repeats(docs).count() == 0
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert signature_tree.link_components(docs).count() == 0
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     assert langid.train_language_model(spark.createDataFrame([], "doc_id long, text string, lang string")).languages == ()
     field = crf_quality.train_line_field(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert crf_quality.score_documents(frame(spark, [(1, BASE)]), field).first().kept
-
-
-def test_crc():
-    assert zlib.crc32(b"") == 0
