@@ -51,9 +51,11 @@ def word_count(column: Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python `rows` at a time, not 10,000, unless the
-    session already asks for fewer: a batch is held in memory on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Whole texts go to Python `rows` at a time, not 10,000, and about `size`
+    bytes at a time, unless the session already asks for fewer: a batch is held
+    in memory on both sides.  This sets two settings of the session."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name)
+        if not 0 < int(now if now.lstrip("-").isdigit() else 0) <= most:
+            spark.conf.set(name, most)

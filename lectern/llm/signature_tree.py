@@ -46,6 +46,8 @@ BITS = 2048
 LEAF = 32
 #: Rows up to which a list of ids goes to all executors: 24 bytes each.
 BROADCAST_IDS = 200_000
+#: Words whose hashes a worker keeps: about 180 bytes each.
+CACHE = 100_000
 BREAKS = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,7 +71,7 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.zeros(0, dtype=np.uint64)
-        if len(self.cache) > 400_000:
+        if len(self.cache) > CACHE:
             self.cache.clear()
         seq = np.fromiter(map(self.cache.__getitem__, words), dtype=np.uint64, count=len(words))
         width = min(self.width, len(words))
@@ -183,10 +185,14 @@ class Tree:
         return tuple(x[i] for x in self.levels[level])
 
 
-def walk(one: Tree, two: Tree, num: int, den: int) -> Iterator[tuple[int, int, float]]:
+#: A pair that may link: its group, its sets, their components, and its greatest overlap by its sizes.
+PAIR = np.dtype([("group", np.int64), ("a", np.int64), ("b", np.int64), ("one", np.int64), ("two", np.int64), ("share", np.float64)])
+
+
+def walk(one: Tree, two: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places (in the trees' input) of pairs that may link and are of
-    different components, with their greatest overlap by their sizes.  one and
-    two may be the same tree."""
+    different components, with their greatest overlap by their sizes, some at
+    a time.  one and two may be the same tree."""
     same = one is two
     stack = [(len(one.levels) - 1, 0, len(two.levels) - 1, 0)]
     while stack:
@@ -200,7 +206,7 @@ def walk(one: Tree, two: Tree, num: int, den: int) -> Iterator[tuple[int, int, f
         if min(int(a[3]), int(b[3]), int(np.bitwise_count(a[7] & b[7]).sum()) + min(int(a[6]), int(b[6]))) < need:
             continue
         if not la and not lb:
-            yield from leaves(one, two, int(a[0]), int(a[1]), int(b[0]), int(b[1]), same, num, den)
+            yield leaves(one, two, int(a[0]), int(a[1]), int(b[0]), int(b[1]), same, num, den)
         elif la >= lb:
             if same and la == lb and i == j:
                 own = range(int(a[0]), int(a[1]))
@@ -211,62 +217,85 @@ def walk(one: Tree, two: Tree, num: int, den: int) -> Iterator[tuple[int, int, f
             stack.extend((la, i, lb - 1, y) for y in range(int(b[0]), int(b[1])))
 
 
-def leaves(one: Tree, two: Tree, a0: int, a1: int, b0: int, b1: int, same: bool, num: int, den: int) -> Iterator[tuple[int, int, float]]:
+def leaves(one: Tree, two: Tree, a0: int, a1: int, b0: int, b1: int, same: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, m = one.n[a0:a1, None], two.n[None, b0:b1]
     x, y = one.sig[a0:a1, None, :], two.sig[None, b0:b1, :]
     most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=2).astype(np.int64), m - np.bitwise_count(y & ~x).sum(axis=2).astype(np.int64))
     fit = (most * (num + den) >= num * (n + m)) & (one.comp[a0:a1, None] != two.comp[None, b0:b1])
     if same and a0 == b0:
         fit &= np.arange(a0, a1)[:, None] < np.arange(b0, b1)[None, :]
-    share = most / (n + m)
-    for i, j in zip(*np.nonzero(fit), strict=True):
-        yield int(one.order[a0 + i]), int(two.order[b0 + j]), float(share[i, j])
+    i, j = np.nonzero(fit)
+    return one.order[a0 + i], two.order[b0 + j], (most / (n + m))[i, j]
 
 
-#: Columns of candidates: group, a, b, their components, greatest overlap by size.
-Candidates = list[tuple[int, int, int, int, int, float]]
+def as_pairs(group: np.ndarray, kid: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray, share: np.ndarray) -> np.ndarray:
+    out = np.empty(len(i), dtype=PAIR)
+    out["group"], out["a"], out["b"], out["one"], out["two"], out["share"] = group[i], kid[i], kid[j], comp[i], comp[j], share
+    return out
 
 
-def search_group(rows: pa.Table, group: int, first: int, second: int, num: int, den: int) -> Candidates:
-    """rows: kid, comp, n, sig, part of one group or pair of blocks."""
-    part = rows["part"].to_numpy()
-    kid, comp, n = rows["kid"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
-    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+def search_group(rows: dict[str, np.ndarray], first: int, second: int, num: int, den: int) -> Iterator[np.ndarray]:
+    """Pairs of one group, or of a pair of its blocks, some at a time."""
+    n, comp, sig, part = rows["n"], rows["comp"], rows["sig"], rows["part"]
     if first == second:
-        a = b = np.arange(len(kid))
+        a = b = np.arange(len(n))
         one = two = Tree(n, comp, sig)
     else:
         a, b = np.nonzero(part == first)[0], np.nonzero(part == second)[0]
         if not len(a) or not len(b):
-            return []
+            return
         one, two = Tree(n[a], comp[a], sig[a]), Tree(n[b], comp[b], sig[b])
-    return [(group, int(kid[a[i]]), int(kid[b[j]]), int(comp[a[i]]), int(comp[b[j]]), share) for i, j, share in walk(one, two, num, den)]
+    for i, j, share in walk(one, two, num, den):
+        yield as_pairs(rows["group"], rows["kid"], comp, a[i], b[j], share)
 
 
-def forest(found: Candidates) -> Candidates:
-    """Of each group, the likeliest candidates that join its components
-    without a circle."""
-    root: dict[tuple[int, int], int] = {}
+def forest(found: np.ndarray) -> np.ndarray:
+    """Of each group, the likeliest pairs that join its components without a
+    circle."""
+    root: dict[tuple[int, int], tuple[int, int]] = {}
 
-    def find(group: int, x: int) -> int:
-        while (up := root.get((group, x), x)) != x:
-            root[group, x] = root.get((group, up), up)
+    def find(x: tuple[int, int]) -> tuple[int, int]:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
             x = up
         return x
 
-    out = []
-    for row in sorted(found, key=lambda r: (-r[5], r[1], r[2])):
-        x, y = find(row[0], row[3]), find(row[0], row[4])
+    found = found[np.lexsort((found["b"], found["a"], -found["share"]))]
+    keep = np.zeros(len(found), dtype=bool)
+    for at, (group, one, two) in enumerate(zip(found["group"].tolist(), found["one"].tolist(), found["two"].tolist(), strict=True)):
+        x, y = find((group, one)), find((group, two))
         if x != y:
-            root[row[0], x] = y
-            out.append(row)
-    return out
+            root[x] = y
+            keep[at] = True
+    return found[keep]
+
+
+def in_pieces(found: Iterator[np.ndarray], every: bool, piece: int = 50_000) -> Iterator[np.ndarray]:
+    """All pairs that are found, or a forest of them, without holding more
+    than about `piece` of them besides the forest.  A forest of a forest and
+    what came later is a forest of both."""
+    held: list[np.ndarray] = []
+    n, most = 0, piece
+    for rows in found:
+        if not len(rows):
+            continue
+        held.append(rows)
+        n += len(rows)
+        if n >= most:
+            rows = np.concatenate(held)
+            if every:
+                yield rows
+                held, n = [], 0
+            else:
+                held = [forest(rows)]
+                n, most = len(held[0]), piece + len(held[0])
+    if held:
+        yield np.concatenate(held) if every else forest(np.concatenate(held))
 
 
-def small_groups(rows: dict[str, np.ndarray], num: int, den: int) -> Candidates:
+def small_groups(rows: dict[str, np.ndarray], num: int, den: int) -> Iterator[np.ndarray]:
     """Pairs that may link in groups of up to LEAF rows, all groups at once:
     each row against the next, the second next and so on of its group."""
-    out: Candidates = []
     group, n, comp, sig, kid = rows["group"], rows["n"], rows["comp"], rows["sig"], rows["kid"]
     for step in range(1, LEAF):
         i = np.nonzero(group[step:] == group[:-step])[0] if len(group) > step else np.zeros(0, dtype=np.int64)
@@ -275,14 +304,30 @@ def small_groups(rows: dict[str, np.ndarray], num: int, den: int) -> Candidates:
         j = i + step
         fit = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
         i, j = i[fit], j[fit]
-        for at in range(0, len(i), 20_000):
-            p, q = i[at : at + 20_000], j[at : at + 20_000]
+        for at in range(0, len(i), 10_000):
+            p, q = i[at : at + 10_000], j[at : at + 10_000]
             x, y = sig[p], sig[q]
             most = np.minimum(n[p] - np.bitwise_count(x & ~y).sum(axis=1).astype(np.int64), n[q] - np.bitwise_count(y & ~x).sum(axis=1).astype(np.int64))
             good = most * (num + den) >= num * (n[p] + n[q])
-            p, q, share = p[good], q[good], (most[good] / (n[p[good]] + n[q[good]]))
-            out += zip(group[p].tolist(), kid[p].tolist(), kid[q].tolist(), comp[p].tolist(), comp[q].tolist(), share.tolist(), strict=True)
-    return out
+            p, q = p[good], q[good]
+            yield as_pairs(group, kid, comp, p, q, most[good] / (n[p] + n[q]))
+
+
+def search_groups(table: pa.Table, key: list[str], num: int, den: int) -> Iterator[np.ndarray]:
+    """Pairs of all groups in `table`, which holds whole groups in order."""
+    keys = [table[c].to_numpy() for c in key]
+    new = np.ones(table.num_rows, dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    group = np.cumsum(new) - 1
+    starts = np.append(np.nonzero(new)[0], table.num_rows)
+    sizes = np.diff(starts)
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+    rows = {"group": group, "sig": sig} | {c: table[c].to_numpy().astype(np.int64) for c in ("kid", "comp", "n", "part")}
+    for g in np.nonzero((sizes > LEAF) | (keys[1][starts[:-1]] != keys[2][starts[:-1]]))[0]:
+        own = slice(int(starts[g]), int(starts[g + 1]))
+        yield from search_group({c: x[own] for c, x in rows.items()}, int(keys[1][starts[g]]), int(keys[2][starts[g]]), num, den)
+    few = (sizes[group] <= LEAF) & (keys[1] == keys[2])
+    yield from small_groups({c: x[few] for c, x in rows.items()}, num, den)
 
 
 def tree_pairs(rows: DataFrame, num: int, den: int, block: int, every: bool) -> DataFrame:
@@ -298,39 +343,31 @@ def tree_pairs(rows: DataFrame, num: int, den: int, block: int, every: bool) ->
     keyed = spread.select("token", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "kid", "comp", "n", "sig", "part")
     dealt = keyed.repartition(*key).sortWithinPartitions(*key)
 
-    def found(table: pa.Table) -> pa.RecordBatch:
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
         """table: whole groups."""
-        keys = [table[c].to_numpy() for c in key]
-        new = np.ones(table.num_rows, dtype=bool)
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        group = np.cumsum(new) - 1
-        starts = np.append(np.nonzero(new)[0], table.num_rows)
-        sizes = np.diff(starts)
-        pairs: Candidates = []
-        for g in np.nonzero((sizes > LEAF) | (keys[1][starts[:-1]] != keys[2][starts[:-1]]))[0]:
-            at = int(starts[g])
-            own = search_group(table.slice(at, int(sizes[g])), int(g), int(keys[1][at]), int(keys[2][at]), num, den)
-            pairs += own if every else forest(own)
-        few = (sizes[group] <= LEAF) & (keys[1] == keys[2])
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-        own = small_groups({"group": group[few], "sig": sig[few]} | {c: table[c].to_numpy().astype(np.int64)[few] for c in ("n", "comp", "kid")}, num, den)
-        rows = sorted({(min(r[1:3]), max(r[1:3])) for r in pairs + (own if every else forest(own)) if r[1] != r[2]})
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+        for pairs in in_pieces(search_groups(table, key, num, den), every):
+            ends = np.unique(np.stack([np.minimum(pairs["a"], pairs["b"]), np.maximum(pairs["a"], pairs["b"])], axis=1), axis=0)
+            ends = ends[ends[:, 0] != ends[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
             # the last group may go on in the next batch
-            last = [table[c][-1].as_py() for c in key]
+            last = [batch.column(c)[-1].as_py() for c in key]
+            if all(batch.column(c)[0].as_py() == v for c, v in zip(key, last, strict=True)) and sum(b.num_rows for b in held) > batch.num_rows:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
             open_ = np.logical_and.reduce([table[c].to_numpy() == v for c, v in zip(key, last, strict=True)])
             at = int(np.argmax(open_))
-            if at >= 20_000 or (at and table.num_rows - at > LEAF):
-                yield found(table.slice(0, at))
-                held = table.slice(at).to_batches()
+            if at >= 8_000 or (at and table.num_rows - at > LEAF):
+                yield from found(table.slice(0, at))
+                held = table.slice(at).combine_chunks().to_batches()
         if held:
-            yield found(pa.Table.from_batches(held).combine_chunks())
+            yield from found(pa.Table.from_batches(held).combine_chunks())
 
     return dealt.mapInArrow(run, "a long, b long")
 

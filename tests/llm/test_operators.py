@@ -363,7 +363,7 @@ def test_trees_find_all_links():
         n = np.array([len(s) for s in sets])
         sig = np.frombuffer(b"".join(map(signature_tree.signature, sets)), dtype=np.uint64).reshape(len(sets), -1)
         tree = signature_tree.Tree(n, np.arange(len(sets)), sig)
-        found = {tuple(sorted(p[:2])) for p in signature_tree.walk(tree, tree, num, den)}
+        found = {tuple(sorted(p)) for i, j, _ in signature_tree.walk(tree, tree, num, den) for p in zip(i.tolist(), j.tolist(), strict=True)}
         for i in range(len(sets)):
             for j in range(i):
                 both = len(np.intersect1d(sets[i], sets[j]))
@@ -372,6 +372,50 @@ def test_trees_find_all_links():
         assert len(found) < 3000
 
 
+def test_forests_in_pieces():
+    import numpy as np
+
+    rng = np.random.default_rng(10)
+    pairs = np.zeros(5000, dtype=signature_tree.PAIR)
+    for name, top in (("group", 3), ("one", 40), ("two", 40)):
+        pairs[name] = rng.integers(0, top, len(pairs))
+    pairs["a"], pairs["b"], pairs["share"] = np.arange(len(pairs)), np.arange(len(pairs)) + 10**6, rng.random(len(pairs))
+    chunks = lambda: (pairs[at : at + 7] for at in range(0, len(pairs), 7))
+    whole = signature_tree.forest(pairs)
+    (piece,) = signature_tree.in_pieces(chunks(), False, 100)
+    assert sorted(piece["a"].tolist()) == sorted(whole["a"].tolist()) and len(whole) == 3 * 39
+    every = list(signature_tree.in_pieces(chunks(), True, 100))
+    assert max(map(len, every)) < 120 and sum(map(len, every)) == len(pairs)
+
+
+def test_one_large_group(spark):
+    """5,000 near copies, no two equal, of some hundred components."""
+    rng = random.Random(11)
+    base = [f"word{i}" for i in range(120)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        for at in rng.sample(range(120), 2 + i % 4):
+            w[at] = f"new{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    wanted = {}
+    sets = [brute.shingles(t, 5) for _, t in rows]
+    found = signature_tree.link_components(frame(spark, rows, extra=False), width=5, num=80).collect()
+    root = {r.doc_id: r.component_id for r in found}
+    # each link joins; each component is held together by links from its members
+    for _ in range(20_000):
+        i, j = rng.randrange(5000), rng.randrange(5000)
+        both = len(sets[i] & sets[j])
+        if i != j and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            assert root[i] == root[j]
+    for i, c in root.items():
+        wanted.setdefault(c, []).append(i)
+    assert all(c == min(own) for c, own in wanted.items())
+    for own in sorted(wanted.values(), key=len)[:200]:
+        for i in own if len(own) > 1 else ():
+            assert any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in own if j != i)
+
+
 def test_mixture(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
