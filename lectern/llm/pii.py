@@ -11,8 +11,8 @@ Kinds: email, ip, card, phone (the base), and what the method adds: iban
 (two letters, two digits, 11 to 30 letters or digits, mod-97), national phone
 numbers and card numbers of 13 digits only where a word nearby speaks for
 them.  A span's score is its kind's confidence, raised by a word of its kind
-within `CONTEXT` characters before it and lowered by a word that speaks
-against it; spans under `least_score` are dropped, base spans never are.
+within `CONTEXT` characters before or after it and lowered by a word that
+speaks against it; spans under `least_score` are dropped, base spans never are.
 
 Defined results: a null text counts as empty and has no spans; each row is
 judged alone, so ties and repeated rows need no care; extra columns stay, and
@@ -22,6 +22,7 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -89,35 +90,55 @@ def confirmed(kind: Kind, match: Column) -> Column:
 SPAN = "struct<start:int,rank:int,stop:int,kind:string,score:double,base:boolean>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sums_before(sizes: Column) -> Column:
+    """Of each number of an array, the sum of those before it.  Sums of blocks
+    of about the root of their number come first, so that no text with many
+    matches takes time with their square."""
+
+    def total(x: Column, first: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(x, first + 1, n), F.lit(0), lambda a, v: a + v)
+
+    def upto(n: Column) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def by_blocks(x: Column, width: Column) -> Column:
+        whole = F.transform(upto(F.ceil(F.size(x) / width).cast("int")), lambda b: total(x, b * width, width))
+        return bound(whole, lambda w: bound(F.transform(upto(F.size(w)), lambda b: total(w, F.lit(0), b)), lambda before: F.transform(upto(F.size(x)), lambda i: F.element_at(before, F.floor(i / width).cast("int") + 1) + total(x, i - i % width, i % width))))
+
+    return bound(sizes, lambda x: bound(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int")), lambda width: by_blocks(x, width)))
+
+
 def spans_of(kind: Kind, text: Column, least_score: float) -> Column:
     """Array of SPAN of one kind."""
     none = F.array().cast(f"array<{SPAN}>")
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pieces = F.split(text, kind.pattern, -1)
-    # starts: the pieces before a match and the matches before it, added up
-    steps = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("gap"), found.alias("match"))
-    placed = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string,before:string>>").alias("out")),
-        lambda a, s: F.struct(
-            (a["at"] + F.length(s["gap"]) + F.length(s["match"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(s["gap"])).alias("start"), s["match"].alias("match"), F.right(s["gap"], F.lit(CONTEXT)).alias("before")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+
+    def placed(m: Column, gaps: Column) -> Column:
+        # a match starts after the pieces and the matches before it
+        before = sums_before(F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, x: F.length(g) + F.length(x)))
+        return F.arrays_zip(before.alias("at"), F.slice(gaps, 1, F.size(m)).alias("before"), m.alias("match"), F.slice(gaps, 2, F.size(m)).alias("after"))
 
     def span(x: Column) -> Column:
-        score = F.lit(kind.confidence) + F.when(x["before"].rlike(kind.helps), 0.3).otherwise(0.0) - F.when(x["before"].rlike(AGAINST), 0.3).otherwise(0.0)
+        near = F.concat(F.right(x["before"], F.lit(CONTEXT)), F.lit("\n"), F.left(x["after"], F.lit(CONTEXT)))
+        score = F.lit(kind.confidence) + F.when(near.rlike(kind.helps), 0.3).otherwise(0.0) - F.when(near.rlike(AGAINST), 0.3).otherwise(0.0)
+        start = x["at"] + F.length(x["before"])
         return F.struct(
-            x["start"].alias("start"),
+            start.alias("start"),
             F.lit(kind.rank).alias("rank"),
-            (x["start"] + F.length(x["match"])).alias("stop"),
+            (start + F.length(x["match"])).alias("stop"),
             F.lit(kind.name).alias("kind"),
             F.least(F.greatest(F.round(score, 2), F.lit(0.0)), F.lit(1.0)).alias("score"),
             F.lit(kind.base).alias("base"),
         )
 
-    made = F.transform(F.filter(placed, lambda x: confirmed(kind, x["match"])), span)
+    rows = bound(found, lambda m: bound(pieces, lambda gaps: placed(m, gaps)))
+    made = F.transform(F.filter(rows, lambda x: confirmed(kind, x["match"])), span)
     if not kind.base:
         made = F.filter(made, lambda s: s["score"] >= least_score)
     possible = F.contains(text, F.lit(kind.needs)) if kind.needs else F.lit(True)
