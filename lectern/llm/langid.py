@@ -7,8 +7,8 @@ n-gram that the model has, down to single letters; a letter that no language
 has adds nothing.
 
 The classifier is fitted on a bounded sample of labelled rows: for each
-language about `per_language` documents, chosen by a hash of the id.  Its
-tables hold the `max_words` most frequent words and, for each length, the
+language about `per_language` documents, chosen by a hash of the id, of at most
+an eighth of `max_chars` characters each and `max_chars` together.  Its tables hold the `max_words` most frequent words and, for each length, the
 `max_grams` most frequent n-grams, so the model that goes to the executors
 has a bound set by its parameters.
 
@@ -33,9 +33,11 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import small_batches
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Signs that Python counts as word characters, though they are numbers and no letters.
+SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{SIGNS}]+")
 UNKNOWN = "und"
-CACHE = 200_000
+CACHE = 50_000
 
 
 @dataclass(frozen=True)
