@@ -16,7 +16,9 @@ the length of the full payload.
 Defined results: a null payload is empty; a null page_id sorts before all
 others, and if a group has no other, all its rows are responses; rows with
 the group's largest page_id are all responses; a null url becomes
-`urn:page:<page_id>`.  Line breaks in a url are escaped.  A broken frame,
+`urn:page:<page_id>`.  A url is written as it is, in UTF-8; only
+control characters, and white space at its ends, become %XX.  The reader gives
+urls as they stand in the archive.  A broken frame,
 header, length or digest raises, unless `errors` asks for a row that says why.
 Extra columns are ignored; an empty table makes no archive.
 """
@@ -27,7 +29,6 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -55,6 +56,13 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def header_value(url: str) -> str:
+    """The url as it is, but for what would end or blur a header line."""
+    shown = "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in url)
+    head, tail = len(shown) - len(shown.lstrip()), len(shown.rstrip())
+    return "".join(c if head <= i < tail else "".join(f"%{b:02X}" for b in c.encode()) for i, c in enumerate(shown))
+
+
 def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, sha: str, refers_to: int | None) -> bytes:
     """One record; payload None makes a revisit."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
@@ -63,14 +71,14 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
         ("WARC-Type", "response" if payload is not None else "revisit"),
         ("WARC-Record-ID", f"<urn:page:{page_id}>"),
         ("WARC-Date", EPOCH),
-        ("WARC-Target-URI", quote(url, safe="/:?&=#%~+,;@!$'()*[]") if url is not None else f"urn:page:{page_id}"),
+        ("WARC-Target-URI", header_value(url) if url is not None else f"urn:page:{page_id}"),
         ("WARC-Payload-Digest", f"sha1:{sha}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
     if payload is None:
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
-    return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+    return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
@@ -168,7 +176,7 @@ def parse(raw: bytes) -> dict:
         raise ValueError(f"version line {version[:20]!r}")
     headers: dict[str, str] = {}
     for line in lines:
-        name, colon, value = line.decode().partition(":")
+        name, colon, value = line.decode("utf-8", "surrogatepass").partition(":")
         if not colon or not name or name != name.strip():
             raise ValueError(f"header line {line[:40]!r}")
         headers[name.lower()] = value.strip()
@@ -209,7 +217,7 @@ def read_archives(archives: DataFrame, payloads: bool = True, errors: str = "rai
         try:
             for raw in frames_of(content):
                 r = parse(raw)
-                yield path, page_of(r["id"]), unquote(r["url"]) if r["url"] else None, r["kind"], page_of(r["refers_to"]), r["bytes"], r["sha"], r["payload"] if payloads else None, None
+                yield path, page_of(r["id"]), r["url"], r["kind"], page_of(r["refers_to"]), r["bytes"], r["sha"], r["payload"] if payloads else None, None
         except (ValueError, zstandard.ZstdError) as e:
             if errors == "raise":
                 raise ValueError(f"{path}: {e}") from e
