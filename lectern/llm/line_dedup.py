@@ -11,7 +11,9 @@ what stands at these places of it as a partner of lines as long or slightly
 shorter; for k = 4 that is 5 and 13 hashed keys, whatever the length.  Blocks
 are as wide for all lines of a class of lengths.
 
-A line is compared with the earliest of each key it shares first.  Only where
+Lines that share a key are a pair only if their numbers of letters allow for
+it: an edit changes two counts by one at most.  A line is compared with the
+earliest of each key it shares first.  Only where
 an earlier one than what that found could be left are the others of the key
 compared.  The edit distance is then verified on the texts.  Of all lines
 within the bound, itself included, the one with the smallest (doc_id, line_no)
@@ -29,11 +31,13 @@ empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import cut
+from lectern.llm.common import bound, cut
 
 NULL_ID = -(2**63)
 #: Lines up to which a list of hashes goes to all executors: 16 bytes each.
@@ -92,13 +96,50 @@ def key_rows(texts: DataFrame, edits: int, per_edit: int) -> DataFrame:
     return texts.select("h1", F.explode(F.concat(as_rows(own, False), as_rows(partner, True))).alias("x")).select("x.key", "h1", "x.moved")
 
 
+#: Groups of letters whose numbers in a line are compared; any groups that do not overlap would do.
+GROUPS = ("aàáâä", "eéèêë", "iíìîï", "oóòôöu", "n", "rzjq", "sxkw", "t", "ld", "hgf", "cmb", "pvy", ".,;:!?", " ")
+
+
+def letter_counts(line: Column) -> Column:
+    """Two longs of seven bytes, each the number of a group's letters, at most 255."""
+    counts = [F.least(F.length(line) - F.length(F.translate(line, g, "")), F.lit(255)).cast("long") for g in GROUPS]
+    packed = [sum((F.shiftleft(c, 8 * i) for i, c in enumerate(own)), F.lit(0).cast("long")) for own in (counts[:7], counts[7:])]
+    return F.struct(packed[0].alias("x"), packed[1].alias("y"))
+
+
+def counts_differ(a: str, b: str) -> Column:
+    """By how much the counts of two lines differ; at most twice their edits."""
+    parts = [F.abs(F.shiftright(F.col(f"{a}.{c}"), 8 * i).bitwiseAND(255) - F.shiftright(F.col(f"{b}.{c}"), 8 * i).bitwiseAND(255)) for c in "xy" for i in range(7)]
+    return sum(parts[1:], parts[0])
+
+
+def within(a: Column, b: Column, most: Column) -> Column:
+    """Whether the edit distance is at most `most`.  Of long lines, equal
+    pieces at both ends go first: Spark's function takes time with the square
+    of what it is given."""
+    piece = 256
+
+    def equal_ends(x: Column, y: Column, pieces: Column, at: Callable[[Column], Column]) -> Column:
+        places = F.when(pieces > 0, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array().cast("array<int>"))
+        return F.coalesce(F.get(F.filter(places, lambda i: F.substring(x, at(i), piece) != F.substring(y, at(i), piece)), F.lit(0)), pieces)
+
+    n = F.least(F.length(a), F.length(b))
+    whole = lambda x: F.floor(x / piece).cast("int")
+    head = equal_ends(a, b, whole(n), lambda i: i * piece + 1)
+    tail = lambda h: equal_ends(a, b, whole(n) - h, lambda i: -(i + 1) * piece)
+    rest = lambda x, h, t: F.substring(x, h * piece + 1, F.length(x) - (h + t) * piece)
+    trimmed = bound(head, lambda h: bound(tail(h), lambda t: F.call_function("levenshtein", rest(a, h, t), rest(b, h, t), most)))
+    return F.when(n > 8 * piece, trimmed).otherwise(F.call_function("levenshtein", a, b, most)) >= 0
+
+
 def verified(pairs: DataFrame, texts: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """first, and the smallest `to` within the bound, of pairs (first, to)."""
     one = texts.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "line")
     two = texts.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("line").alias("other"))
     rows = pairs.select("first", "to", F.col("first.h1").alias("f1"), F.col("first.h2").alias("f2"), F.col("to.h1").alias("t1"), F.col("to.h2").alias("t2"))
-    rows = rows.join(one, ["f1", "f2"]).join(two, ["t1", "t2"]).withColumn("bound", edit_bound(F.least(F.length("line"), F.length("other")), edits, per_edit))
-    return rows.where("levenshtein(line, other, bound) >= 0").groupBy("first").agg(F.min("to").alias("to"))
+    rows = rows.join(one, ["f1", "f2"]).join(two, ["t1", "t2"])
+    near = within(F.col("line"), F.col("other"), edit_bound(F.least(F.length("line"), F.length("other")), edits, per_edit))
+    return rows.where(near).groupBy("first").agg(F.min("to").alias("to"))
 
 
 def earliest_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1, per_edit: int = 40, short_copies: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -117,17 +158,18 @@ def earliest_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1, per_edi
     near = cut(rows.select("h1").distinct(), "near-lines")
     small = near.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     texts = long.select("line", "h1", "h2").join(F.broadcast(near) if small else near, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    texts = cut(texts.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "near-texts")
+    texts = cut(texts.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).withColumn("bag", letter_counts(F.col("line"))), "near-texts")
     # the earliest of each key
-    rows = rows.join(texts.select("h1", "first", F.length("line").alias("n")), "h1")
+    rows = rows.join(texts.select("h1", "first", F.length("line").alias("n"), "bag"), "h1")
     own, partner = F.min(F.when(~F.col("moved"), F.col("first"))).over(of_key), F.min(F.when(F.col("moved"), F.col("first"))).over(of_key)
-    rows = cut(rows.select("key", "moved", "first", "n", F.when(F.col("moved"), own).otherwise(partner).alias("to")), "keys")
+    rows = cut(rows.select("key", "moved", "first", "n", "bag", F.when(F.col("moved"), own).otherwise(partner).alias("to")), "keys")
     good = cut(verified(rows.where("to < first").select("first", "to").distinct(), texts, edits, per_edit), "first-links")
     # the others of a key that has one before what was found
     open_rows = rows.join(good.withColumnRenamed("to", "found"), "first", "left").withColumn("found", F.coalesce("found", "first")).where("to < found")
-    others = rows.select("key", F.col("moved").alias("as"), F.col("first").alias("other"), F.col("n").alias("m"))
+    others = rows.select("key", F.col("moved").alias("as"), F.col("first").alias("other"), F.col("n").alias("m"), F.col("bag").alias("other_bag"))
     left = open_rows.join(others, "key").where((F.col("as") != F.col("moved")) & (F.col("other") > F.col("to")) & (F.col("other") < F.col("found")))
-    left = left.where(F.abs(F.col("n") - F.col("m")) <= edit_bound(F.least("n", "m"), edits, per_edit)).select("first", F.col("other").alias("to")).distinct()
+    bound = edit_bound(F.least("n", "m"), edits, per_edit)
+    left = left.where((F.abs(F.col("n") - F.col("m")) <= bound) & (counts_differ("bag", "other_bag") <= 2 * bound)).select("first", F.col("other").alias("to")).distinct()
     good = good.unionByName(verified(left, texts, edits, per_edit)).groupBy("first").agg(F.min("to").alias("to"))
     good = good.select(F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2"), "to")
     found = distinct.join(good, ["h1", "h2"], "left").where("n > 1 OR to IS NOT NULL")

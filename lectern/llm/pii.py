@@ -22,12 +22,13 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import bound
+
 CONTEXT = 40
 
 
@@ -90,11 +91,6 @@ def confirmed(kind: Kind, match: Column) -> Column:
 SPAN = "struct<start:int,rank:int,stop:int,kind:string,score:double,base:boolean>"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once, however often `use` names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def sums_before(sizes: Column) -> Column:
     """Of each number of an array, the sum of those before it.  Sums of blocks
     of about the root of their number come first, so that no text with many
