@@ -1,7 +1,9 @@
 """What the corpus operators must find, written the plain way."""
 
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
 
 KINDS = ("email", "ip", "card", "phone")
@@ -199,3 +201,43 @@ def repeated_windows(docs, width=50):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def placement(docs, shards, record_bytes=16):
+    """(doc_id, size, CRC-32, shard, slot): records in the order of their text's
+    MD5 and id on one line of bytes, cut into equal stretches."""
+    rows = []
+    for d, t in docs:
+        raw = (t or "").encode()
+        rows.append((int(hashlib.md5(raw).hexdigest()[:15], 16), -(2**63) if d is None else d, len(raw) + record_bytes, d, zlib.crc32(raw)))
+    rows.sort(key=lambda r: r[:3])
+    total, start, slots, out = sum(r[2] for r in rows), 0, {}, []
+    for _, _, size, d, crc in rows:
+        shard = min(shards - 1, (2 * start + size) * shards // (2 * total))
+        out.append((d, size, crc, shard, slots.get(shard, 0)))
+        slots[shard] = slots.get(shard, 0) + 1
+        start += size
+    return out
+
+
+def backoff(text, languages, words, grams):
+    """(language, score).  words and grams: key to a list of log frequencies."""
+    found = [w for w in re.split(r"[\W\d_]+", "".join(c if unicodedata.category(c)[0] in "LM" or not c.isnumeric() else " " for c in (text or "").lower())) if w]
+    if not found:
+        return "und", 0.0
+    total = [0.0] * len(languages)
+    for w in found:
+        parts = []
+        if w in words:
+            parts.append(words[w])
+        else:
+            rest = f"^{w}$"
+            while rest:
+                fits = [n for n in range(1, len(rest) + 1) if rest[:n] in grams]
+                if fits:
+                    parts.append(grams[rest[: fits[-1]]])
+                rest = rest[fits[-1] :] if fits else rest[1:]
+        for p in parts:
+            total = [a + b for a, b in zip(total, p, strict=True)]
+    best = max(range(len(languages)), key=lambda i: (total[i], -i))
+    return languages[best], 1 / sum(math.exp(max(-700, x - total[best])) for x in total)
