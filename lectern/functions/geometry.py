@@ -31,10 +31,11 @@ def visibility(score: Column, r: dict[str, Column]) -> Column:
 
 
 #: The least score that each kind needs, in the order that settles ties.
-KIND_BOUNDS = (("logo", 0.7), ("chart", 0.7), ("diagram", 0.6), ("photo", 0.5), ("qr_code", 0.8))
+KIND_BOUNDS = (("logo", 0.6), ("chart", 0.7), ("diagram", 0.6), ("photo", 0.5), ("qr_code", 0.8))
 
 
-def image_scores(w: Column, h: Column, r: dict[str, Column], colours: Column, text: Column, company: Column, data: Column, qr: Column, activity: Column) -> dict[str, Column]:
+def image_scores(w: Column, h: Column, r: dict[str, Column], colours: Column, text: Column, company: Column, data: Column, qr: Column, activity: Column, site: Column) -> dict[str, Column]:
+    """site: whether the page names the site that its codes lead to."""
     area, aspect = w * h, w / F.greatest(h, F.lit(1))
     small, limited = area < 10_000, colours < 50
     return {
@@ -42,7 +43,7 @@ def image_scores(w: Column, h: Column, r: dict[str, Column], colours: Column, te
         "chart": flag((r["w"] > 0.6) | (r["h"] > 0.6), 0.3) + flag(text, 0.4) + flag(limited, 0.3) + flag(data, 0.3),
         "diagram": flag(limited, 0.4) + flag(text, 0.3) + flag((aspect >= 0.5) & (aspect <= 2.0), 0.2),
         "photo": flag(colours > 1000, 0.4) + flag(~text, 0.3) + flag(area > 100_000, 0.3) + flag(activity, 0.3),
-        "qr_code": flag((aspect >= 0.8) & (aspect <= 1.2), 0.3) + flag(small & limited, 0.2) + flag(qr, 0.4),
+        "qr_code": flag((aspect >= 0.8) & (aspect <= 1.2), 0.3) + flag(small & limited, 0.2) + flag(qr, 0.4) + flag(text & site, 0.2),
     }
 
 

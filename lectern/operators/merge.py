@@ -6,7 +6,7 @@ never over a path that is being read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,13 +19,20 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], order: list[str], update: list[str] | None = None) -> DataFrame:
     """Incoming rows replace stored ones with their key.  With `update` only
-    those columns change and the others keep what is stored."""
+    those columns change, to null too, and the others keep what is stored."""
     new = latest(incoming, key, order)
     if update is None:
         return new.unionByName(stored.join(new.select(*key), key, "left_anti"))
-    old, fresh = stored.alias("o"), new.alias("n")
+    old, fresh = stored.withColumn("_is_old", F.lit(True)).alias("o"), new.withColumn("_is_new", F.lit(True)).alias("n")
     on = [F.col(f"o.{c}") == F.col(f"n.{c}") for c in key]
-    columns = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in key or c in update else F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")) for c in stored.columns]
+
+    def chosen(c: str) -> Column:
+        was, comes = F.col(f"o.{c}"), F.col(f"n.{c}")
+        if c in key:
+            return F.coalesce(comes, was)
+        return F.when(F.col("_is_new"), comes).otherwise(was) if c in update else F.when(F.col("_is_old"), was).otherwise(comes)
+
+    columns = [chosen(c) for c in stored.columns]
     return old.join(fresh, on, "full").select(*[x.alias(c) for x, c in zip(columns, stored.columns, strict=True)])
 
 

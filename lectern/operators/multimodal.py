@@ -1,7 +1,6 @@
 """Text chunks paired with images: proximity, semantic, context, hybrid.
 
-Joins go by page or by context, never by all chunks with all images, but for
-`by_context`, whose score has no key; it is blocked by document.
+Joins go by page or by context, never by all chunks with all images.
 """
 
 from __future__ import annotations
@@ -36,19 +35,32 @@ def by_semantics(chunks: DataFrame, images: DataFrame, n: int = 3) -> DataFrame:
 
 def by_context(chunks: DataFrame, images: DataFrame, least: float = 0.4, n: int = 2) -> DataFrame:
     """Images of the document whose match with the chunk is over `least`."""
+    return top(context_pairs(chunks, images, least), n, F.desc("score")).select("chunk_id", "image_id", F.col("score").alias("relevance"), "place")
+
+
+def context_pairs(chunks: DataFrame, images: DataFrame, least: float) -> DataFrame:
+    """Pairs of a document by what a score over .4 needs: the same or a related
+    context, or a chunk of usage data with a chart."""
+    if least < 0.4:
+        raise ValueError("pairs without a common key reach .4")
+    wanted = F.array(F.col("context"))
+    for a, b in R.RELATED:
+        wanted = F.concat(wanted, F.when(F.col("context") == a, F.array(F.lit(b))).otherwise(F.array().cast("array<string>")))
+    left = chunks.withColumn("key", F.explode(F.array_distinct(F.concat(wanted, F.when(F.col("kind") == "usage_data", F.array(F.lit("a chart"))).otherwise(F.array().cast("array<string>"))))))
+    right = images.withColumn("key", F.explode(F.concat(F.array("image_context"), F.when(F.col("type") == "chart", F.array(F.lit("a chart"))).otherwise(F.array().cast("array<string>")))))
+    pairs = left.withColumnRenamed("page", "chunk_page").join(right.withColumnRenamed("page", "image_page"), ["doc", "key"])
     common = F.size(F.array_intersect("words", "image_words"))
     score = R.context_match(F.col("context"), F.col("image_context"), F.col("kind"), F.col("type"), common)
-    pairs = chunks.join(images, "doc").withColumn("score", F.round(score, 6)).where(F.col("score") > least)
-    return top(pairs, n, F.desc("score")).select("chunk_id", "image_id", F.col("score").alias("relevance"), "place")
+    good = pairs.withColumn("score", F.round(score, 6)).where(F.col("score") > least)
+    return good.select("chunk_id", "image_id", "score", (F.col("chunk_page") == F.col("image_page")).alias("same_page")).distinct()
 
 
 def hybrid(chunks: DataFrame, images: DataFrame, n: int = 2) -> DataFrame:
     """The context pairs, cut to `n` first, then raised by .2 where the image
     is on the chunk's page."""
-    pairs = by_context(chunks, images, n=n)
-    placed = pairs.join(chunks.select("chunk_id", "page"), "chunk_id").join(images.select("image_id", F.col("page").alias("image_page")), "image_id")
-    same = F.col("page") == F.col("image_page")
-    return placed.select("chunk_id", "image_id", F.round(F.when(same, F.least(F.col("relevance") + 0.2, F.lit(1.0))).otherwise(F.col("relevance")), 6).alias("relevance"), "place")
+    pairs = top(context_pairs(chunks, images, 0.4), n, F.desc("score"))
+    raised = F.when(F.col("same_page"), F.least(F.col("score") + 0.2, F.lit(1.0))).otherwise(F.col("score"))
+    return pairs.select("chunk_id", "image_id", F.round(raised, 6).alias("relevance"), "place")
 
 
 def pairing_quality(pairs: DataFrame, images: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def score_sql(x: str, words: tuple[str, ...]) -> str:
 BEST_CONTEXT = ", ".join(f"{{'s': {score_sql('low', w)}, 'o': {-i}, 'k': '{k}'}}" for i, (k, w) in enumerate(R.CHUNK_CONTEXTS.items()))
 BY_TYPE = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, c in R.TYPE_CONTEXT.items()) + " ELSE 'general' END"
 CHUNKS = f"""ch0 AS (SELECT doc_id AS chunk_id, doc_id % 40 AS doc, doc_id % 4 AS page, lower(text || {WORDS_OF}) AS low, {KIND_OF} AS kind FROM documents),
-ch AS (SELECT *, CASE WHEN list_max([{BEST_CONTEXT}]).s > 0 THEN list_max([{BEST_CONTEXT}]).k ELSE {BY_TYPE} END AS context, list_distinct(list_slice(regexp_extract_all(low, '[^ \\n]+'), 1, 8)) AS words FROM ch0)"""
+ch AS (SELECT *, CASE WHEN list_max([{BEST_CONTEXT}]).s > 0 THEN list_max([{BEST_CONTEXT}]).k ELSE {BY_TYPE} END AS context, list_distinct(regexp_extract_all(low, '[^ \\n]+')) AS words FROM ch0)"""
 IMAGE_CONTEXT = "CASE id % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CONTEXTS)) + " ELSE 'general' END"
 MEDIA = f"{CHUNKS}, {DUPLICATES}, im AS (SELECT id AS image_id, doc, page, corr, type, {IMAGE_CONTEXT} AS image_context, ['the', 'and', 'of', 'w' || (id % 5)] AS image_words FROM dup)"
 
@@ -34,7 +34,7 @@ def media(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tail = F.when(m == 0, " save energy tip").when(m == 1, " kwh usage above").when(m == 2, " call or visit").when(m == 3, " account number").when(m == 4, " compare neighbors").otherwise("")
     kind = F.when(i % 5 == 0, "advice").when(i % 5 == 1, "usage_data").when(i % 5 == 2, "header").when(i % 5 == 3, "footer").otherwise("body")
     chunks = table(spark, sf_dir, "documents").select(i.alias("chunk_id"), (i % 40).alias("doc"), (i % 4).alias("page"), F.lower(F.concat("text", tail)).alias("low"), kind.alias("kind"))
-    chunks = chunks.withColumn("context", R.chunk_context(F.col("low"), F.col("kind"))).withColumn("words", F.array_distinct(F.slice(F.regexp_extract_all("low", F.lit("[^ \\n]+"), F.lit(0)), 1, 8)))
+    chunks = chunks.withColumn("context", R.chunk_context(F.col("low"), F.col("kind"))).withColumn("words", F.array_distinct(F.regexp_extract_all("low", F.lit("[^ \\n]+"), F.lit(0))))
     context = F.lit("general")
     for k, c in enumerate(CONTEXTS):
         context = F.when(F.col("id") % 7 == k, c).otherwise(context)
@@ -190,9 +190,9 @@ def ocr_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, list_filter(l, lambda x: length(x) > 5)[1] AS title, list_filter(l, lambda x: regexp_full_match(x, '-?\d+\.?\d*')) AS x_axis, list_filter(l, lambda x: length(x) BETWEEN 3 AND 30) AS legend, regexp_extract_all(t, '\d+%|\d+\.\d+') AS labels
-FROM (SELECT doc_id, t, list_transform(string_split(t, chr(10)), lambda x: trim(x)) AS l FROM (SELECT doc_id, substr(text, 1, 60) || chr(10) || doc_id || chr(10) || (doc_id % 90) || '% and ' || (doc_id % 7) || '.5' AS t FROM documents))""")
+FROM (SELECT doc_id, t, list_transform(string_split(t, chr(10)), lambda x: trim(x)) AS l FROM (SELECT doc_id, text || chr(10) || doc_id || chr(10) || (doc_id % 90) || '% and ' || (doc_id % 7) || '.5' AS t FROM documents))""")
 def chart_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    t = F.concat(F.substring("text", 1, 60), F.lit("\n"), i.cast("string"), F.lit("\n"), (i % 90).cast("string"), F.lit("% and "), (i % 7).cast("string"), F.lit(".5"))
+    t = F.concat("text", F.lit("\n"), i.cast("string"), F.lit("\n"), (i % 90).cast("string"), F.lit("% and "), (i % 7).cast("string"), F.lit(".5"))
     docs = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).withColumn("l", F.transform(F.split("t", "\n"), lambda x: F.trim(x)))
     return docs.select("doc_id", F.get(F.filter("l", lambda x: F.length(x) > 5), 0).alias("title"), F.filter("l", lambda x: x.rlike(r"^-?\d+\.?\d*$")).alias("x_axis"), F.filter("l", lambda x: F.length(x).between(3, 30)).alias("legend"), F.regexp_extract_all("t", F.lit(r"\d+%|\d+\.\d+"), F.lit(0)).alias("labels"))

@@ -116,13 +116,17 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents by checksum: the even ids are stored, all but the multiples
-    of three come in."""
+    """Two versions of the documents, by checksum: a third of the ids is stored
+    only, a third comes in only, a third is in both.  The split is made up, and
+    so are the nulls, which updates must carry over."""
     docs = table(spark, sf_dir, "documents").select(F.substring(F.sha2("text", 256), 1, 12).alias("document_id"), "doc_id", "lang", "source", "n_chars")
-    return docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 <> 0")
+    old = docs.where("doc_id % 3 <> 1").withColumn("source", F.nullif("source", F.lit("src1")))
+    return old, docs.where("doc_id % 3 <> 0").withColumn("lang", F.nullif("lang", F.lit("de")))
 
 
-VERSIONS = "d AS (SELECT substr(sha256(text), 1, 12) AS document_id, doc_id, lang, source, n_chars FROM documents), old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY doc_id DESC) AS r FROM d WHERE doc_id % 2 = 0) WHERE r = 1), new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY doc_id DESC) AS r FROM d WHERE doc_id % 3 <> 0) WHERE r = 1)"
+VERSIONS = """d AS (SELECT substr(sha256(text), 1, 12) AS document_id, doc_id, lang, source, n_chars FROM documents),
+old AS (SELECT * FROM (SELECT document_id, doc_id, lang, nullif(source, 'src1') AS source, n_chars, row_number() OVER (PARTITION BY document_id ORDER BY doc_id DESC) AS r FROM d WHERE doc_id % 3 <> 1) WHERE r = 1),
+new AS (SELECT * FROM (SELECT document_id, doc_id, nullif(lang, 'de') AS lang, source, n_chars, row_number() OVER (PARTITION BY document_id ORDER BY doc_id DESC) AS r FROM d WHERE doc_id % 3 <> 0) WHERE r = 1)"""
 
 
 @query(f"WITH {VERSIONS} SELECT document_id, doc_id, lang, source, n_chars FROM new UNION ALL SELECT document_id, doc_id, lang, source, n_chars FROM old WHERE document_id NOT IN (SELECT document_id FROM new)")
@@ -132,17 +136,17 @@ def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.upsert(old, new, ["document_id"], ["doc_id"])
 
 
-@query(f"WITH {VERSIONS} SELECT coalesce(new.document_id, old.document_id) AS document_id, coalesce(old.doc_id, new.doc_id) AS doc_id, coalesce(new.lang, old.lang) AS lang, coalesce(old.source, new.source) AS source, coalesce(new.n_chars, old.n_chars) AS n_chars FROM new FULL JOIN old ON new.document_id = old.document_id")
+@query(f"WITH {VERSIONS} SELECT coalesce(new.document_id, old.document_id) AS document_id, coalesce(old.doc_id, new.doc_id) AS doc_id, CASE WHEN new.document_id IS NULL THEN old.lang ELSE new.lang END AS lang, CASE WHEN old.document_id IS NULL THEN new.source ELSE old.source END AS source, CASE WHEN new.document_id IS NULL THEN old.n_chars ELSE new.n_chars END AS n_chars FROM new FULL JOIN old ON new.document_id = old.document_id")
 def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = versions(spark, sf_dir)
     old = merge.latest(old, ["document_id"], ["doc_id"])
     return merge.upsert(old, new, ["document_id"], ["doc_id"], update=["lang", "n_chars"])
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
-    return merge.orphans(table(spark, sf_dir, "embeddings").select("vec_id"), docs, "vec_id", "doc_id")
+    """Texts that have no vector."""
+    return merge.orphans(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "embeddings"), "doc_id", "vec_id")
 
 
 @query("SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) AS BIGINT) AS point_id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 256 AS BIGINT) AS batch_no FROM embeddings")

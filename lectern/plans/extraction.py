@@ -67,7 +67,7 @@ def energy_report_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUIRED = ", ".join(f"CAST(len(regexp_extract_all(text, '{p}', 0, 'i')) AS INT) AS n_{n}" for n, p in X.ENERGY_REQUIRED)
 
 
-@query(f"SELECT *, 20 * ((n_account > 0)::INT + (n_address > 0)::INT + (n_usage > 0)::INT + (n_tips > 0)::INT + (n_comparison > 0)::INT) AS completeness FROM (SELECT doc_id, {REQUIRED} FROM (SELECT doc_id, {MARKED} AS text FROM documents))")
+@query(f"SELECT *, 20 * ((n_account_number > 0)::INT + (n_service_address > 0)::INT + (n_usage_analysis > 0)::INT + (n_energy_tips > 0)::INT + (n_comparison_data > 0)::INT) AS completeness FROM (SELECT doc_id, {REQUIRED} FROM (SELECT doc_id, {MARKED} AS text FROM documents))")
 def energy_report_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.regexp_count("text", F.lit("(?i)" + p)).alias(f"n_{n}") for n, p in X.ENERGY_REQUIRED]
     score = F.lit(0)
@@ -86,14 +86,15 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.clean(text).alias("text"))
 
 
-VARIED = "CASE doc_id % 8 WHEN 0 THEN '# ' || text WHEN 1 THEN text || ' table' WHEN 2 THEN 'x' || chr(10) || '* item' WHEN 3 THEN 'Tip: ' || substr(text, 1, 50) WHEN 4 THEN 'Account ' || substr(text, 1, 80) WHEN 5 THEN 'about 55 kWh and 120%' WHEN 6 THEN '© all rights' ELSE text END"
+#: Whole texts, with what the rarer rules look for before or after them.
+VARIED = "CASE doc_id % 8 WHEN 0 THEN '# ' || text WHEN 1 THEN text || ' table' WHEN 2 THEN text || chr(10) || '* item' WHEN 3 THEN 'Tip: ' || text WHEN 4 THEN 'Account ' || text WHEN 5 THEN text || ' about 55 kWh and 120%' WHEN 6 THEN text || ' © all rights' ELSE text END"
 
 
 def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, t = F.col("doc_id") % 8, F.col("text")
     made = (
-        F.when(m == 0, F.concat(F.lit("# "), t)).when(m == 1, F.concat(t, F.lit(" table"))).when(m == 2, F.lit("x\n* item")).when(m == 3, F.concat(F.lit("Tip: "), F.substring(t, 1, 50)))
-        .when(m == 4, F.concat(F.lit("Account "), F.substring(t, 1, 80))).when(m == 5, F.lit("about 55 kWh and 120%")).when(m == 6, F.lit("© all rights")).otherwise(t)
+        F.when(m == 0, F.concat(F.lit("# "), t)).when(m == 1, F.concat(t, F.lit(" table"))).when(m == 2, F.concat(t, F.lit("\n* item"))).when(m == 3, F.concat(F.lit("Tip: "), t))
+        .when(m == 4, F.concat(F.lit("Account "), t)).when(m == 5, F.concat(t, F.lit(" about 55 kWh and 120%"))).when(m == 6, F.concat(t, F.lit(" © all rights"))).otherwise(t)
     )
     return table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
 

@@ -16,14 +16,14 @@ from lectern.plans.registry import query, table
 
 PW, PH = 612.0, 792.0
 IMAGES = """img AS (SELECT p_partkey AS id, p_partkey % 40 AS doc, p_partkey % 4 AS page, CAST(p_partkey * 37 % 612 AS INT) AS x, CAST(p_partkey * 53 % 792 AS INT) AS y, CAST(p_size * 13 % 700 + 5 AS INT) AS w, CAST(p_partkey * 29 % 600 + 5 AS INT) AS h,
-CAST(p_partkey * 31 % 2000 AS INT) AS colours, p_partkey % 2 = 0 AS has_text, p_partkey % 3 = 0 AS company, p_partkey % 5 = 0 AS data, p_partkey % 7 = 0 AS qr, p_partkey % 11 = 0 AS activity, 'h' || (p_partkey % 97) AS hash, CAST(p_partkey % 17 AS DOUBLE) / 16 AS corr FROM part)"""
+CAST(p_partkey * 31 % 2000 AS INT) AS colours, p_partkey % 2 = 0 AS has_text, p_partkey % 3 = 0 AS company, p_partkey % 5 = 0 AS data, p_partkey % 7 = 0 AS qr, p_partkey % 11 = 0 AS activity, p_partkey % 13 = 0 AS site, 'h' || (p_partkey % 97) AS hash, CAST(p_partkey % 17 AS DOUBLE) / 16 AS corr FROM part)"""
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = F.col("p_partkey"), F.col("p_size")
     return table(spark, sf_dir, "part").select(
         p.alias("id"), (p % 40).alias("doc"), (p % 4).alias("page"), (p * 37 % 612).cast("int").alias("x"), (p * 53 % 792).cast("int").alias("y"), (s * 13 % 700 + 5).cast("int").alias("w"), (p * 29 % 600 + 5).cast("int").alias("h"),
-        (p * 31 % 2000).cast("int").alias("colours"), (p % 2 == 0).alias("has_text"), (p % 3 == 0).alias("company"), (p % 5 == 0).alias("data"), (p % 7 == 0).alias("qr"), (p % 11 == 0).alias("activity"),
+        (p * 31 % 2000).cast("int").alias("colours"), (p % 2 == 0).alias("has_text"), (p % 3 == 0).alias("company"), (p % 5 == 0).alias("data"), (p % 7 == 0).alias("qr"), (p % 11 == 0).alias("activity"), (p % 13 == 0).alias("site"),
         F.concat(F.lit("h"), (p % 97).cast("string")).alias("hash"), ((p % 17).cast("double") / 16).alias("corr"),
     )
 
@@ -55,16 +55,18 @@ KINDS_SQL = {
     "chart": " + ".join([sql_flag("rw > 0.6 OR rh > 0.6", 0.3), sql_flag("has_text", 0.4), sql_flag("colours < 50", 0.3), sql_flag("data", 0.3)]),
     "diagram": " + ".join([sql_flag("colours < 50", 0.4), sql_flag("has_text", 0.3), sql_flag("w / greatest(h, 1)::DOUBLE BETWEEN 0.5 AND 2", 0.2)]),
     "photo": " + ".join([sql_flag("colours > 1000", 0.4), sql_flag("NOT has_text", 0.3), sql_flag("w * h > 100000", 0.3), sql_flag("activity", 0.3)]),
-    "qr_code": " + ".join([sql_flag("w / greatest(h, 1)::DOUBLE BETWEEN 0.8 AND 1.2", 0.3), sql_flag("w * h < 10000 AND colours < 50", 0.2), sql_flag("qr", 0.4)]),
+    "qr_code": " + ".join([sql_flag("w / greatest(h, 1)::DOUBLE BETWEEN 0.8 AND 1.2", 0.3), sql_flag("w * h < 10000 AND colours < 50", 0.2), sql_flag("qr", 0.4), sql_flag("has_text AND site", 0.2)]),
 }
-KIND_ROWS = ", ".join(f"{{'s': round(({sql})::DOUBLE, 6), 'o': {-i}, 'k': '{k}', 'b': {dict(G.KIND_BOUNDS)[k]}}}" for i, (k, sql) in enumerate(KINDS_SQL.items()))
+#: Written out, so that a wrong bound of the engine shows.
+LEAST_SQL = {"logo": 0.6, "chart": 0.7, "diagram": 0.6, "photo": 0.5, "qr_code": 0.8}
+KIND_ROWS = ", ".join(f"{{'s': round(({sql})::DOUBLE, 6), 'o': {-i}, 'k': '{k}', 'b': {LEAST_SQL[k]}}}" for i, (k, sql) in enumerate(KINDS_SQL.items()))
 CLASSIFIED = f"{VIS}, best AS (SELECT *, list_max([{KIND_ROWS}]) AS m FROM vis), cls AS (SELECT *, CASE WHEN m.s >= m.b THEN m.k ELSE 'unknown' END AS type, CASE WHEN m.s >= m.b THEN least(m.s, 1.0) ELSE 0.3 END::DOUBLE AS confidence FROM best)"
 
 
 def classified(df: DataFrame) -> DataFrame:
     c = F.col
     r = G.position_ratios(c("x"), c("y"), c("w"), c("h"), PW, PH)
-    best = G.argmax(G.image_scores(c("w"), c("h"), r, c("colours"), c("has_text"), c("company"), c("data"), c("qr"), c("activity")))
+    best = G.argmax(G.image_scores(c("w"), c("h"), r, c("colours"), c("has_text"), c("company"), c("data"), c("qr"), c("activity"), c("site")))
     own = df.withColumn("best", best)
     bound = F.lit(9.0)
     for name, least in G.KIND_BOUNDS:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lectern import schemas
 
@@ -17,8 +17,8 @@ def jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def ocr_pages(spark: SparkSession, folder: str) -> DataFrame:
     """All `*_ocr.json` below a folder as pages; broken files are left out.  A
     page without a number gets its place among the files of its folder."""
-    raw = schemas.OCR_PAGE.add("_corrupt_record", "string") if "_corrupt_record" not in schemas.OCR_PAGE.names else schemas.OCR_PAGE
-    rows = spark.read.schema(StructType(raw.fields)).option("recursiveFileLookup", True).option("pathGlobFilter", "*_ocr.json").option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
+    raw = StructType([*schemas.OCR_PAGE.fields, StructField("_corrupt_record", StringType())])
+    rows = spark.read.schema(raw).option("recursiveFileLookup", True).option("pathGlobFilter", "*_ocr.json").option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
     rows = rows.select("*", F.col("_metadata.file_path").alias("path")).where("_corrupt_record IS NULL").drop("_corrupt_record")
     from pyspark.sql.window import Window
 
@@ -35,7 +35,7 @@ def first_text(spark: SparkSession, pattern: str) -> DataFrame:
 
 def image_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Image records of JSON reports, one row each, keyed by page."""
-    return spark.read.option("multiLine", True).json(path).select(F.explode("images").alias("image")).select("image.*")
+    return spark.read.schema(schemas.IMAGE_REPORT).option("multiLine", True).json(path).select(F.explode("images").alias("image")).select("image.*")
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

@@ -3,6 +3,7 @@ a reader sees all of a run or nothing of it."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -43,12 +44,17 @@ def staged(tables: dict[str, DataFrame], root: str, run_id: str) -> DataFrame:
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/run={run_id}")
-    pointer = spark.createDataFrame([(run_id, sorted(tables))], "run_id string, tables array<string>")
+    named = spark.createDataFrame([(run_id, sorted(tables))], "run_id string, tables array<string>")
+    try:
+        last = spark.read.parquet(f"{root}/_runs").agg(F.max("place")).first()[0]
+    except AnalysisException:  # the first run
+        last = 0
+    pointer = named.withColumn("place", F.lit(last + 1).cast("long"))
     pointer.write.mode("append").parquet(f"{root}/_runs")
     return pointer
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The table of the last run that was named."""
-    last = spark.read.parquet(f"{root}/_runs").agg(F.max("run_id")).first()[0]
+    """The table of the last run that was named with it."""
+    last = spark.read.parquet(f"{root}/_runs").where(F.array_contains("tables", name)).agg(F.max_by("run_id", "place")).first()[0]
     return spark.read.parquet(f"{root}/{name}/run={last}")

@@ -163,6 +163,8 @@ def test_upserts(spark):
     new = spark.createDataFrame([("b", 3, "z"), ("c", 4, "w"), ("c", 5, "v")], "k string, n int, t string")
     assert sorted(map(tuple, merge.upsert(old, new, ["k"], ["n"]).collect())) == [("a", 1, "x"), ("b", 3, "z"), ("c", 5, "v")]
     assert sorted(map(tuple, merge.upsert(old, new, ["k"], ["n"], update=["t"]).collect())) == [("a", 1, "x"), ("b", 2, "z"), ("c", 5, "v")]
+    update = merge.upsert(old.withColumn("t", F.lit(None).cast("string")), new.withColumn("n", F.nullif("n", F.lit(3))), ["k"], ["n"], update=["n"])
+    assert sorted(map(tuple, update.collect())) == [("a", 1, None), ("b", None, None), ("c", 5, "v")]
     assert [r.i for r in merge.numbered(spark.range(1000).repartition(5), "id", "i").orderBy("id").collect()] == list(range(1, 1001))
     assert merge.numbered(spark.range(0), "id", "i").count() == 0
 
@@ -174,6 +176,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "a/ocr_results/p2_ocr.json").write_text("{broken")
     found = sorted((r.page_number, r.text, r.confidence) for r in readers.ocr_pages(spark, str(tmp_path)).collect())
     assert found == [(0, "one", 90.5), (1, "two", 0.0)]
+    assert schemas.OCR_PAGE.names == ["page_number", "text", "confidence"]
     listing = {r.extension: (r.n, r.bytes) for r in readers.manifest(readers.files(spark, str(tmp_path))).collect()}
     assert listing[".json"][0] == 3
     (tmp_path / "c.jsonl").write_text('{"chunk_id": "a:c0", "text": "t"}\n\n{"chunk_id": "a:c1"}\n')
@@ -190,6 +193,8 @@ def test_sinks(spark, tmp_path):
     sinks.staged({"t": df}, str(tmp_path / "root"), "20240101")
     sinks.staged({"t": df.withColumn("id", F.lit(2))}, str(tmp_path / "root"), "20240102")
     assert sinks.current(spark, str(tmp_path / "root"), "t").first().id == 2
+    sinks.staged({"t": df.withColumn("id", F.lit(3))}, str(tmp_path / "root"), "20230101")
+    assert sinks.current(spark, str(tmp_path / "root"), "t").first().id == 3
     sinks.report(df, str(tmp_path / "report"))
     sinks.markdown(df.withColumn("b", F.lit("body")), str(tmp_path / "md"), "id", "b")
     assert "body" in [r.value for r in spark.read.text(str(tmp_path / "md")).collect()]
@@ -204,6 +209,27 @@ def test_stream(spark, tmp_path):
     assert set(found) == {1, 2, 7} and found[7].endswith("v2")
 
 
+def test_pages_of_a_document_in_several_batches(spark, tmp_path):
+    pages = [" ".join(f"p{n}w{i}" for i in range(40)) for n in range(3)]
+    batches = [[(1, 0, pages[0]), (2, 0, pages[0])], [(1, 1, pages[1])], [(1, 0, pages[2]), (2, 0, "gone")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "doc_id long, page int, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+        ingest.ingest(spark, str(tmp_path / "pages"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
+    found = sorted((r.document_id, r.chunk_index, r.page_num, r.start_char, r.text) for r in ingest.current(spark, str(tmp_path / "out")).collect())
+    assert found == [(1, 0, 0, 0, pages[2]), (1, 1, 1, len(pages[2]), pages[1])]
+
+
+def test_images_that_are_barely_sure(spark):
+    """A logo needs .6, and a site that the page names helps a code."""
+    from lectern.plans import layout
+
+    row = (1, 0, 0, 0, 0, 90, 300, 400, False, True, False, False, False, False, 0.0)
+    names = "id long, doc long, page long, x int, y int, w int, h int, colours int, has_text boolean, company boolean, data boolean, qr boolean, activity boolean, site boolean, corr double"
+    code = (2, 0, 0, 300, 400, 60, 60, 40, True, False, False, True, False, True, 0.0)
+    found = {r.id: (r.type, r.confidence) for r in layout.classified(layout.visible(spark.createDataFrame([row, code], names))).collect()}
+    assert found == {1: ("logo", 0.7), 2: ("qr_code", 1.0)}
+
+
 def test_near_index_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     probes = rows.where("vec_id % 100 = 0")
