@@ -1,10 +1,9 @@
 """Substring dedup by hashing of lines and passages.
 
 The words of a text (lower case) are cut into units: a unit ends after a word
-with a full stop, question or exclamation mark, or after one of about one word
-in eight, picked by the word's own MD5, so that where units end depends on the
-words alone and never on line breaks or on what stands around a passage.  Two
-kinds of blocks are hashed:
+whose MD5 is not above those of the `REACH` words before and after it, so that
+where units end depends on the words alone and never on line breaks, marks or
+what stands farther off.  Two kinds of blocks are hashed:
 
 * passages: from the start of each unit (or line, or the text) on as many
   units as make `least_words` words or more, or what the text has left if that
@@ -36,6 +35,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,29 +43,41 @@ from pyspark.sql.window import Window
 
 from lectern.llm.common import cut, small_batches
 
-UNITS = "doc_id long, text_key long, start long, stop long, first_word int, last_word int, high long, low long"
+UNITS = "doc_id long, text_key long, start int, stop int, first_word int, last_word int, high long, low long"
 NULL_ID = -(2**63)
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-LEAST_WORDS, LINE_WORDS = 30, 20
+LEAST_WORDS, LINE_WORDS, REACH = 25, 20, 3
 
 
-class Ends(dict):
-    """Whether a unit ends after a word, kept when a word is first seen."""
+class Ranks(dict):
+    """The leading 32 bits of words' MD5s, kept when a word is first seen."""
 
-    def __missing__(self, word: bytes) -> bool:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= 100_000:
             self.clear()
-        found = self[word] = word[-1:] in b".!?" or hashlib.md5(word).digest()[0] < 32
+        found = self[word] = int.from_bytes(hashlib.md5(word).digest()[:4], "big")
         return found
 
 
+def unit_ends(words: list[bytes], ranks: Ranks) -> list[int]:
+    """Places behind the last words of units."""
+    n = len(words)
+    wide = np.full(n + 2 * REACH, 1 << 32, dtype=np.int64)
+    own = wide[REACH : REACH + n]
+    own[:] = [ranks[w] for w in words]
+    low = np.ones(n, dtype=bool)
+    for k in range(1, REACH + 1):
+        low &= (own <= wide[REACH - k : REACH - k + n]) & (own <= wide[REACH + k : REACH + k + n])
+    return (np.nonzero(low)[0] + 1).tolist()
+
+
 def lowered(text: str) -> str:
     """Lower case, code point by code point where the whole would get longer."""
     low = text.lower()
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def blocks_of(text: str, ends: Ends, least_words: int, line_words: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+def blocks_of(text: str, ranks: Ranks, least_words: int, line_words: int) -> Iterator[tuple[int, int, int, int, int, int]]:
     """start, stop, first word, last word (exclusive) and digest of each block."""
     low = lowered(text)
     words = low.encode("utf-8", "surrogatepass").split()
@@ -73,7 +85,7 @@ def blocks_of(text: str, ends: Ends, least_words: int, line_words: int) -> Itera
     if not n:
         return
     lines = [0, *accumulate(len(x.encode("utf-8", "surrogatepass").split()) for x in low.split("\n"))]
-    cuts = [i for i, w in enumerate(words, 1) if ends[w]]
+    cuts = unit_ends(words, ranks)
     found = {(a, b) for a, b in zip(lines, lines[1:], strict=False) if b - a >= max(1, line_words)}
     for a in {0, *cuts, *lines}:
         if n - a >= least_words:
@@ -88,11 +100,11 @@ def blocks_of(text: str, ends: Ends, least_words: int, line_words: int) -> Itera
 
 def hashed_blocks(docs: DataFrame, least_words: int, line_words: int) -> DataFrame:
     """UNITS of each row."""
-    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()] * 2
+    types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.int64()] * 2
     names = [x.split()[0] for x in UNITS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, held = Ends(), []
+        ranks, held = Ranks(), []
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names)
@@ -101,7 +113,7 @@ def hashed_blocks(docs: DataFrame, least_words: int, line_words: int) -> DataFra
             for doc_id, key, text in zip(*batch.columns, strict=True):
                 if text := text.as_py():
                     lead = (doc_id.as_py(), key.as_py())
-                    held += [(*lead, *block) for block in blocks_of(text, ends, least_words, line_words)]
+                    held += [(*lead, *block) for block in blocks_of(text, ranks, least_words, line_words)]
                 if len(held) >= 20_000:
                     yield out()
                     held = []
@@ -117,11 +129,11 @@ def repeated_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, line_words:
     stays as first_doc_id and first_start."""
     units = cut(hashed_blocks(docs, least_words, line_words), "blocks")
     # a hot block is one row for each task before it is shuffled; the join below only has blocks that repeat, and its hot keys can be split
-    place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("start"), "doc_id")
+    place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("start"))
     firsts = units.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = units.join(firsts, ["high", "low"])
     later = (F.coalesce("doc_id", F.lit(NULL_ID)) != F.col("first.id")) | (F.col("start") != F.col("first.start"))
-    return found.where(later).drop("high", "low").select("*", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")).drop("first")
+    return found.where(later).drop("high", "low").select("*", F.nullif(F.col("first.id"), F.lit(NULL_ID)).alias("first_doc_id"), F.col("first.start").alias("first_start")).drop("first")
 
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
@@ -139,7 +151,7 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, line_words:
         F.count(F.lit(1)).alias("n_blocks"),
         F.min(F.struct("first_word", "last_word", "first_doc_id", "first_start")).alias("lead"),
     )
-    return merged.select("doc_id", "text_key", "start", "stop", "n_words", "n_blocks", "lead.first_doc_id", "lead.first_start")
+    return merged.select("doc_id", "text_key", *[F.col(c).cast("long").alias(c) for c in ("start", "stop")], "n_words", "n_blocks", "lead.first_doc_id", F.col("lead.first_start").cast("long").alias("first_start"))
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:

@@ -150,10 +150,11 @@ def line_edits(docs, min_chars=20):
     return out
 
 
-def passage_blocks(text, least_words=30, line_words=20):
+def passage_blocks(text, least_words=25, line_words=20):
     """(first word, last word) of what is hashed, by the rules one by one."""
     w = words(text.lower())
-    ends = [i + 1 for i, x in enumerate(w) if x[-1] in ".!?" or hashlib.md5(x.encode()).hexdigest()[0] in "01"]
+    rank = [hashlib.md5(x.encode()).hexdigest()[:8] for x in w]
+    ends = [i + 1 for i, x in enumerate(rank) if x == min(rank[max(0, i - 3) : i + 4])]
     lines, n = [], 0
     for line in text.split("\n"):
         k = len(words(line))
@@ -168,7 +169,7 @@ def passage_blocks(text, least_words=30, line_words=20):
     return sorted(out)
 
 
-def repeated_spans(docs, least_words=30, line_words=20):
+def repeated_spans(docs, least_words=25, line_words=20):
     """docs with different ids, none null.  The spans that go."""
     first, out = {}, []
     for d, text in sorted(docs, key=lambda r: r[0]):
