@@ -67,49 +67,41 @@ def length_class(n: Column, edits: int, per_edit: int) -> Column:
     return F.struct(k.alias("k"), low.alias("low"), F.floor(low / (k + 1)).cast("int").alias("w"))
 
 
-def block_keys(line: Column, c: Column, shifted: bool) -> Column:
-    """Hashes of the blocks of class c: the first half of them by their place
-    from the left, the others from the right; with `shifted` of all places
-    where they can stand in a partner."""
-    k, w, n = c["k"], c["w"], F.length(line)
-
-    def places(j: Column) -> Column:
-        left = j * 2 <= k
-        far = F.when(left, j).otherwise(k - j) if shifted else F.lit(0)
-        at = F.when(left, j * w).otherwise(n - (k - j + 1) * w)
-        return F.transform(F.sequence(-far, far), lambda x: F.xxhash64(k, c["low"], j, F.substring(line, at + x + 1, w)))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), k), places))
-
-
 def key_rows(texts: DataFrame, edits: int, per_edit: int) -> DataFrame:
-    """key, h1, moved (false: a block of the line itself)."""
-    line, n = F.col("line"), F.length("line")
-    shorter = F.sequence(F.greatest(F.lit(1), n - edit_bound(n, edits, per_edit)), n)
-    classes = F.array_distinct(F.transform(shorter, lambda m: length_class(m, edits, per_edit)))
-    own = F.transform(F.array(length_class(n, edits, per_edit)), lambda c: block_keys(line, c, False))
-    partner = F.transform(classes, lambda c: block_keys(line, c, True))
-
-    def as_rows(keys: Column, moved: bool) -> Column:
-        return F.transform(F.array_distinct(F.flatten(keys)), lambda key: F.struct(key.alias("key"), F.lit(moved).alias("moved")))
-
-    return texts.select("h1", F.explode(F.concat(as_rows(own, False), as_rows(partner, True))).alias("x")).select("x.key", "h1", "x.moved")
+    """key, h1, moved (false: a block of the line itself): hashes of the blocks
+    of a class, the first half of them by their place from the left, the others
+    from the right; moved ones of all places where they can stand in a partner.
+    Rows are spread by generators, which compile, unlike functions of arrays."""
+    n, m = F.length("line"), F.col("m")
+    # the classes of the line and of partners that are shorter
+    shorter = texts.select("h1", "line", n.alias("n"), F.explode(F.sequence(F.greatest(F.lit(1), n - edit_bound(n, edits, per_edit)), n)).alias("m"))
+    own, last = length_class(m, edits, per_edit), length_class(m - 1, edits, per_edit)
+    classes = shorter.withColumns({"c": own, "before": last}).where((m == F.greatest(F.lit(1), F.col("n") - edit_bound(F.col("n"), edits, per_edit))) | (F.col("c") != F.col("before")))
+    k, w, j, x = F.col("c.k"), F.col("c.w"), F.col("j"), F.col("x")
+    blocks = classes.select("h1", "line", "n", "c", (F.col("c") == length_class(F.col("n"), edits, per_edit)).alias("is_own"), F.explode(F.sequence(F.lit(0), k)).alias("j"))
+    left = j * 2 <= k
+    far = F.when(left, j).otherwise(k - j)
+    # a partner's block at the line's own place has a moved row besides the line's own row, whose x is null
+    places = F.when(F.col("is_own"), F.concat(F.array(F.lit(None).cast("int")), F.sequence(-far, far))).otherwise(F.sequence(-far, far))
+    at = F.when(left, j * w).otherwise(F.col("n") - (k - j + 1) * w) + F.coalesce(x, F.lit(0))
+    return blocks.select("*", F.explode(places).alias("x")).select(F.xxhash64(k, F.col("c.low"), j, F.substring("line", at + 1, w)).alias("key"), "h1", x.isNotNull().alias("moved"))
 
 
 #: Groups of letters whose numbers in a line are compared; any groups that do not overlap would do.
-GROUPS = ("aàáâä", "eéèêë", "iíìîï", "oóòôöu", "n", "rzjq", "sxkw", "t", "ld", "hgf", "cmb", "pvy", ".,;:!?", " ")
+GROUPS = ("aàáâä", "eéèêë", "iíìîï", "oóòôö", "uúùûü", "n", "rz", "s", "t", "l", "d", "h", "g", "fjq", "c", "mx", "bk", "pvyw", ".,;:", "!?*#%$", " ")
 
 
 def letter_counts(line: Column) -> Column:
-    """Two longs of seven bytes, each the number of a group's letters, at most 255."""
-    counts = [F.least(F.length(line) - F.length(F.translate(line, g, "")), F.lit(255)).cast("long") for g in GROUPS]
-    packed = [sum((F.shiftleft(c, 8 * i) for i, c in enumerate(own)), F.lit(0).cast("long")) for own in (counts[:7], counts[7:])]
-    return F.struct(packed[0].alias("x"), packed[1].alias("y"))
+    """Three longs of seven bytes, each the number of a group's letters, at most 255."""
+    low = F.lower(line)
+    counts = [F.least(F.length(low) - F.length(F.translate(low, g, "")), F.lit(255)).cast("long") for g in GROUPS]
+    packed = {name: sum((F.shiftleft(c, 8 * i) for i, c in enumerate(counts[at : at + 7])), F.lit(0).cast("long")) for name, at in (("x", 0), ("y", 7), ("z", 14))}
+    return F.struct(*[c.alias(name) for name, c in packed.items()])
 
 
 def counts_differ(a: str, b: str) -> Column:
     """By how much the counts of two lines differ; at most twice their edits."""
-    parts = [F.abs(F.shiftright(F.col(f"{a}.{c}"), 8 * i).bitwiseAND(255) - F.shiftright(F.col(f"{b}.{c}"), 8 * i).bitwiseAND(255)) for c in "xy" for i in range(7)]
+    parts = [F.abs(F.shiftright(F.col(f"{a}.{c}"), 8 * i).bitwiseAND(255) - F.shiftright(F.col(f"{b}.{c}"), 8 * i).bitwiseAND(255)) for c in "xyz" for i in range(7)]
     return sum(parts[1:], parts[0])
 
 
@@ -154,23 +146,24 @@ def earliest_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1, per_edi
     once = long.groupBy("h1", "h2").agg(F.first("line").alias("line"))
     of_key = Window.partitionBy("key")
     rows = key_rows(once, edits, per_edit).select("*", F.min("h1").over(of_key).alias("low"), F.max("h1").over(of_key).alias("high"), F.min("moved").over(of_key).alias("all_moved"))
-    rows = cut(rows.where("low <> high AND NOT all_moved").select("key", "h1", "moved"), "shared-keys")
+    rows = cut(rows.where("low <> high AND NOT all_moved").select("key", "h1", "moved").distinct(), "shared-keys")
     near = cut(rows.select("h1").distinct(), "near-lines")
     small = near.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     texts = long.select("line", "h1", "h2").join(F.broadcast(near) if small else near, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     texts = cut(texts.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).withColumn("bag", letter_counts(F.col("line"))), "near-texts")
     # the earliest of each key
-    rows = rows.join(texts.select("h1", "first", F.length("line").alias("n"), "bag"), "h1")
+    rows = rows.join(texts.select("h1", "first", F.length("line").alias("n"), "bag", "line"), "h1")
     own, partner = F.min(F.when(~F.col("moved"), F.col("first"))).over(of_key), F.min(F.when(F.col("moved"), F.col("first"))).over(of_key)
-    rows = cut(rows.select("key", "moved", "first", "n", "bag", F.when(F.col("moved"), own).otherwise(partner).alias("to")), "keys")
+    rows = cut(rows.select("key", "moved", "first", "n", "bag", "line", F.when(F.col("moved"), own).otherwise(partner).alias("to")), "keys")
     good = cut(verified(rows.where("to < first").select("first", "to").distinct(), texts, edits, per_edit), "first-links")
-    # the others of a key that has one before what was found
+    # the others of a key that has one before what was found; what is no link does not leave the join
     open_rows = rows.join(good.withColumnRenamed("to", "found"), "first", "left").withColumn("found", F.coalesce("found", "first")).where("to < found")
-    others = rows.select("key", F.col("moved").alias("as"), F.col("first").alias("other"), F.col("n").alias("m"), F.col("bag").alias("other_bag"))
-    left = open_rows.join(others, "key").where((F.col("as") != F.col("moved")) & (F.col("other") > F.col("to")) & (F.col("other") < F.col("found")))
-    bound = edit_bound(F.least("n", "m"), edits, per_edit)
-    left = left.where((F.abs(F.col("n") - F.col("m")) <= bound) & (counts_differ("bag", "other_bag") <= 2 * bound)).select("first", F.col("other").alias("to")).distinct()
-    good = good.unionByName(verified(left, texts, edits, per_edit)).groupBy("first").agg(F.min("to").alias("to"))
+    others = rows.select("key", F.col("moved").alias("as"), F.col("first").alias("other"), F.col("n").alias("m"), F.col("bag").alias("other_bag"), F.col("line").alias("other_line"))
+    most = edit_bound(F.least("n", "m"), edits, per_edit)
+    fit = (F.col("as") != F.col("moved")) & (F.col("other") > F.col("to")) & (F.col("other") < F.col("found"))
+    fit = fit & (F.abs(F.col("n") - F.col("m")) <= most) & (counts_differ("bag", "other_bag") <= 2 * most) & within(F.col("line"), F.col("other_line"), most)
+    more = open_rows.withColumnRenamed("key", "own_key").join(others, (F.col("own_key") == F.col("key")) & fit).groupBy("first").agg(F.min("other").alias("to"))
+    good = good.unionByName(more).groupBy("first").agg(F.min("to").alias("to"))
     good = good.select(F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2"), "to")
     found = distinct.join(good, ["h1", "h2"], "left").where("n > 1 OR to IS NOT NULL")
     return lines, found.select("h1", "h2", F.least("first", "to").alias("keep"))
