@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 from lectern.llm.common import bound, cut
 
 NULL_ID = -(2**63)
-#: Lines up to which a list of hashes goes to all executors: 16 bytes each.
+#: Lines up to which a list of hashes goes to all executors: 40 bytes each at most.
 BROADCAST_LINES = 300_000
 
 
@@ -87,14 +87,13 @@ def key_rows(texts: DataFrame, edits: int, per_edit: int) -> DataFrame:
     return blocks.select("*", F.explode(places).alias("x")).select(F.xxhash64(k, F.col("c.low"), j, F.substring("line", at + 1, w)).alias("key"), "h1", x.isNotNull().alias("moved"))
 
 
-#: Groups of letters whose numbers in a line are compared; any groups that do not overlap would do.
-GROUPS = ("aàáâä", "eéèêë", "iíìîï", "oóòôö", "uúùûü", "n", "rz", "s", "t", "l", "d", "h", "g", "fjq", "c", "mx", "bk", "pvyw", ".,;:", "!?*#%$", " ")
+#: Characters whose numbers in a line are compared; any would do.
+COUNTED = "etaoinshrdlucmfgpbvk "
 
 
 def letter_counts(line: Column) -> Column:
-    """Three longs of seven bytes, each the number of a group's letters, at most 255."""
-    low = F.lower(line)
-    counts = [F.least(F.length(low) - F.length(F.translate(low, g, "")), F.lit(255)).cast("long") for g in GROUPS]
+    """Three longs of seven bytes, each the number of a character, at most 255."""
+    counts = [F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long") for c in COUNTED]
     packed = {name: sum((F.shiftleft(c, 8 * i) for i, c in enumerate(counts[at : at + 7])), F.lit(0).cast("long")) for name, at in (("x", 0), ("y", 7), ("z", 14))}
     return F.struct(*[c.alias(name) for name, c in packed.items()])
 
@@ -143,13 +142,15 @@ def earliest_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1, per_edi
     distinct = cut(distinct.select("h1", "h2", F.struct(F.col("p.id").alias("id"), F.col("p.no").alias("no"), "h1", "h2").alias("first"), "n"), "distinct-lines")
     # what different lines share
     long = every.where(F.length("line") >= min_chars)
-    once = long.groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    again = distinct.where("n > 1").select("h1", "h2", F.col("first.id").alias("id"), F.col("first.no").alias("no"))
+    few = again.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    once = long.join(F.broadcast(again) if few else again, ["h1", "h2"], "left").where("id IS NULL OR (id = coalesce(doc_id, %d) AND no = line_no)" % NULL_ID).select("h1", "h2", "line")
     of_key = Window.partitionBy("key")
     rows = key_rows(once, edits, per_edit).select("*", F.min("h1").over(of_key).alias("low"), F.max("h1").over(of_key).alias("high"), F.min("moved").over(of_key).alias("all_moved"))
     rows = cut(rows.where("low <> high AND NOT all_moved").select("key", "h1", "moved").distinct(), "shared-keys")
     near = cut(rows.select("h1").distinct(), "near-lines")
     small = near.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    texts = long.select("line", "h1", "h2").join(F.broadcast(near) if small else near, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    texts = once.join(F.broadcast(near) if small else near, "h1", "left_semi").dropDuplicates(["h1", "h2"])
     texts = cut(texts.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).withColumn("bag", letter_counts(F.col("line"))), "near-texts")
     # the earliest of each key
     rows = rows.join(texts.select("h1", "first", F.length("line").alias("n"), "bag", "line"), "h1")
