@@ -16,7 +16,7 @@ are one span.  Offsets are code points of the original text, end exclusive.
 
 Of a passage that two texts share, what lies before its first unit and after
 its last stays, so a passage is found if it has `least_words` words besides
-those; most passages of 50 words have.  Blocks that are shorter repeat by
+those; passages of over 50 words mostly have.  Blocks that are shorter repeat by
 chance and as plain headers and footers; they are left alone.
 
 Defined results: null and empty texts have no words; a null doc_id ranks
@@ -43,7 +43,8 @@ from pyspark.sql.window import Window
 
 from lectern.llm.common import cut, small_batches
 
-UNITS = "doc_id long, text_key long, start int, stop int, first_word int, last_word int, high long, low long"
+#: Narrow on purpose: there is a row for every five words or so.  The digest has 96 bits, and text_key tells texts of one id apart.
+UNITS = "doc_id long, text_key int, start int, chars int, first_word int, n_words int, high long, low int"
 NULL_ID = -(2**63)
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LEAST_WORDS, LINE_WORDS, REACH = 25, 20, 3
@@ -78,7 +79,7 @@ def lowered(text: str) -> str:
 
 
 def blocks_of(text: str, ranks: Ranks, least_words: int, line_words: int) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """start, stop, first word, last word (exclusive) and digest of each block."""
+    """start, characters, first word, number of words and digest of each block."""
     low = lowered(text)
     words = low.encode("utf-8", "surrogatepass").split()
     n = len(words)
@@ -95,12 +96,12 @@ def blocks_of(text: str, ranks: Ranks, least_words: int, line_words: int) -> Ite
         spans = [m.span() for m in WORDS.finditer(text)]
         joined, at = b" ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
         for a, b in sorted(found):
-            yield spans[a][0], spans[b - 1][1], a, b, *struct.unpack("<qq", hashlib.md5(joined[at[a] : at[b] - 1]).digest())
+            yield spans[a][0], spans[b - 1][1] - spans[a][0], a, b - a, *struct.unpack("<qi", hashlib.md5(joined[at[a] : at[b] - 1]).digest()[:12])
 
 
 def hashed_blocks(docs: DataFrame, least_words: int, line_words: int) -> DataFrame:
     """UNITS of each row."""
-    types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.int64()] * 2
+    types = [pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int32()]
     names = [x.split()[0] for x in UNITS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +122,7 @@ def hashed_blocks(docs: DataFrame, least_words: int, line_words: int) -> DataFra
             yield out()
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, UNITS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_key"), "text").mapInArrow(run, UNITS)
 
 
 def repeated_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
@@ -137,21 +138,20 @@ def repeated_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, line_words:
 
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
-    """The spans that go: doc_id, text_key, start, stop, n_words, n_blocks and
-    what stays for the first block in it as first_doc_id and first_start."""
-    of_text = Window.partitionBy("doc_id", "text_key").orderBy("first_word", "last_word")
+    """The spans that go: doc_id, text_key, start, stop, n_words and what stays
+    for the first block in it as first_doc_id and first_start."""
+    of_text = Window.partitionBy("doc_id", "text_key").orderBy("first_word", "n_words")
     before = of_text.rowsBetween(Window.unboundedPreceding, -1)
-    rows = repeated_blocks(docs, least_words, line_words).distinct()
+    rows = repeated_blocks(docs, least_words, line_words).withColumn("last_word", F.col("first_word") + F.col("n_words"))
     rows = rows.withColumn("opens", (F.col("first_word") > F.coalesce(F.max("last_word").over(before), F.lit(-1))).cast("int"))
     rows = rows.withColumn("span", F.sum("opens").over(of_text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = rows.groupBy("doc_id", "text_key", "span").agg(
         F.min("start").alias("start"),
-        F.max("stop").alias("stop"),
+        F.max(F.col("start") + F.col("chars")).alias("stop"),
         (F.max("last_word") - F.min("first_word")).cast("long").alias("n_words"),
-        F.count(F.lit(1)).alias("n_blocks"),
-        F.min(F.struct("first_word", "last_word", "first_doc_id", "first_start")).alias("lead"),
+        F.min(F.struct("first_word", "n_words", "first_doc_id", "first_start")).alias("lead"),
     )
-    return merged.select("doc_id", "text_key", *[F.col(c).cast("long").alias(c) for c in ("start", "stop")], "n_words", "n_blocks", "lead.first_doc_id", F.col("lead.first_start").cast("long").alias("first_start"))
+    return merged.select("doc_id", "text_key", *[F.col(c).cast("long").alias(c) for c in ("start", "stop")], "n_words", "lead.first_doc_id", F.col("lead.first_start").cast("long").alias("first_start"))
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
@@ -160,7 +160,7 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, line_words:
     span = F.struct("start", "stop")
     gone = repeated_spans(docs, least_words, line_words).groupBy(F.col("doc_id").alias("_lx_id"), F.col("text_key").alias("_lx_key")).agg(F.array_sort(F.collect_list(span)).alias("_lx_gone"))
     own = [c for c in docs.columns if c.lower() != "removed"]
-    rows = docs.select(*own).withColumn("_lx_own", F.xxhash64("text"))
+    rows = docs.select(*own).withColumn("_lx_own", F.hash("text"))
     rows = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["_lx_id"]) & (rows["_lx_own"] == gone["_lx_key"]), "left")
     spans = F.coalesce("_lx_gone", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
     # what is left lies before the first span, between two of them and after the last

@@ -39,7 +39,7 @@ u AS (SELECT b.doc_id, b.i, b.last, min(stop - chars)::BIGINT AS start, max(stop
 f AS (SELECT *, first_value(doc_id) OVER g AS first_doc_id, first_value(start) OVER g AS first_start FROM u WINDOW g AS (PARTITION BY words ORDER BY doc_id, start)),
 k AS (SELECT *, CASE WHEN i > coalesce(max(last) OVER (PARTITION BY doc_id ORDER BY i, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 THEN 1 ELSE 0 END AS opens FROM f WHERE doc_id <> first_doc_id OR start <> first_start),
 z AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i, last) AS span FROM k)
-SELECT doc_id, min(start) AS start, max(stop) AS stop, (max(last) - min(i) + 1)::BIGINT AS n_words, count(*) AS n_blocks, arg_min(first_doc_id, i * 1000000000 + last) AS first_doc_id, arg_min(first_start, i * 1000000000 + last) AS first_start FROM z GROUP BY doc_id, span
+SELECT doc_id, min(start) AS start, max(stop) AS stop, (max(last) - min(i) + 1)::BIGINT AS n_words, arg_min(first_doc_id, i * 1000000000 + last) AS first_doc_id, arg_min(first_start, i * 1000000000 + last) AS first_start FROM z GROUP BY doc_id, span
 """
 
 OP10 = r"""

@@ -182,10 +182,9 @@ def repeated_spans(docs, least_words=25, line_words=20):
             if place != (d, spans[a][0]):
                 if held and a <= held[-1][1]:
                     held[-1][1] = max(b, held[-1][1])
-                    held[-1][2] += 1
                 else:
-                    held.append([a, b, 1, place])
-        out += [(d, spans[a][0], spans[b - 1][1], b - a, n, *place) for a, b, n, place in held]
+                    held.append([a, b, place])
+        out += [(d, spans[a][0], spans[b - 1][1], b - a, *place) for a, b, place in held]
     return out
 
 
