@@ -5,9 +5,9 @@ whose MD5 is not above those of the `REACH` words before and after it, so that
 where units end depends on the words alone and never on line breaks, marks or
 what stands farther off.  Two kinds of blocks are hashed:
 
-* passages: from the start of each unit (or line, or the text) on as many
-  units as make `least_words` words or more, or what the text has left if that
-  is as much;
+* passages: from the start of each unit, of the text and of each line that is
+  too short for a block of its own, on as many units as make `least_words`
+  words or more, or what the text has left if that is as much;
 * lines of `line_words` words or more.
 
 Digests are grouped over all documents; the occurrence with the smallest
@@ -87,8 +87,9 @@ def blocks_of(text: str, ranks: Ranks, least_words: int, line_words: int) -> Ite
         return
     lines = [0, *accumulate(len(x.encode("utf-8", "surrogatepass").split()) for x in low.split("\n"))]
     cuts = unit_ends(words, ranks)
-    found = {(a, b) for a, b in zip(lines, lines[1:], strict=False) if b - a >= max(1, line_words)}
-    for a in {0, *cuts, *lines}:
+    spread = list(zip(lines, lines[1:], strict=False))
+    found = {(a, b) for a, b in spread if b - a >= max(1, line_words)}
+    for a in {0, *cuts, *[a for a, b in spread if b - a < max(1, line_words)]}:
         if n - a >= least_words:
             at = bisect_left(cuts, a + least_words)
             found.add((a, cuts[at] if at < len(cuts) else n))

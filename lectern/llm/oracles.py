@@ -31,10 +31,10 @@ OP7 = r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(text, '[\x20\x09-\x0D]+') AS gaps, regexp_matches(text, '^[\x20\x09-\x0D]') AS led FROM documents WHERE text <> ''),
 q AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS raw, unnest(CASE WHEN led THEN gaps ELSE list_prepend('', gaps) END) AS gap FROM t),
 o AS (SELECT doc_id, n, i, lower(raw) AS word, length(raw) AS chars, substr(md5(lower(raw)), 1, 8) = min(substr(md5(lower(raw)), 1, 8)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS ends, i = 1 OR contains(gap, chr(10)) AS line, sum(length(gap) + length(raw)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM q WHERE i <= n),
-r AS (SELECT *, coalesce(lag(ends) OVER d, true) OR line AS opens,
+r AS (SELECT *, coalesce(lag(ends) OVER d, true) AS opens,
   coalesce(min(CASE WHEN ends THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 24 FOLLOWING AND UNBOUNDED FOLLOWING), n) AS last,
   coalesce(min(CASE WHEN line THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, n) AS line_last FROM o WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-b AS (SELECT doc_id, i, last FROM r WHERE opens AND n - i >= 24 UNION SELECT doc_id, i, line_last FROM r WHERE line AND line_last - i >= 19),
+b AS (SELECT doc_id, i, last FROM r WHERE (opens OR line AND line_last - i < 19) AND n - i >= 24 UNION SELECT doc_id, i, line_last FROM r WHERE line AND line_last - i >= 19),
 u AS (SELECT b.doc_id, b.i, b.last, min(stop - chars)::BIGINT AS start, max(stop)::BIGINT AS stop, string_agg(word, ' ' ORDER BY o.i) AS words FROM b JOIN o ON o.doc_id = b.doc_id AND o.i BETWEEN b.i AND b.last GROUP BY b.doc_id, b.i, b.last),
 f AS (SELECT *, first_value(doc_id) OVER g AS first_doc_id, first_value(start) OVER g AS first_start FROM u WINDOW g AS (PARTITION BY words ORDER BY doc_id, start)),
 k AS (SELECT *, CASE WHEN i > coalesce(max(last) OVER (PARTITION BY doc_id ORDER BY i, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 THEN 1 ELSE 0 END AS opens FROM f WHERE doc_id <> first_doc_id OR start <> first_start),

@@ -162,7 +162,7 @@ def passage_blocks(text, least_words=25, line_words=20):
             lines.append((n, n + k))
         n += k
     out = {x for x in lines if x[1] - x[0] >= line_words}
-    for i in {0} | {i for i in ends if i < n} | {a for a, _ in lines}:
+    for i in {0} | {i for i in ends if i < n} | {a for a, b in lines if b - a < line_words}:
         last = [e for e in ends if e >= i + least_words]
         if n - i >= least_words:
             out.add((i, last[0] if last else n))
