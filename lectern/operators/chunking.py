@@ -59,6 +59,13 @@ def chunk_windows(pages: DataFrame, key: str, order: str, size: int = 1000, over
     return own.select(key, "page", F.col("w.window_no").alias("window_no"), start.alias("start_char"), (start + F.length("w.raw")).alias("end_char"), X.strip(F.col("w.raw")).alias("text"))
 
 
+def page_chunks(pages: DataFrame, key: str, order: str) -> DataFrame:
+    """A chunk for each page with text, numbered in page order."""
+    own = pages.select(F.col(key).alias("parent_document_id"), F.col(order).alias("page_num"), X.strip(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+    own = own.withColumn("chunk_index", F.row_number().over(Window.partitionBy("parent_document_id").orderBy("page_num")) - 1)
+    return own.select(F.concat(F.col("parent_document_id").cast("string"), F.lit(":c"), F.col("chunk_index").cast("string")).alias("chunk_id"), "parent_document_id", "chunk_index", "page_num", F.concat(F.lit("page/"), F.col("page_num").cast("string")).alias("section_path"), "text")
+
+
 def chunks(pages: DataFrame, key: str, order: str, size: int = 1000, overlap: int = 120) -> DataFrame:
     """Windows, redacted, then filtered, then numbered: only kept chunks count."""
     own = chunk_windows(pages, key, order, size, overlap).withColumn("text", X.redact(F.col("text")))

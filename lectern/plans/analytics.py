@@ -108,18 +108,6 @@ def image_text_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", *[F.round(R.context_score(F.col("low"), F.col("n"), w), 6).alias(k) for k, w in R.IMAGE_CONTEXTS.items()])
 
 
-@query(f"""WITH {DUPLICATES}, t AS (SELECT doc_id % 40 AS doc, least(sum(n_chars) / 5000.0::DOUBLE, 1) AS completeness, avg((n_chars BETWEEN 200 AND 2000)::INT) AS chunking FROM documents GROUP BY 1),
-i AS (SELECT doc, avg((confidence > 0.5)::INT) AS sure, least(sum((visibility = 'visible')::INT) / greatest(0.6::DOUBLE * count(*), 1), 1) AS seen, avg((corr > 0.3)::INT) AS tied FROM dup GROUP BY doc)
-SELECT doc, round((completeness + chunking) / 2, 6) AS text_quality, round((sure + seen + tied) / 3, 6) AS image_quality, round(((completeness + chunking) / 2 + (sure + seen + tied) / 3) / 2, 6) AS overall,
-list_filter([CASE WHEN (completeness + chunking) / 2 < 0.5 THEN 'text' END, CASE WHEN sure < 0.6 THEN 'classification' END, CASE WHEN tied < 0.5 THEN 'correlation' END], lambda x: x IS NOT NULL) AS recommendations FROM t JOIN i USING (doc)""")
-def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 40).alias("doc")).agg(F.least(F.sum("n_chars") / 5000.0, F.lit(1.0)).alias("completeness"), F.avg(F.col("n_chars").between(200, 2000).cast("int")).alias("chunking"))
-    images = all_images(spark, sf_dir).groupBy("doc").agg(F.avg((F.col("confidence") > 0.5).cast("int")).alias("sure"), F.least(F.count_if(F.col("visibility") == "visible") / F.greatest(F.count("*") * 0.6, F.lit(1.0)), F.lit(1.0)).alias("seen"), F.avg((F.col("corr") > 0.3).cast("int")).alias("tied"))
-    text, image = (F.col("completeness") + F.col("chunking")) / 2, (F.col("sure") + F.col("seen") + F.col("tied")) / 3
-    advice = F.array_compact(F.array(F.when(text < 0.5, "text"), F.when(F.col("sure") < 0.6, "classification"), F.when(F.col("tied") < 0.5, "correlation")))
-    return docs.join(images, "doc").select("doc", F.round(text, 6).alias("text_quality"), F.round(image, 6).alias("image_quality"), F.round((text + image) / 2, 6).alias("overall"), advice.alias("recommendations"))
-
-
 @query(f"WITH {MEDIA}, n AS ({NEAR_PAIRS}) SELECT (SELECT count(*) FROM ch) AS chunks, (SELECT count(*) FROM im) AS images, count(DISTINCT chunk_id) AS paired_chunks, count(*) AS pairs, round(avg(relevance), 6) AS mean_relevance FROM n")
 def integration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, images = media(spark, sf_dir)

@@ -90,20 +90,6 @@ def word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.token_count(t).alias("tokens"), X.word_count(t).alias("words"))
 
 
-@query("""SELECT doc_id, list_filter([CASE WHEN lang IS NULL OR lang <> 'en' THEN 'language' END, CASE WHEN text IS NULL OR text = '' THEN 'text' END, CASE WHEN n_chars < 0 THEN 'n_chars' END,
-CASE WHEN source NOT IN ('src0', 'src1', 'src2') THEN 'source' END], lambda x: x IS NOT NULL) AS violations FROM documents""")
-def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Required, constant, enumerated and minimum rules, as an array of the
-    fields that break one."""
-    rules = [
-        F.when(F.col("lang").isNull() | (F.col("lang") != "en"), "language"),
-        F.when(F.col("text").isNull() | (F.col("text") == ""), "text"),
-        F.when(F.col("n_chars") < 0, "n_chars"),
-        F.when(~F.col("source").isin("src0", "src1", "src2"), "source"),
-    ]
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_compact(F.array(*rules)).alias("violations"))
-
-
 @query("SELECT 'run' AS run_id, CAST(max(len(embedding)) AS INT) AS embedding_dim, count(*) AS chunks_embedded FROM embeddings")
 def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding")).alias("embedding_dim"), F.count("*").alias("chunks_embedded")).select(F.lit("run").alias("run_id"), "embedding_dim", "chunks_embedded")

@@ -256,3 +256,65 @@ def test_quality_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     score = {r.doc_id: r.score for r in extraction.text_quality_full(spark, str(tmp_path)).collect()}
     assert [score[i] for i in range(24)] == [100] * 8 + [95] * 8 + [0] * 8
+
+
+def test_service(spark):
+    from lectern import service
+
+    docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert service.get_document(docs, 2).first().text == "two"
+    with pytest.raises(service.NotFound):
+        service.get_document(docs, 9)
+    for unknown in (2, 3):
+        with pytest.raises(service.NotFound):
+            service.similar(docs, vectors, unknown)
+    assert service.similar(docs, vectors, 1, 1).first().vec_id == 1
+    assert service.Config.from_environment({"POSTGRES_DSN": "d"}).dsn == "d" and service.Config(alpha=2.0).problems()
+    assert service.health(docs, vectors, service.Config("d")) == {"status": "ok", "problems": [], "documents": 2, "vectors": 2}
+    assert [r.vec_id for r in service.orphans_removed(vectors, docs, "vec_id", "doc_id").collect()] == [1]
+
+
+def test_retries():
+    from lectern import service
+
+    class Refused(Exception):
+        status = 404
+
+    def calls(errors):
+        left = list(errors)
+
+        def call():
+            if left:
+                raise left.pop(0)
+            return "done"
+
+        return call
+
+    waits = []
+    assert service.with_retries(calls([OSError()] * 4), sleep=waits.append) == "done" and waits == [0.5, 1.0, 2.0, 4.0]
+    with pytest.raises(OSError):
+        service.with_retries(calls([OSError()] * 5), sleep=waits.append)
+    with pytest.raises(Refused):
+        service.with_retries(calls([Refused()]), sleep=waits.append)
+
+
+def test_record_rules(spark):
+    from lectern.operators import validation
+
+    good = {f.name: "x" for f in schemas.DOCUMENT if f.name in schemas.REQUIRED_DOCUMENT} | {"schema_version": "1.0.0", "language": "en"}
+    rows = spark.createDataFrame([{**good, "n": 1}, {**good, "n": 2, "title": None, "language": "de"}, {**good, "n": 3, "schema_version": "2"}], schemas.StructType([f for f in schemas.DOCUMENT if f.name in good]).add("n", "integer"))
+    found = {r.n: r.v for r in rows.select("n", validation.document_violations().alias("v")).collect()}
+    assert found == {1: [], 2: ["required:title", "enum:language"], 3: ["const:schema_version"]}
+    assert validation.unexpected_columns(rows, "document") == ["n"]
+    vectors = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "embedding array<double>")
+    assert validation.checked_vectors(vectors.where(F.size("embedding") == 2), 2).count() == 1
+    with pytest.raises(Exception, match="the collection 2"):
+        validation.checked_vectors(vectors, 2).collect()
+
+
+def test_second_quality_score(spark):
+    from lectern.functions import quality
+
+    words = "plain words in a row " * 6
+    assert [one(spark, quality.validity, t) for t in ("", "Short.", words, words + ".", words + ". Col1 NULL", words + "." + "aaaaa b " * 6)] == [0, 60, 70, 100, 80, 80]
