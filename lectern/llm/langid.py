@@ -33,11 +33,15 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import small_batches
 
-#: Signs that Python counts as word characters, though they are numbers and no letters.
-SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{SIGNS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-CACHE = 50_000
+CACHE = 200_000
+
+
+def parts(word: str) -> list[str]:
+    """What a match of LETTERS has of letters: Python counts some signs that
+    are numbers, as ½ and ², among them."""
+    return [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
 
 
 @dataclass(frozen=True)
@@ -45,6 +49,7 @@ class LanguageModel:
     languages: tuple[str, ...]
     words: dict[str, np.ndarray]
     grams: tuple[dict[str, np.ndarray], ...]  # by length, from 1
+    nothing = np.zeros(0)  # the score of a match without letters
 
     def word_score(self, word: str) -> np.ndarray:
         """Natural log of the word's probability in each language."""
@@ -68,14 +73,19 @@ class LanguageModel:
         words = Counter(LETTERS.findall(text.lower())) if text else None
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.languages))
+        total, letters = np.zeros(len(self.languages)), False
         for word, n in words.items():
             found = cache.get(word)
             if found is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                found = cache[word] = self.word_score(word)
-            total += n * found
+                own = parts(word)
+                found = cache[word] = sum((self.word_score(w) for w in own), np.zeros(len(self.languages))) if own else self.nothing
+            if found is not self.nothing:
+                letters = True
+                total += n * found
+        if not letters:
+            return UNKNOWN, 0.0
         best = int(total.argmax())
         return self.languages[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
@@ -95,7 +105,7 @@ def fit(rows: list[tuple[str, str]], max_words: int, max_grams: int, longest: in
     languages = tuple(sorted({g for g, _ in rows}))
     words = {g: Counter() for g in languages}
     for g, text in rows:
-        words[g].update(LETTERS.findall(text.lower()))
+        words[g].update(w for x in LETTERS.findall(text.lower()) for w in parts(x))
     grams = []
     for n in range(1, longest + 1):
         counts = {g: Counter() for g in languages}
