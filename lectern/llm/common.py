@@ -30,11 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/lectern"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder and read it back: later jobs start from
-    the files, which outlive any executor."""
+    the files, which outlive any executor.  Whoever owns the folder clears it."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

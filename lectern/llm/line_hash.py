@@ -129,7 +129,7 @@ def hashed_blocks(docs: DataFrame, least_words: int, line_words: int) -> DataFra
 def repeated_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """The blocks that go: UNITS without the digest, and the occurrence that
     stays as first_doc_id and first_start."""
-    units = cut(hashed_blocks(docs, least_words, line_words), "blocks")
+    units = cut(hashed_blocks(docs, least_words, line_words), "blocks", "zstd")
     # a hot block is one row for each task before it is shuffled; the join below only has blocks that repeat, and its hot keys can be split
     place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("start"))
     firsts = units.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
