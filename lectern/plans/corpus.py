@@ -129,10 +129,10 @@ def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.upsert(old, new, ["document_id"], ["doc_id"], update=["lang", "n_chars"])
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that have no vector."""
-    return merge.orphans(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "embeddings"), "doc_id", "vec_id")
+    """Vectors whose id no label has."""
+    return merge.orphans(table(spark, sf_dir, "embeddings").select("vec_id"), table(spark, sf_dir, "labels"), "vec_id", "doc_id")
 
 
 @query("SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) AS BIGINT) AS point_id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 256 AS BIGINT) AS batch_no FROM embeddings")
