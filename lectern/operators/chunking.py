@@ -68,7 +68,9 @@ def page_chunks(pages: DataFrame, key: str, order: str) -> DataFrame:
 
 def chunks(pages: DataFrame, key: str, order: str, size: int = 1000, overlap: int = 120) -> DataFrame:
     """Windows, redacted, then filtered, then numbered: only kept chunks count."""
-    own = chunk_windows(pages, key, order, size, overlap).withColumn("text", X.redact(F.col("text")))
+    own = chunk_windows(pages, key, order, size, overlap)
+    # a generator of one row: redaction is done once, not again for each use in the filter
+    own = own.select(*[c for c in own.columns if c != "text"], F.explode(F.array(X.redact(F.col("text")))).alias("text"))
     kept = own.where(X.passes_quality(F.col("text")))
     number = F.row_number().over(Window.partitionBy(key).orderBy("page", "window_no")) - 1
     kept = kept.withColumn("chunk_index", number)

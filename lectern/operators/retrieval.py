@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,29 +22,37 @@ def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 def query_terms(query: str) -> list[str]:
-    import re
-
     return sorted({w for w in re.findall(r"\w+", query.lower()) if w not in STOP_WORDS})
 
 
-def term_hits(chunks: DataFrame, terms: list[str], key: str = "chunk_id") -> DataFrame:
-    """key, n_terms, rank (sum of term frequencies) of chunks with any term.
-    The words are counted where the text is; nothing is exploded."""
-    words = X.tokens(F.lower(F.col("text")))
-    # bound once: the text is taken apart once a row
-    found = F.transform(F.array(words), lambda w: F.array(*[F.size(w) - F.size(F.array_remove(w, t)) for t in terms] or [F.lit(0)]))[0]
-    counted = chunks.select(key, found.alias("tfs"))
-    return counted.select(key, F.size(F.filter("tfs", lambda n: n > 0)).alias("n_terms"), F.aggregate("tfs", F.lit(0), lambda a, n: a + n).cast("long").alias("rank")).where("n_terms > 0")
+def term_counts(chunks: DataFrame, terms: list[str], key: str = "chunk_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, n_terms, rank (sum of term frequencies) of all chunks.  Occurrences
+    are counted where the text is; no list of its words is made."""
+
+    def count(low: Column, term: str) -> Column:
+        # begins with the term itself, which is fast to look for; then what may not stand around it
+        alone = f"{re.escape(term)}(?!{X.WORD})(?<!{X.WORD}{re.escape(term)})"
+        return F.when(F.contains(low, F.lit(term)), F.regexp_count(low, F.lit(alone))).otherwise(0)
 
+    # bound once: the text is put into lower case once a row
+    found = F.get(F.transform(F.array(F.lower("text")), lambda low: F.array(*[F.coalesce(count(low, t), F.lit(0)) for t in terms] or [F.lit(0)])), F.lit(0))
+    counted = chunks.select(key, *carry, found.alias("tfs"))
+    return counted.select(key, *carry, F.size(F.filter("tfs", lambda n: n > 0)).alias("n_terms"), F.aggregate("tfs", F.lit(0), lambda a, n: a + n).cast("long").alias("rank"))
 
-def fts(chunks: DataFrame, query: str, k: int, key: str = "chunk_id") -> DataFrame:
+
+def fts(chunks: DataFrame, query: str, k: int, key: str = "chunk_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Chunks with all terms; if there are none and the query has several
-    words, chunks with any.  The k of highest rank."""
+    words, chunks with any.  The k of highest rank, with the columns of `carry`.
+
+    One pass: chunks with all terms sort first, so if there are any, the k best
+    have them on top, and those without go."""
     terms = query_terms(query)
-    hits = term_hits(chunks, terms, key)
-    every = hits.agg(F.max("n_terms").alias("most"))
-    least = F.when(F.col("most") == len(terms), len(terms)).otherwise(1)
-    return hits.crossJoin(F.broadcast(every)).where(F.col("n_terms") >= least).orderBy(F.desc("rank"), key).limit(k).select(key, "rank")
+    hits = term_counts(chunks, terms, key, carry).withColumn("every", F.col("n_terms") == len(terms))
+    # chunks without any term sort last; a filter here would count twice
+    best = hits.orderBy(F.desc("every"), F.desc("rank"), key).limit(k).where("rank > 0")
+    # k rows in one task
+    found = best.withColumn("some", F.max("every").over(Window.partitionBy()))
+    return found.where(F.col("every") | ~F.col("some")).select(key, "rank", *carry)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -74,14 +83,15 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, probe: DataFrame,
     text_hits = fts(own, query, k, "doc_id")
     linked = vectors.join(own.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi") if only is not None else vectors
     near = vector_search(linked, probe, k).withColumnRenamed("vec_id", "doc_id")
-    first = text_hits.join(near, "doc_id", "left").select("doc_id", F.lit("fts").alias("source"), (F.coalesce("cosine", F.lit(0.0)) * alpha + F.col("rank") * (1 - alpha)).alias("score"))
-    rest = near.join(text_hits, "doc_id", "left_anti").orderBy(F.desc("cosine"), "doc_id").limit(k)
-    place = F.row_number().over(Window.orderBy(F.desc("cosine"), "doc_id"))
-    rest = rest.withColumn("place", place).crossJoin(F.broadcast(text_hits.agg(F.count("*").alias("n_text")))).where(F.col("place") <= k - F.col("n_text"))
-    rest = rest.select("doc_id", F.lit("vector").alias("source"), (F.col("cosine") * alpha).alias("score"))
-    top = first.unionByName(rest).select("doc_id", "source", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
-    # the text is fetched for the k that are left
-    return top.join(chunks.select("doc_id", X.snippet(F.col("text")).alias("snippet")), "doc_id", "left")
+    # both lists once, k rows each; what follows has 2 k rows at most
+    both = text_hits.join(near, "doc_id", "full").withColumn("n_text", F.count("rank").over(Window.partitionBy()))
+    place = F.row_number().over(Window.orderBy(F.col("rank").isNotNull(), F.desc("cosine"), "doc_id"))
+    both = both.withColumn("place", place).where(F.col("rank").isNotNull() | (F.col("place") <= k - F.col("n_text")))
+    score = F.coalesce("cosine", F.lit(0.0)) * alpha + F.coalesce("rank", F.lit(0)) * (1 - alpha)
+    source = F.when(F.col("rank").isNotNull(), "fts").otherwise("vector")
+    top = both.select("doc_id", source.alias("source"), F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    # k rows; the text is fetched for those that are left
+    return chunks.select("doc_id", "text").join(F.broadcast(top), "doc_id", "right").select("doc_id", "source", "score", X.snippet(F.col("text")).alias("snippet"))
 
 
 def answer(hits: DataFrame) -> DataFrame:
@@ -97,7 +107,6 @@ def answer(hits: DataFrame) -> DataFrame:
 def tfidf_search(docs: DataFrame, query: str, k: int, features: int = 5000, key: str = "doc_id") -> DataFrame:
     """Cosine of TF-IDF rows with the query: words of two characters or more,
     the most frequent `features` of the corpus, idf ln((1+n)/(1+df))+1."""
-    import re
     from collections import Counter
 
     words = docs.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term")).where(~F.col("term").isin(*STOP_WORDS))

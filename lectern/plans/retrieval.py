@@ -40,8 +40,7 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: documents to chunks, redacted, filtered and numbered, the
     ten best for a keyword query, with snippets."""
     chunks = chunking.chunks(doc_pages(spark, sf_dir), "doc_id", "page").select("chunk_id", "text")
-    top = retrieval.fts(chunks, ALL_TERMS, K)
-    return top.join(chunks, "chunk_id").select("chunk_id", "rank", X.snippet(F.col("text")).alias("snippet"))
+    return retrieval.fts(chunks, ALL_TERMS, K, carry=("text",)).select("chunk_id", "rank", X.snippet(F.col("text")).alias("snippet"))
 
 
 @query(f"WITH {fts_sql(ALL_TERMS, 'documents', 'doc_id')} SELECT * FROM fts")
