@@ -10,9 +10,13 @@ anchors, and the words around are compared one by one with the item's.  A
 stretch of equal words of at least the window's length is a hit: all its words
 lie in occurrences of windows.
 
-The sets go to the executors with the plan while there are at most
-`BROADCAST_ANCHORS` of them (this is checked); beyond that the words are
-spread out and joined to the anchors, and Spark picks the join.
+The sets go to the executors with the plan.  While there are at most
+`BROADCAST_ANCHORS` anchors (this is checked) they are exact; beyond that one
+table of marks holds the hashes of all of them, of a size set by
+`MARKS_PER_ANCHOR` and never above `MOST_MARKS` bytes.  It lets a few places
+through that are none, the more the fuller it is, and loses no place; the join
+with the anchors, by a shuffle if Spark finds them too many to broadcast,
+settles the rest.  The plan is the same: one scan, few places, one join.
 
 Defined results: null and empty texts have no words and are not contaminated;
 items without words are ignored; rows that are equal in id and text get equal
@@ -23,6 +27,8 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +39,7 @@ from lectern.llm.common import cut
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ANCHORS = 20_000
+MARKS_PER_ANCHOR, MOST_MARKS = 32, 1 << 23
 #: Contaminated documents up to which their list goes to all executors: 16 bytes each.
 BROADCAST_DOCUMENTS = 200_000
 GRAM = 3
@@ -82,27 +89,64 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame,
     anchors = cut(anchors_of(benchmark, width).withColumn("hash", hashed(gram)), "anchors")
     small = anchors.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
     reach = width - 1
-    known = anchors.select(F.element_at("gram", 1).alias("first"), "hash", F.size("gram").alias("size")).distinct().collect() if small else []
-    firsts = sorted({r.first for r in known}) or [""]
-    by_size = {k: sorted({r.hash for r in known if r.size == k}) for k in range(1, GRAM + 1)}
-
-    def probe(w: Column, i: Column) -> Column:
-        # single elements: slice() copies the whole array
-        own = [hashed(probed(w, i, k)).isin(by_size[k]) for k in by_size if by_size[k]]
-        return F.element_at(w, i + 1).isin(firsts) & _any(own or [F.lit(False)])
+    probe = exact_probe(anchors) if small else marked_probe(anchors)
 
     def look(w: Column) -> Column:
         # w is bound by transform(), so the text is taken apart once a row
         n = F.size(w)
         places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        if small:
-            places = F.filter(places, lambda i: probe(w, i))
+        places = F.filter(places, lambda i: probe(w, i))
         near = F.transform(places, lambda i: F.struct(i.alias("at"), F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + 1 + reach).alias("near")))
         return F.struct(n.cast("long").alias("n_words"), near.alias("places"))
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.transform(F.array(words_of(F.col("text"))), look)).alias("x")).select("doc_id", "key", "x.n_words", "x.places")
     # one scan serves both the counts and the hits
-    return cut(rows, "scanned") if small else rows, anchors, small
+    return cut(rows, "scanned"), anchors, small
+
+
+def exact_probe(anchors: DataFrame) -> Callable[[Column, Column], Column]:
+    """Whether an anchor may begin at a place: its first word is one of theirs
+    and the hash of its words too."""
+    known = anchors.select(F.element_at("gram", 1).alias("first"), "hash", F.size("gram").alias("size")).distinct().collect()
+    firsts = sorted({r.first for r in known}) or [""]
+    by_size = {k: sorted({r.hash for r in known if r.size == k}) for k in range(1, GRAM + 1)}
+
+    def probe(w: Column, i: Column) -> Column:
+        # single elements: slice() copies the whole array
+        own = [hashed(probed(w, i, k)).isin(by_size[k]) for k in by_size if by_size[k]]
+        return F.element_at(w, i + 1).isin(firsts) & _any(own or [F.lit(False)])
+
+    return probe
+
+
+def marked_probe(anchors: DataFrame) -> Callable[[Column, Column], Column]:
+    """The same for any number of anchors: two bytes of a table are marked for
+    each hash, one by its lower half and one by its upper half."""
+    n = anchors.agg(F.count(F.lit(1))).first()[0]
+    marks = min(MOST_MARKS, 1 << max(15, (MARKS_PER_ANCHOR * n - 1).bit_length()))
+    own = anchors.select("hash").distinct().select(F.explode(F.array(*mark_places(F.col("hash"), marks))).alias("m"))
+    # Spark's bitmaps count from 1 and hold 32,768 bits each, lowest bit first
+    bitmaps = own.groupBy(F.bitmap_bucket_number(F.col("m") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("m") + 1)).alias("bits"))
+    table = bytearray(marks)
+    spread = [bytes(x >> k & 1 for k in range(8)) for x in range(256)]
+    for row in bitmaps.toLocalIterator():
+        at = (row.b - 1) * 32_768
+        table[at : at + 32_768] = b"".join([spread[x] for x in row.bits])
+    sizes = sorted(r[0] for r in anchors.select(F.size("gram")).distinct().collect())
+
+    def probe(w: Column, i: Column) -> Column:
+        return _any([_marked(hashed(probed(w, i, k)), F.lit(table), marks) for k in sizes])
+
+    return probe
+
+
+def mark_places(value: Column, marks: int) -> list[Column]:
+    return [F.pmod(value, F.lit(marks).cast("long")), F.pmod(F.shiftright(value, 32), F.lit(marks).cast("long"))]
+
+
+def _marked(value: Column, table: Column, marks: int) -> Column:
+    one, two = [F.substring(table, (m + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\x01")) for m in mark_places(value, marks)]
+    return one & two
 
 
 def probed(w: Column, i: Column, size: int) -> list[Column]:
