@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import chunking, retrieval
+from lectern.operators import chunking, fulltext, retrieval
 from lectern.plans.corpus import CHUNKS_SQL, DOC_PAGES, doc_pages, strip_sql
 from lectern.plans.registry import query, table
 
@@ -133,3 +133,9 @@ def tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hash_embeddings(table(spark, sf_dir, "documents"))
+
+
+@query()
+def english_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems and cover density; an index would be written once and read here."""
+    return fulltext.search(fulltext.postings(table(spark, sf_dir, "documents"), "doc_id"), "things and hations", K, "doc_id")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import merge, retrieval
+from lectern.operators import fulltext, merge, retrieval
 
 
 class NotFound(LookupError):
@@ -61,6 +61,11 @@ def search(chunks: DataFrame, query: str, k: int = 10, key: str = "chunk_id") ->
     return retrieval.fts(chunks, query, k, key)
 
 
+def search_index(index: DataFrame, query: str, k: int = 10, key: str = "chunk_id") -> DataFrame:
+    """English search over postings that `fulltext.write_index` stored."""
+    return fulltext.search(index, query, k, key)
+
+
 def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, probe: DataFrame, k: int = 10, only: Column | None = None, config: Config | None = None) -> DataFrame:
     return retrieval.hybrid(chunks, vectors, query, probe, k, only, (config or Config()).alpha)
 
