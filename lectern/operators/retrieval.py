@@ -104,9 +104,10 @@ def answer(hits: DataFrame) -> DataFrame:
     return row.select(shown.alias("answer"), F.array_join(F.transform("h", lambda x: x["d"].cast("string")), ",").alias("citations"))
 
 
-def tfidf_search(docs: DataFrame, query: str, k: int, features: int = 5000, key: str = "doc_id") -> DataFrame:
+def tfidf_search(docs: DataFrame, query: str, k: int, features: int = 5000, key: str = "doc_id", least: float = 0.01) -> DataFrame:
     """Cosine of TF-IDF rows with the query: words of two characters or more,
-    the most frequent `features` of the corpus, idf ln((1+n)/(1+df))+1."""
+    the most frequent `features` of the corpus, idf ln((1+n)/(1+df))+1.
+    Scores of `least` or less are not shown."""
     from collections import Counter
 
     words = docs.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term")).where(~F.col("term").isin(*STOP_WORDS))
@@ -122,7 +123,7 @@ def tfidf_search(docs: DataFrame, query: str, k: int, features: int = 5000, key:
         times = F.when(F.col("term") == t, c).otherwise(times)
     norms = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * times * F.col("idf")).alias("dot"))
     own = idf.where(F.col("term").isin(*asked) if asked else F.lit(False)).select(F.sqrt(F.sum(F.pow(times * F.col("idf"), 2))).alias("q"))
-    return norms.where("dot > 0").crossJoin(F.broadcast(own)).select(key, F.round(F.col("dot") / (F.col("norm") * F.col("q")), 6).alias("score")).orderBy(F.desc("score"), F.desc(key)).limit(k)
+    return norms.where("dot > 0").crossJoin(F.broadcast(own)).select(key, F.round(F.col("dot") / (F.col("norm") * F.col("q")), 6).alias("score")).where(F.col("score") > least).orderBy(F.desc("score"), F.desc(key)).limit(k)
 
 
 def cover_density(chunks: DataFrame, query: str, key: str = "chunk_id", ideal: int = 4) -> DataFrame:

@@ -125,7 +125,7 @@ i AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS
 r AS (SELECT doc_id, term, tf * idf AS w, idf FROM w JOIN i USING (term)),
 q AS (SELECT term, 1 * idf AS qw FROM i WHERE term IN ('thing', 'hation', 'onsh')),
 s AS (SELECT doc_id, sqrt(sum(r.w * r.w)) AS norm, sum(coalesce(r.w * qw, 0)) AS dot FROM r LEFT JOIN q USING (term) GROUP BY doc_id)
-SELECT doc_id, round(dot / (norm * (SELECT sqrt(sum(qw * qw)) FROM q)), 6) AS score FROM s WHERE dot > 0 ORDER BY score DESC, doc_id DESC LIMIT 10""")
+SELECT * FROM (SELECT doc_id, round(dot / (norm * (SELECT sqrt(sum(qw * qw)) FROM q)), 6) AS score FROM s WHERE dot > 0) WHERE score > 0.01 ORDER BY score DESC, doc_id DESC LIMIT 10""")
 def tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.tfidf_search(table(spark, sf_dir, "documents"), ALL_TERMS, K)
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from lectern import service
 from lectern.functions.stemming import stem
-from lectern.operators import fulltext
+from lectern.operators import fulltext, retrieval
 
 STEMS = {
     "running": "run", "hopping": "hop", "hoping": "hope", "consistency": "consist", "consolation": "consol", "knightly": "knight", "generously": "generous", "happy": "happi", "skies": "sky", "ties": "tie",
@@ -56,3 +56,9 @@ def test_stored_search(spark, tmp_path):
 def test_empty_index(spark):
     none = fulltext.postings(spark.createDataFrame([], "chunk_id long, text string"))
     assert fulltext.search(none, "dog", 5).count() == 0
+
+
+def test_scores_near_zero_are_not_shown(spark):
+    docs = spark.createDataFrame([(1, "cat " + "dog " * 2000), (2, "cat"), (3, None)], "doc_id long, text string")
+    find = lambda least: [r.doc_id for r in retrieval.tfidf_search(docs, "cat", 5, least=least).collect()]
+    assert find(0.01) == [2] and find(0.0) == [2, 1]
