@@ -76,11 +76,12 @@ def similar(vectors: DataFrame, vec_id: int, k: int) -> DataFrame:
     return vector_search(vectors, vectors.where(F.col("vec_id") == vec_id), k)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, probe: DataFrame, k: int, only: Column | None = None, alpha: float = ALPHA) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, probe: DataFrame, k: int, only: Column | None = None, alpha: float = ALPHA, hits: DataFrame | None = None) -> DataFrame:
     """doc_id, source, score, snippet: full-text hits scored with their cosine
-    if the vector search has them too, filled up by vector hits alone."""
+    if the vector search has them too, filled up by vector hits alone.  `hits`
+    (doc_id, rank; k rows at most) stand in for the scan, `only` applied."""
     own = chunks if only is None else chunks.where(only)
-    text_hits = fts(own, query, k, "doc_id")
+    text_hits = fts(own, query, k, "doc_id") if hits is None else hits.select("doc_id", "rank")
     linked = vectors.join(own.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi") if only is not None else vectors
     near = vector_search(linked, probe, k).withColumnRenamed("vec_id", "doc_id")
     # both lists once, k rows each; what follows has 2 k rows at most

@@ -66,8 +66,14 @@ def search_index(index: DataFrame, query: str, k: int = 10, key: str = "chunk_id
     return fulltext.search(index, query, k, key)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, probe: DataFrame, k: int = 10, only: Column | None = None, config: Config | None = None) -> DataFrame:
-    return retrieval.hybrid(chunks, vectors, query, probe, k, only, (config or Config()).alpha)
+def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, probe: DataFrame, k: int = 10, only: Column | None = None, config: Config | None = None, index: DataFrame | None = None) -> DataFrame:
+    """With an `index` over doc_id, its postings are read and no text but that
+    of the k results."""
+    hits = None
+    if index is not None:
+        allowed = index if only is None else index.join(chunks.where(only).select("doc_id"), "doc_id", "left_semi")
+        hits = fulltext.search(allowed, query, k, "doc_id")
+    return retrieval.hybrid(chunks, vectors, query, probe, k, only, (config or Config()).alpha, hits)
 
 
 def similar(chunks: DataFrame, vectors: DataFrame, chunk: int, k: int = 10, key: str = "doc_id", vector_key: str = "vec_id") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from lectern import service
 from lectern.functions.stemming import stem
 from lectern.operators import fulltext, retrieval
+from pyspark.sql import functions as F
 
 STEMS = {
     "running": "run", "hopping": "hop", "hoping": "hope", "consistency": "consist", "consolation": "consol", "knightly": "knight", "generously": "generous", "happy": "happi", "skies": "sky", "ties": "tie",
@@ -62,3 +63,12 @@ def test_scores_near_zero_are_not_shown(spark):
     docs = spark.createDataFrame([(1, "cat " + "dog " * 2000), (2, "cat"), (3, None)], "doc_id long, text string")
     find = lambda least: [r.doc_id for r in retrieval.tfidf_search(docs, "cat", 5, least=least).collect()]
     assert find(0.01) == [2] and find(0.0) == [2, 1]
+
+
+def test_hybrid_over_an_index(spark):
+    docs = spark.createDataFrame([(1, "cats run"), (2, "a cat and a house"), (3, "none"), (4, "cat")], "doc_id long, text string")
+    vectors = spark.createDataFrame([(2, [1.0, 0.0]), (3, [0.8, 0.6])], "vec_id long, embedding array<float>")
+    index = fulltext.postings(docs, "doc_id")
+    found = lambda only: [(r.doc_id, r.source, r.score) for r in service.hybrid(docs, vectors, "the cats", vectors.where("vec_id = 2"), 4, only, index=index).orderBy("doc_id").collect()]
+    assert found(None) == [(1, "fts", 0.04), (2, "fts", 0.64), (3, "vector", 0.48), (4, "fts", 0.04)]
+    assert found(F.col("doc_id") > 1) == [(2, "fts", 0.64), (3, "vector", 0.48), (4, "fts", 0.04)]
