@@ -126,10 +126,16 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """kid, n, hashes, sig of the sets in `wanted` (kid, low_doc, k1, k2)."""
+    """kid, n, hashes, sig of the sets in `wanted` (kid, low_row, k1, k2).
+
+    A set is read from its first row, which its id and its text name together:
+    ids that repeat or are null bring no other texts along.
+    """
     small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    wanted = wanted.select("kid", "k1", "k2", F.col("low_row.id").alias("low_id"), F.col("low_row.key").alias("low_key"))
     side = F.broadcast(wanted) if small else wanted
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, F.col("doc_id").eqNullSafe(F.col("low_doc"))).select("kid", "k1", "k2", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    rows = keyed.join(side, F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.col("text_key") == F.col("low_key"))).select("kid", "k1", "k2", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -137,7 +143,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             out = []
             for kid, k1, k2, text in zip(*batch.columns, strict=True):
                 found = shingler.shingles(text.as_py())
-                if set_key(found) == (k1.as_py(), k2.as_py()):  # another text may have the same id
+                if set_key(found) == (k1.as_py(), k2.as_py()):  # another text may have the same key
                     out.append((kid.as_py(), len(found), found.tobytes(), signature(found)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["kid", "n", "hashes", "sig"])
 
@@ -398,12 +404,12 @@ def component_rows(docs: DataFrame, width: int, num: int, den: int, block: int =
     n = F.col("n")
     least = _ceil_share(n, num, den)
     asked = F.greatest(F.lit(1), F.floor(least / F.lit(20)).cast("int"))
-    counted = shared.groupBy("kid").agg(F.count(F.lit(1)).alias("n_shared")).join(nodes.select("kid", "low_doc", "k1", "k2", "n"), "kid").where(F.col("n_shared") >= asked)
+    counted = shared.groupBy("kid").agg(F.count(F.lit(1)).alias("n_shared")).join(nodes.select("kid", "low_row", "k1", "k2", "n"), "kid").where(F.col("n_shared") >= asked)
     length = n - least + F.greatest(F.lit(1), F.floor(n / F.lit(20)).cast("int"))
-    left = cut(counted.select("kid", "low_doc", "k1", "k2", "n", (F.col("n_shared") / length).alias("central")), "left")
+    left = cut(counted.select("kid", "low_row", "k1", "k2", "n", (F.col("n_shared") / length).alias("central")), "left")
     if left.isEmpty():
         return result(rows, nodes.select("k1", "k2", F.col("low_doc").alias("component"), F.col("low_row").alias("stays")))
-    sets = cut(whole_sets(docs, left.select("kid", "low_doc", "k1", "k2"), width), "sets")
+    sets = cut(whole_sets(docs, left.select("kid", "low_row", "k1", "k2"), width), "sets")
     # a pair shares l of these shingles, so each set may leave out its l - 1 most frequent ones and the pair's rarest stays
     often = Window.partitionBy("kid").orderBy(F.desc("df"), F.desc("token"))
     rare = shared.join(left.select("kid", "n", "central"), "kid").withColumn("place", F.row_number().over(often)).where(F.col("place") >= asked)

@@ -398,6 +398,29 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(r.text for r in signature_tree.drop_linked(frame(spark, alone)).collect()) == sorted([other, third])
 
 
+def test_links_of_rows_without_ids(spark):
+    """Null ids and one id for many texts: same links as with own ids, at the same cost."""
+    rng = random.Random(11)
+    texts = []
+    for i in range(600):
+        own = [f"w{i % 25}x{j}" for j in range(100)]
+        for _ in range(rng.randrange(9)):
+            own[rng.randrange(100)] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    took, found = [], []
+    for ids in (range(600), range(600), [None] * 600, [7] * 600):
+        rows = frame(spark, list(zip(ids, texts, strict=True)), extra=False)
+        began = time.time()
+        found.append(signature_tree.component_rows(rows, 5, 80, 100).select("text_key", "n_shingles", "component_id", F.hash("stays.key")).collect())
+        took.append(time.time() - began)
+    wanted = Counter((c, n) for _, n, c in brute.jaccard_components(list(enumerate(texts)), 5, 80))
+    assert Counter((r.component_id, r.n_shingles) for r in found[1]) == wanted
+    apart = lambda rows: sorted(Counter(r[3] for r in rows).values())
+    assert apart(found[1]) == apart(found[2]) == apart(found[3])
+    assert {r.component_id for r in found[2]} == {None} and {r.component_id for r in found[3]} == {7}
+    assert max(took[2:]) < 1.5 * took[1] + 3
+
+
 def test_trees_find_all_links():
     import numpy as np
 
