@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import crf_quality, decontam, langid, line_dedup, line_hash, mixing, pii, signature_tree, splitters, warc
+from lectern.llm import cross_polytope, crf_quality, decontam, filter_audit, keyed_upsert, langid, line_dedup, line_hash, mixing, pii, signature_tree, splitters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,8 +71,26 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source")
 
 
+def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients, folder = table(spark, sf_dir, "clients"), keyed_upsert.new_folder(spark, "clients")
+    files, now, _ = keyed_upsert.upsert_clients(clients, table(spark, sf_dir, "client_changes"), folder)
+    text = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("source", "segment", "city")])
+    sums = {"cents": F.coalesce(F.floor(100 * F.col("balance") + 0.5), F.lit(0)), "rows_crc": keyed_upsert.crc32(text)}
+    found = keyed_upsert.file_digests(spark, folder, now, "client_id", sums)
+    path = F.concat(F.lit(folder.replace("file://", "") + "/"), "_lx_name")
+    return found.select(F.col("first_key").alias("first_id"), "n_rows", "cents", "rows_crc", F.col("keys_sha256").alias("ids_sha256"), F.lit(",".join(clients.columns)).alias("columns"), path.alias("path"), (~F.col("_lx_name").isin([f.name for f in files])).alias("rewritten"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20, tables=12, probes=10)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_field, op2_splitters, op3_pii, op4_decontamination, op5_line_edits, op6_warc, op7_line_hashes, op8_language, op9_jaccard_tree, op10_mixture)}
+    return {f.__name__: f for f in (op1_line_field, op2_splitters, op3_pii, op4_decontamination, op5_line_edits, op6_warc, op7_line_hashes, op8_language, op9_jaccard_tree, op10_mixture, op11_keyed_upsert, op12_filter_audit, op13_cross_polytope)}
 
 
 def oracle_sql() -> dict[str, str]:
