@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import chunking, fulltext, retrieval
+from lectern.operators.vector_index import VectorIndex
 from lectern.plans.corpus import CHUNKS_SQL, DOC_PAGES, doc_pages, strip_sql
 from lectern.plans.registry import query, table
+from lectern.sources.sinks import shared_folder
 
 ALL_TERMS = "thing hation onsh"
 RARE_TERMS = "qwertyuiop thonly"
@@ -139,3 +141,35 @@ def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def english_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems and cover density; an index would be written once and read here."""
     return fulltext.search(fulltext.postings(table(spark, sf_dir, "documents"), "doc_id"), "things and hations", K, "doc_id")
+
+
+def index_sql(rows: str) -> str:
+    """Ten nearest, by a scan, of the smallest id of each label."""
+    cos = f"{DOT.format('e.embedding', 'q.embedding')} / (sqrt({DOT.format('e.embedding', 'e.embedding')}) * sqrt({DOT.format('q.embedding', 'q.embedding')}))"
+    return f"""WITH e AS ({rows}), q AS (SELECT min(vec_id) AS query, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label),
+s AS (SELECT query, vec_id, round({cos}, 6) AS cosine FROM e, q), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS place FROM s)
+SELECT query, place::INT AS place, vec_id, cosine FROM r WHERE place <= 10"""
+
+
+def first_of_labels(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id"), F.min_by("embedding", "vec_id").alias("embedding"))
+
+
+@query(index_sql("SELECT vec_id, embedding FROM embeddings"))
+def indexed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written once in lists, searched by bounds: the same rows as a scan."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = VectorIndex.create(vectors, shared_folder(spark, "vector-index"), lists=16)
+    return index.search_exact(first_of_labels(vectors), K, probes=4)
+
+
+@query(index_sql("SELECT vec_id, CASE WHEN label = 2 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings WHERE label <> 1"))
+def indexed_neighbours_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of label 2 are replaced and those of label 1 deleted, without a
+    rebuild; a merge then leaves one segment."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = VectorIndex.create(vectors, shared_folder(spark, "vector-index"), lists=16)
+    index.upsert(vectors.where("label = 2").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    index.delete(vectors.where("label = 1"))
+    index.merge(last=2)
+    return index.search_exact(first_of_labels(vectors), K, probes=4)

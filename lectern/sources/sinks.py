@@ -3,12 +3,28 @@ a reader sees all of a run or nothing of it."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """The name of a new folder where all executors see it: under
+    `spark.checkpoint.dir`, or for a local session without it under its own
+    temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lectern-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/lectern/{label}-{uuid.uuid4().hex}"
+
+
 def jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
