@@ -7,9 +7,14 @@ no single task.  Rank is cover density: each shortest stretch that holds all
 stems counts .1 / (1 + other words in it).  If no chunk has all stems, each
 occurrence of any counts .1.
 
-Defined results: null and empty texts have no rows; a query of stop words
-alone finds nothing; equal ranks go by key; a key that occurs in several rows
-is several texts under one name and counts as one.
+`TextIndex` follows changes by segments (see `sources.segments`): a chunk that
+is written again or deleted leaves the results with the same version in which
+its new text enters them, and no other chunk is read.
+
+Defined results: null and empty texts have no rows, and as a chunk's new text
+they take it out of the index; a query of stop words alone finds nothing; equal
+ranks go by key; a key that occurs in several rows is several texts under one
+name and counts as one.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lectern.functions.stemming import STOP_WORDS, stem
+from lectern.sources import segments
 
 BUCKETS, PARTS, WEIGHT = 64, 8, 0.1
 WORDS = re.compile(r"\w+")
@@ -39,23 +45,40 @@ def stems_of(text: str, known=stem) -> dict[str, list[int]]:  # noqa: ANN001
     return found
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", value: str = "text") -> DataFrame:
+def words_of(text: str, known=None) -> dict[str, list[int]]:  # noqa: ANN001
+    """Words as they are, in lower case, and their places."""
+    found: dict[str, list[int]] = {}
+    for at, word in enumerate(WORDS.findall(text.lower())):
+        found.setdefault(word, []).append(at)
+    return found
+
+
+#: What a word of a text becomes in an index.
+CONFIGS = {"english": stems_of, "simple": words_of}
+
+
+def postings(chunks: DataFrame, key: str = "chunk_id", value: str = "text", config: str = "english") -> DataFrame:
     """stem, key, tf, positions.  Each text is taken apart where it lies; there
     is no shuffle."""
 
+    take_apart = CONFIGS[config]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = lru_cache(100_000)(stem)
         for batch in batches:
             rows = []
             for k, text in zip(batch[key], batch[value], strict=True):
-                rows += [(s, k, len(at), at) for s, at in stems_of(text, known).items()]
+                rows += [(s, k, len(at), at) for s, at in take_apart(text, known).items()]
                 if len(rows) >= 50_000:
                     yield pd.DataFrame(rows, columns=["stem", key, "tf", "positions"])
                     rows = []
             yield pd.DataFrame(rows, columns=["stem", key, "tf", "positions"])
 
-    schema = T.StructType([T.StructField("stem", T.StringType()), chunks.schema[key], T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
-    return chunks.select(key, value).where(F.col(value) != "").mapInPandas(run, schema)
+    return chunks.select(key, value).where(F.col(value) != "").mapInPandas(run, postings_schema(chunks.schema[key]))
+
+
+def postings_schema(key: T.StructField) -> T.StructType:
+    return T.StructType([T.StructField("stem", T.StringType()), key, T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
 
 
 def bucket(word: Column) -> Column:
@@ -63,7 +86,11 @@ def bucket(word: Column) -> Column:
 
 
 def write_index(chunks: DataFrame, path: str, key: str = "chunk_id", value: str = "text") -> None:
-    rows = postings(chunks, key, value).withColumn("bucket", bucket(F.col("stem")))
+    write_postings(postings(chunks, key, value), path, key)
+
+
+def write_postings(rows: DataFrame, path: str, key: str) -> None:
+    rows = rows.select("stem", key, "tf", "positions", bucket(F.col("stem")).alias("bucket"))
     part = F.pmod(F.xxhash64(key), F.lit(PARTS))
     rows.repartition("bucket", part).sortWithinPartitions("bucket", "stem").write.partitionBy("bucket").mode("overwrite").parquet(path)
 
@@ -72,9 +99,66 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def search(index: DataFrame, query: str, k: int, key: str = "chunk_id") -> DataFrame:
+class TextIndex:
+    """Stored postings in a folder that follow upserts and deletes of chunks."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id", value: str = "text") -> None:
+        self.spark, self.path, self.key, self.value = spark, path, key, value
+        self.schema = spark.read.parquet(f"{path}/schema").schema
+        self.config = self.schema["stem"].metadata["config"]
+
+    @classmethod
+    def create(cls, chunks: DataFrame, path: str, key: str = "chunk_id", value: str = "text", config: str = "english") -> TextIndex:
+        fields = postings_schema(chunks.schema[key]).fields
+        fields[0] = T.StructField("stem", T.StringType(), True, {"config": config})
+        chunks.sparkSession.createDataFrame([], T.StructType([*fields, T.StructField("bucket", T.IntegerType())])).write.parquet(f"{path}/schema")
+        index = cls(chunks.sparkSession, path, key, value)
+        index._append(chunks, None)
+        return index
+
+    def _write(self, rows: DataFrame, path: str) -> None:
+        write_postings(rows, path, self.key)
+
+    def _append(self, chunks: DataFrame | None, gone: DataFrame | None) -> int:
+        rows = None if chunks is None else postings(chunks.where(F.col(self.key).isNotNull()), self.key, self.value, self.config)
+        return segments.append(self.spark, self.path, self.key, rows, gone, self._write)
+
+    def upsert(self, chunks: DataFrame) -> int:
+        """Chunks with new texts, or new ones; returns the version."""
+        return self._append(chunks, chunks)
+
+    def delete(self, keys: DataFrame) -> int:
+        return self._append(None, keys)
+
+    def merge(self, last: int | None = None) -> int:
+        """The last segments (all) become one, without what is gone."""
+        return segments.merge(self.spark, self.path, self.key, self.schema, self._write, last)
+
+    def tidy(self, ratio: int = 4) -> int:
+        """Merge as long as the last segments together are not `ratio` times
+        smaller than the one before them, so a row is written again only when
+        the index has grown by a share of its size: segments stay few."""
+        held = segments.names(self.spark, self.path)[1]
+        sizes = {}
+        for s in held:
+            sizes[s["number"]] = self.spark.read.parquet(f"{self.path}/rows/{s['folder']}").count() + s["gone"] if s["rows"] else s["gone"]
+        last, total = 1, sizes[held[-1]["number"]] if held else 0
+        while last < len(held) and total * ratio >= sizes[held[-1 - last]["number"]]:
+            total += sizes[held[-1 - last]["number"]]
+            last += 1
+        return self.merge(last) if last > 1 else segments.names(self.spark, self.path)[0]
+
+    def postings(self) -> DataFrame:
+        """stem, key, tf, positions, bucket, segment of what is in the index."""
+        return segments.live(self.spark, self.path, self.key, self.schema)
+
+    def search(self, query: str, k: int) -> DataFrame:
+        return search(self.postings(), query, k, self.key, self.config)
+
+
+def search(index: DataFrame, query: str, k: int, key: str = "chunk_id", config: str = "english") -> DataFrame:
     """key, rank: the k chunks of highest rank."""
-    wanted = sorted(stems_of(query))
+    wanted = sorted(CONFIGS[config](query))
     if not wanted:
         return index.limit(0).select(key, F.lit(0.0).alias("rank"))
     own = index.where(F.col("stem").isin(wanted))

@@ -137,10 +137,39 @@ def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hash_embeddings(table(spark, sf_dir, "documents"))
 
 
+#: Folders of indices that this session has written, by what they are of.
+STORED: dict[tuple, str] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> fulltext.TextIndex:
+    """Of documents, written at the first search of a session and read by all."""
+    of = (spark.sparkContext.applicationId, sf_dir)
+    if of not in STORED:
+        folder = shared_folder(spark, "text-index")
+        fulltext.TextIndex.create(table(spark, sf_dir, "documents"), folder, "doc_id")
+        STORED[of] = folder
+    return fulltext.TextIndex(spark, STORED[of], "doc_id")
+
+
 @query()
 def english_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stems and cover density; an index would be written once and read here."""
-    return fulltext.search(fulltext.postings(table(spark, sf_dir, "documents"), "doc_id"), "things and hations", K, "doc_id")
+    """Stems and cover density over stored postings."""
+    return text_index(spark, sf_dir).search("things and hations", K)
+
+
+CHANGED = "SELECT doc_id, CASE WHEN source = 'src1' THEN 'Changed since: ' || text || ' zyxwv' ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'en'"
+
+
+@query(rf"SELECT stem, count(*)::BIGINT AS df, sum(tf)::BIGINT AS total FROM (SELECT doc_id, stem, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS stem FROM ({CHANGED})) GROUP BY ALL) GROUP BY stem")
+def indexed_terms_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of an index of all documents, of which those of one source were
+    then written again and those of one language deleted."""
+    docs = table(spark, sf_dir, "documents")
+    index = fulltext.TextIndex.create(docs, shared_folder(spark, "text-index"), "doc_id", config="simple")
+    index.upsert(docs.where("source = 'src1'").withColumn("text", F.concat(F.lit("Changed since: "), "text", F.lit(" zyxwv"))))
+    index.delete(docs.where("lang = 'en'"))
+    index.tidy()
+    return index.postings().groupBy("stem").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
 def index_sql(rows: str) -> str:

@@ -61,15 +61,17 @@ def search(chunks: DataFrame, query: str, k: int = 10, key: str = "chunk_id") ->
     return retrieval.fts(chunks, query, k, key)
 
 
-def search_index(index: DataFrame, query: str, k: int = 10, key: str = "chunk_id") -> DataFrame:
-    """English search over postings that `fulltext.write_index` stored."""
-    return fulltext.search(index, query, k, key)
+def search_index(index: DataFrame | fulltext.TextIndex, query: str, k: int = 10, key: str = "chunk_id") -> DataFrame:
+    """English search over stored postings; a `TextIndex` follows changes."""
+    return index.search(query, k) if isinstance(index, fulltext.TextIndex) else fulltext.search(index, query, k, key)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, probe: DataFrame, k: int = 10, only: Column | None = None, config: Config | None = None, index: DataFrame | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, probe: DataFrame, k: int = 10, only: Column | None = None, config: Config | None = None, index: DataFrame | fulltext.TextIndex | None = None) -> DataFrame:
     """With an `index` over doc_id, its postings are read and no text but that
     of the k results."""
     hits = None
+    if isinstance(index, fulltext.TextIndex):
+        index = index.postings()
     if index is not None:
         allowed = index if only is None else index.join(chunks.where(only).select("doc_id"), "doc_id", "left_semi")
         hits = fulltext.search(allowed, query, k, "doc_id")

@@ -6,6 +6,7 @@ import pytest
 from lectern import service
 from lectern.functions.stemming import stem
 from lectern.operators import fulltext, retrieval
+from lectern.sources import segments
 from pyspark.sql import functions as F
 
 STEMS = {
@@ -54,6 +55,47 @@ def test_stored_search(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(stem,dog)" in plan
 
 
+def test_index_follows_changes(spark, tmp_path):
+    """After each change searches find what a new index would, ranks included."""
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("cats running the dog of house energies saved".split()) for _ in range(rng.randint(0, 25)))
+    now = {i: text() for i in range(40)}
+    frame = lambda rows: spark.createDataFrame([(*r, "x") for r in rows], "chunk_id long, text string, stem string")
+    index = fulltext.TextIndex.create(frame(now.items()), f"{tmp_path}/index")
+
+    def agree():
+        for query in ("cat runs", "energy saving houses", "zebra dog", "the of"):
+            found = [(r.chunk_id, r["rank"]) for r in service.search_index(index, query, 60).collect()]
+            wanted = plain_search(list(now.items()), query, 60)
+            assert [k for k, _ in found] == [k for k, _ in wanted] and [r for _, r in found] == pytest.approx([r for _, r in wanted], abs=2e-6), query
+
+    def upsert(rows):
+        index.upsert(frame(rows.items()))
+        now.update(rows)
+
+    def delete(keys):
+        index.delete(frame([(k, None) for k in keys]))
+        for k in keys:
+            now.pop(k, None)
+
+    upsert({i: text() for i in range(30, 50)})
+    delete([1, 2, 35, 999])
+    agree()
+    upsert({1: "zebra dog", 3: None, 4: ""} | {i: text() for i in range(20)})
+    index.merge(last=2)
+    agree()
+    assert len(segments.names(spark, index.path)[1]) == 3
+    index.tidy()
+    assert len(segments.names(spark, index.path)[1]) < 3
+    index.merge()
+    segments.vacuum(spark, index.path)
+    agree()
+    again = fulltext.TextIndex(spark, index.path)
+    assert {r.stem for r in again.postings().select("stem").distinct().collect()} == set().union(*(fulltext.stems_of(t or "") for t in now.values()))
+    plan = again.postings().where("bucket = 3 and stem = 'dog'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(stem,dog)" in plan
+
+
 def test_empty_index(spark):
     none = fulltext.postings(spark.createDataFrame([], "chunk_id long, text string"))
     assert fulltext.search(none, "dog", 5).count() == 0
