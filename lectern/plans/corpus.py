@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import chunking, merge
+from lectern.operators import chunking, embedding, merge
 from lectern.plans.registry import query, table
+from lectern.sources import sinks
+from lectern.streaming import documents
 
 W = r"[\p{L}\p{N}_]"
 SP = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
@@ -67,13 +72,53 @@ red AS (SELECT key, page, i, s, s + length(raw) AS e, {redact_sql(strip_sql('raw
 chunk AS (SELECT key, page, s, e, text, row_number() OVER (PARTITION BY key ORDER BY page, i) - 1 AS n FROM red WHERE {keep_sql('text')})"""
 
 
-@query(rf"""WITH {TURN_PAGES}, {CHUNKS_SQL}
-SELECT key || ':c' || n AS chunk_id, key AS document_id, CAST(n AS INT) AS chunk_index, page AS page_num, CAST(s AS BIGINT) AS start_char, CAST(e AS BIGINT) AS end_char,
-'page/' || page AS section_path, 'prose' AS content_type, CAST(len(regexp_extract_all(text, '{W}+')) AS INT) AS tokens, 1.0::DOUBLE AS quality_score, text FROM chunk""")
+CHUNK_RECORDS_SQL = rf"""SELECT key || ':c' || n AS chunk_id, key AS document_id, CAST(n AS INT) AS chunk_index, page AS page_num, CAST(s AS BIGINT) AS start_char, CAST(e AS BIGINT) AS end_char,
+'page/' || page AS section_path, 'prose' AS content_type, CAST(len(regexp_extract_all(text, '{W}+')) AS INT) AS tokens, 1.0::DOUBLE AS quality_score, text FROM chunk"""
+
+
+@query(f"WITH {TURN_PAGES}, {CHUNKS_SQL} {CHUNK_RECORDS_SQL}")
 def chunk_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
+#: Turns of a conversation come a second apart, conversations start a minute apart.
+TURN_SECONDS = "conv_id * 60 + turn"
+
+
+class LetterCounts:
+    """A provider whose vectors SQL can say: how often each of a to z occurs."""
+
+    model, dim = "letter-counts", 26
+
+    def load(self) -> embedding.Embed:
+        return lambda texts: (np.array([float(t.count(chr(97 + i))) for i in range(26)]) for t in texts)
+
+
+EMBEDDED_SQL = "embedded AS (SELECT key || ':c' || n AS chunk_id, key AS document_id, 'letter-counts' AS embedding_model, list_transform(range(26), lambda i: (length(text) - length(replace(text, chr(97 + i::INT), '')))::FLOAT) AS embedding_vector FROM chunk)"
+
+
+@query(f"WITH {TURN_PAGES}, {CHUNKS_SQL}, {EMBEDDED_SQL} SELECT * FROM embedded")
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of conversations through a provider, 64 to a call."""
+    return embedding.embed(chunk_pipeline(spark, sf_dir), LetterCounts(), parent="document_id")
+
+
+@query(f"WITH {TURN_PAGES}, {CHUNKS_SQL}, {EMBEDDED_SQL} SELECT 'run' AS run_id, 'conversations' AS source, max(embedding_model) AS model, coalesce(max(len(embedding_vector)), 0)::INT AS embedding_dim, count(*)::BIGINT AS chunks_embedded FROM embedded")
+def embedding_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.manifest(embedded_chunks(spark, sf_dir), "run", "conversations").drop("created_at")
+
+
+@query(f"WITH {TURN_PAGES}, {CHUNKS_SQL} {CHUNK_RECORDS_SQL} WHERE key IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING max({TURN_SECONDS}) + 1200.5 < (SELECT max({TURN_SECONDS}) FROM conversations))")
+def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a stream of pages; those that are finished when all has
+    come, as chunks."""
+    folder = sinks.shared_folder(spark, "stream")
+    pages = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/[c]onversations.parquet")  # a pattern, since a stream takes no single file
+    timed = pages.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text", F.timestamp_seconds(F.expr(TURN_SECONDS)).alias("ts"))
+    documents.start(timed, folder, f"{folder}/checkpoint", idle=timedelta(seconds=600, milliseconds=250)).awaitTermination()
+    return documents.current(spark, folder)
+
+
 @query(rf"SELECT doc_id, {redact_sql('text')} AS text FROM (SELECT doc_id, {LABELLED} FROM documents)")
 def redact_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("doc_id", X.redact(F.col("text")).alias("text"))

@@ -6,8 +6,6 @@ A web server would call these; each returns a DataFrame of the size asked for.
 from __future__ import annotations
 
 import os
-import time
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,21 +40,6 @@ class Config:
         return found if 0 <= self.alpha <= 1 else [*found, "FUSION_ALPHA lies outside 0 to 1"]
 
 
-def with_retries(call: Callable, attempts: int = 5, base: float = 0.5, most: float = 8.0, sleep: Callable[[float], None] = time.sleep):  # noqa: ANN201
-    """`call()`, again after base * 2^n seconds (at most `most`) when it raises;
-    for outside stores, since Spark repeats its own tasks.  Errors with a
-    `status` of 400 to 499 but 409 are raised at once."""
-    for n in range(attempts):
-        try:
-            return call()
-        except Exception as e:
-            status = getattr(e, "status", None)
-            if n == attempts - 1 or (status is not None and 400 <= status < 500 and status != 409):
-                raise
-            sleep(min(most, base * 2**n))
-    return None
-
-
 def search(chunks: DataFrame, query: str, k: int = 10, key: str = "chunk_id") -> DataFrame:
     return retrieval.fts(chunks, query, k, key)
 

@@ -85,15 +85,19 @@ def finished(pages: DataFrame, idle: timedelta = timedelta(minutes=10), retain:
     """doc_id, page, text of documents as they are finished; `pages` streams."""
     epoch = F.lit(datetime(1970, 1, 1, tzinfo=UTC))
     own = pages.where("doc_id IS NOT NULL AND page IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "text", F.coalesce("ts", epoch).alias("ts"))
-    timed = own.withWatermark("ts", f"{int(idle.total_seconds())} seconds").withColumn("at", F.unix_millis("ts"))
+    timed = own.withWatermark("ts", f"{int(idle.total_seconds() * 1000)} milliseconds").withColumn("at", F.unix_millis("ts"))
     return timed.groupBy("doc_id").transformWithStateInPandas(Pages(idle, retain), "doc_id long, page int, text string", "append", "eventTime")
 
 
 def ingest(spark: SparkSession, pages_folder: str, folder: str, checkpoint: str, idle: timedelta = timedelta(minutes=10), retain: timedelta = timedelta(days=30), files: int = 1000) -> StreamingQuery:
     """Chunks of finished documents, a folder for each batch; runs over all
     files that are there, `files` to a batch, then stops."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files).parquet(pages_folder)
+    return start(spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files).parquet(pages_folder), folder, checkpoint, idle, retain)
+
+
+def start(pages: DataFrame, folder: str, checkpoint: str, idle: timedelta = timedelta(minutes=10), retain: timedelta = timedelta(days=30)) -> StreamingQuery:
+    """`ingest`, from any stream of doc_id, page, text, ts."""
+    pages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
     def chunked(batch: DataFrame, batch_id: int) -> None:
         # the state is read and written by the first of these; the rest starts from its files

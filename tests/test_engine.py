@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from lectern import schemas
 from lectern.functions import text as X
 from lectern.operators import chunking, merge, regions, retrieval, vectors
-from lectern.sources import readers, sinks
+from lectern.sources import points, readers, sinks
 from lectern.streaming import ingest
 from pyspark.sql import functions as F
 
@@ -292,11 +292,11 @@ def test_retries():
         return call
 
     waits = []
-    assert service.with_retries(calls([OSError()] * 4), sleep=waits.append) == "done" and waits == [0.5, 1.0, 2.0, 4.0]
+    assert points.with_retries(calls([OSError()] * 4), sleep=waits.append) == "done" and waits == [0.5, 1.0, 2.0, 4.0]
     with pytest.raises(OSError):
-        service.with_retries(calls([OSError()] * 5), sleep=waits.append)
+        points.with_retries(calls([OSError()] * 5), sleep=waits.append)
     with pytest.raises(Refused):
-        service.with_retries(calls([Refused()]), sleep=waits.append)
+        points.with_retries(calls([Refused()]), sleep=waits.append)
 
 
 def test_record_rules(spark):
