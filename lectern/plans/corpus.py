@@ -82,7 +82,7 @@ def chunk_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Turns of a conversation come a second apart, conversations start a minute apart.
-TURN_SECONDS = "conv_id * 60 + turn"
+TURN_SECONDS = "(conv_id + 1) * 60 + turn"
 
 
 class LetterCounts:
@@ -108,14 +108,14 @@ def embedding_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.manifest(embedded_chunks(spark, sf_dir), "run", "conversations").drop("created_at")
 
 
-@query(f"WITH {TURN_PAGES}, {CHUNKS_SQL} {CHUNK_RECORDS_SQL} WHERE key IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING max({TURN_SECONDS}) + 1200.5 < (SELECT max({TURN_SECONDS}) FROM conversations))")
+@query(f"WITH {TURN_PAGES}, {CHUNKS_SQL} {CHUNK_RECORDS_SQL} WHERE key IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING max({TURN_SECONDS}) + 200.5 < (SELECT max({TURN_SECONDS}) FROM conversations))")
 def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a stream of pages; those that are finished when all has
     come, as chunks."""
     folder = sinks.shared_folder(spark, "stream")
     pages = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/[c]onversations.parquet")  # a pattern, since a stream takes no single file
     timed = pages.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text", F.timestamp_seconds(F.expr(TURN_SECONDS)).alias("ts"))
-    documents.start(timed, folder, f"{folder}/checkpoint", idle=timedelta(seconds=600, milliseconds=250)).awaitTermination()
+    documents.start(timed, folder, f"{folder}/checkpoint", idle=timedelta(seconds=100, milliseconds=250)).awaitTermination()
     return documents.current(spark, folder)
 
 

@@ -16,7 +16,7 @@ stays `idle` behind the latest page of all, are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -83,8 +83,9 @@ class Pages(StatefulProcessor):
 
 def finished(pages: DataFrame, idle: timedelta = timedelta(minutes=10), retain: timedelta = timedelta(days=30)) -> DataFrame:
     """doc_id, page, text of documents as they are finished; `pages` streams."""
-    epoch = F.lit(datetime(1970, 1, 1, tzinfo=UTC))
-    own = pages.where("doc_id IS NOT NULL AND page IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "text", F.coalesce("ts", epoch).alias("ts"))
+    # the first watermark is 0, and what lies at it is late
+    first = F.timestamp_millis(F.lit(1))
+    own = pages.where("doc_id IS NOT NULL AND page IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "text", F.coalesce("ts", first).alias("ts"))
     timed = own.withWatermark("ts", f"{int(idle.total_seconds() * 1000)} milliseconds").withColumn("at", F.unix_millis("ts"))
     return timed.groupBy("doc_id").transformWithStateInPandas(Pages(idle, retain), "doc_id long, page int, text string", "append", "eventTime")
 
