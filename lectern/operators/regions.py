@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
+from lectern.sources.sinks import cut
 
 
 def filter_images(images: DataFrame, min_size: int | None = None, exclude: tuple[str, ...] = (), confidence: float | None = None, skip_duplicates: bool = False, visible: tuple[str, ...] = (), correlation: float = 0.0, contexts: tuple[str, ...] = ()) -> DataFrame:
@@ -34,19 +37,32 @@ def fitting(regions: DataFrame, width: int, height: int) -> DataFrame:
     return regions.where(size & (x >= 5) & (y >= 5) & (x + w <= width - 5) & (y + h <= height - 5))
 
 
-def pairs(regions: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a page with a.id < b.id: one shuffle, by page."""
-    a, b = regions.alias("a"), regions.alias("b")
-    return a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a.id") < F.col("b.id")))
-
-
 def box(side: str) -> dict[str, Column]:
     return {c: F.col(f"{side}.{c}") for c in "xywh"}
 
 
-def overlaps(regions: DataFrame, least: float) -> DataFrame:
+def cells(start: Column, end: Column, size: int) -> Column:
+    """The numbers of the cells that an interval touches."""
+    return F.sequence(F.floor(start / size).cast("long"), F.floor(F.greatest(start, end) / size).cast("long"))
+
+
+def touching(regions: DataFrame, cell: int = 100) -> DataFrame:
+    """Pairs (a, b) of a page with a.id < b.id whose boxes share more than an
+    edge.  Regions meet in the cells of a grid that both touch, so the work
+    follows the neighbours of a region; a pair counts in the one cell where its
+    common part begins."""
+    own = regions.where("w > 0 AND h > 0").withColumn("cx", F.explode(cells(F.col("x"), F.col("x") + F.col("w"), cell))).withColumn("cy", F.explode(cells(F.col("y"), F.col("y") + F.col("h"), cell)))
+    a, b = own.alias("a"), own.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("page", "cx", "cy")]
+    begins = (F.floor(F.greatest("a.x", "b.x") / cell) == F.col("a.cx")) & (F.floor(F.greatest("a.y", "b.y") / cell) == F.col("a.cy"))
+    common = (F.greatest("a.x", "b.x") < F.least(F.col("a.x") + F.col("a.w"), F.col("b.x") + F.col("b.w"))) & (F.greatest("a.y", "b.y") < F.least(F.col("a.y") + F.col("a.h"), F.col("b.y") + F.col("b.h")))
+    return a.join(b, same[0] & same[1] & same[2] & (F.col("a.id") < F.col("b.id"))).where(begins & common)
+
+
+def overlaps(regions: DataFrame, least: float, cell: int = 100) -> DataFrame:
+    """Pairs of which more than `least` (0 or more) of the smaller is common."""
     share = G.overlap_share(box("a"), box("b"))
-    return pairs(regions).where(share > least).select(F.col("a.page").alias("page"), F.col("a.id").alias("one"), F.col("b.id").alias("two"), F.round(share, 6).alias("share"))
+    return touching(regions, cell).where(share > least).select(F.col("a.page").alias("page"), F.col("a.id").alias("one"), F.col("b.id").alias("two"), F.round(share, 6).alias("share"))
 
 
 def centre(side: str) -> tuple[Column, Column]:
@@ -55,10 +71,17 @@ def centre(side: str) -> tuple[Column, Column]:
 
 
 def relationships(regions: DataFrame, most: float) -> DataFrame:
+    """Pairs of a page whose centres are less than `most` apart.  Centres lie in
+    cells of that size, so a near one is in the same cell or one beside it."""
     (ax, ay), (bx, by) = centre("a"), centre("b")
+    cell = max(1, math.ceil(most))
+    middle = {"cx": F.floor((F.col("x") + F.floor(F.col("w") / 2)) / cell), "cy": F.floor((F.col("y") + F.floor(F.col("h") / 2)) / cell)}
+    own = regions.withColumns(middle)
+    beside = own.withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1))).withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("page", "cx", "cy")]
+    met = own.alias("a").join(beside.alias("b"), same[0] & same[1] & same[2] & (F.col("a.id") < F.col("b.id")))
     distance = F.sqrt(((ax - bx) * (ax - bx) + (ay - by) * (ay - by)).cast("double"))
-    near = pairs(regions).where(distance < most)
-    return near.select(F.col("a.page").alias("page"), F.col("a.id").alias("one"), F.col("b.id").alias("two"), F.round(distance, 6).alias("distance"), G.relative_position(ax, ay, bx, by).alias("position"))
+    return met.where(distance < most).select(F.col("a.page").alias("page"), F.col("a.id").alias("one"), F.col("b.id").alias("two"), F.round(distance, 6).alias("distance"), G.relative_position(ax, ay, bx, by).alias("position"))
 
 
 def layouts(regions: DataFrame, width: int, height: int) -> DataFrame:
@@ -68,18 +91,30 @@ def layouts(regions: DataFrame, width: int, height: int) -> DataFrame:
     return own.select("page", "header", "footer", kind.alias("layout"))
 
 
-def suppress(regions: DataFrame, most: float) -> DataFrame:
-    """Greedy: by area, largest first, a region stays unless it overlaps one
-    that stayed.  A fold over the regions of a page."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("w") * F.col("h")).alias("o"), "id", "x", "y", "w", "h")))
-
-    def add(kept: Column, r: Column) -> Column:
-        hit = F.exists(kept, lambda k: G.overlap_share({c: k[c] for c in "xywh"}, {c: r[c] for c in "xywh"}) > most)
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(r)))
-
-    own = regions.groupBy("page").agg(ordered.alias("all"))
-    kept = F.aggregate("all", F.filter("all", lambda _: F.lit(False)), add)
-    return own.select("page", F.explode(kept).alias("r")).select("page", "r.id")
+def suppress(regions: DataFrame, most: float, cell: int = 100) -> DataFrame:
+    """Greedy: by area, largest first, of equals the smaller id, a region stays
+    unless it overlaps one that stayed; page, id.
+
+    In rounds over all pages: a region that no open region goes before stays,
+    those it overlaps go.  A round settles at least the first of each group of
+    overlapping regions, most settle in the first few."""
+    area = {k: F.col(f"{k}.w") * F.col(f"{k}.h") for k in "ab"}
+    first = (area["a"] > area["b"]) | ((area["a"] == area["b"]) & (F.col("a.id") < F.col("b.id")))
+    pairs = touching(regions, cell).where(G.overlap_share(box("a"), box("b")) > most)
+    one, two = F.struct(F.col("a.id").alias("id")), F.struct(F.col("b.id").alias("id"))
+    before = cut(pairs.select(F.col("a.page").alias("page"), F.when(first, one).otherwise(two)["id"].alias("id"), F.when(first, two).otherwise(one)["id"].alias("loser")), "suppress-pairs")
+    unpaired = regions.select("page", "id").distinct()
+    open_ = cut(before.select("page", "id").union(before.select("page", "loser")).distinct(), "suppress-open")
+    stay = unpaired.join(open_, ["page", "id"], "left_anti")
+    while not open_.isEmpty():
+        # nothing open goes before these
+        top = cut(open_.join(before.select("page", F.col("loser").alias("id")), ["page", "id"], "left_anti"), "suppress-stay")
+        gone = before.join(top, ["page", "id"], "left_semi").select("page", F.col("loser").alias("id")).distinct()
+        stay = stay.unionByName(top)
+        open_ = cut(open_.join(top, ["page", "id"], "left_anti").join(gone, ["page", "id"], "left_anti"), "suppress-open")
+        both = before.join(open_, ["page", "id"], "left_semi").join(open_.withColumnRenamed("id", "loser"), ["page", "loser"], "left_semi")
+        before = cut(both.select("page", "id", "loser"), "suppress-pairs")
+    return stay
 
 
 def grid(cells: DataFrame, tolerance: int) -> DataFrame:

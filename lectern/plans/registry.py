@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from lectern.plans import analytics, corpus, exports, extraction, layout, relations, retrieval  # noqa: F401
+    from lectern.plans import analytics, corpus, drivers, exports, extraction, layout, relations, retrieval  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

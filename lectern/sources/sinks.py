@@ -25,6 +25,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{folder.rstrip('/')}/lectern/{label}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """`df` written to the shared folder and read back: what follows starts from
+    the files, which outlive any executor."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
