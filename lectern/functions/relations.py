@@ -84,6 +84,15 @@ def description(kind: Column, context: Column) -> Column:
     return out
 
 
+def element_description(kind: Column, confidence: Column, w: Column, h: Column) -> Column:
+    """How sure the kind is, the size and a long shape, as sentences."""
+    sure = F.when(confidence > 0.7, F.concat(F.lit("This appears to be a "), kind)).when(confidence > 0.4, F.concat(F.lit("This is likely a "), kind)).otherwise(F.concat(F.lit("This may be a "), kind, F.lit(" or other visual element")))
+    size = F.when((w > 400) | (h > 400), "of large size").when((w < 100) | (h < 100), "of small size").otherwise("of medium size")
+    aspect = F.when(h > 0, w / h).otherwise(1.0)
+    shape = F.when(aspect > 2.0, "with a wide aspect ratio").when(aspect < 0.5, "with a tall aspect ratio")
+    return F.concat(F.concat_ws(". ", sure, size, shape), F.lit("."))
+
+
 def page_correlation(kind: Column, low: Column, has_text: Column) -> Column:
     gain = F.lit(0.0)
     for k, words, value in KIND_GAIN:

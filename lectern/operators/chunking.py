@@ -179,3 +179,14 @@ def create_chunks(docs: DataFrame, strategy: str = "semantic", key: str = "doc_i
         raise ValueError(f"unknown chunking strategy: {strategy}")
     t = F.col("text")
     return own.select(key, "chunk_index", "text", F.length(t).alias("character_count"), X.word_count(t).alias("word_count"), X.importance(t).alias("importance_score"), X.content_type(t).alias("content_type"))
+
+
+def embedding_chunks(docs: DataFrame, strategy: str = "semantic", key: str = "doc_id", most: int = 512, images: DataFrame | None = None) -> DataFrame:
+    """`create_chunks` of at most `most` characters, with their strategy and
+    size as metadata, and the references (filename, type) of the document's
+    `images` (key, filename, type), by filename."""
+    own = create_chunks(docs, strategy, key, most).withColumn("metadata", F.create_map(F.lit("chunk_strategy"), F.lit(strategy), F.lit("max_chunk_size"), F.lit(str(most))))
+    if images is None:
+        return own.withColumn("image_references", F.array().cast("array<struct<filename:string,type:string>>"))
+    held = images.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(F.col("filename").cast("string").alias("filename"), F.col("type").cast("string").alias("type")))).alias("image_references"))
+    return own.join(held, key, "left").withColumn("image_references", F.coalesce("image_references", F.array().cast("array<struct<filename:string,type:string>>")))

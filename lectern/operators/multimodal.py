@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions import relations, text
 from lectern.functions import relevance as R
 
 
@@ -46,6 +47,9 @@ def context_pairs(chunks: DataFrame, images: DataFrame, least: float) -> DataFra
     wanted = F.array(F.col("context"))
     for a, b in R.RELATED:
         wanted = F.concat(wanted, F.when(F.col("context") == a, F.array(F.lit(b))).otherwise(F.array().cast("array<string>")))
+    # of a chunk's words only those that an image of its document has go into the pairs
+    known = images.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("image_words"))).alias("known"))
+    chunks = chunks.join(known, "doc").withColumn("words", F.array_intersect("words", "known")).drop("known")
     left = chunks.withColumn("key", F.explode(F.array_distinct(F.concat(wanted, F.when(F.col("kind") == "usage_data", F.array(F.lit("a chart"))).otherwise(F.array().cast("array<string>"))))))
     right = images.withColumn("key", F.explode(F.concat(F.array("image_context"), F.when(F.col("type") == "chart", F.array(F.lit("a chart"))).otherwise(F.array().cast("array<string>")))))
     pairs = left.withColumnRenamed("page", "chunk_page").join(right.withColumnRenamed("page", "image_page"), ["doc", "key"])
@@ -68,3 +72,41 @@ def pairing_quality(pairs: DataFrame, images: DataFrame) -> DataFrame:
     own = pairs.join(images.select("image_id", "type"), "image_id").groupBy("chunk_id").agg(F.count("*").alias("n"), F.round(F.avg("relevance"), 6).alias("mean"), F.countDistinct("type").alias("types"))
     variety = F.least(F.col("types") / 3.0, F.lit(1.0))
     return own.select("chunk_id", "n", "mean", F.round(variety, 6).alias("variety"), F.round(F.col("mean") * 0.7 + variety * 0.3, 6).alias("quality"))
+
+
+def correlate_with_text(images: DataFrame, texts: DataFrame, least: float = 0.1) -> DataFrame:
+    """`images` (doc, page, type, ...) with what their documents' `texts` (doc,
+    text) say of them: text_correlation, a struct, and contextual_description.
+
+    All of it depends on document, page and type alone, so it is found once for
+    each of these and joined to the images that have them; texts are not copied
+    for each image.  An image whose document has no text keeps its row, with the
+    general context; a null type has no rules of its own; of repeated documents
+    the larger text counts."""
+    key = ["doc", "page", "type"]
+    one = texts.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.max("text").alias("text"))
+    full = F.coalesce("text", F.lit(""))
+    near = R.nearby_text(full, F.coalesce(F.col("page").cast("int"), F.lit(0)))
+    own = images.select(*key).distinct().join(one, "doc", "left").select(*key, F.explode(F.array(near)).alias("nearby_text"), F.lower(full).alias("full"))
+    own = own.withColumns({"low": F.lower("nearby_text"), "n": text.word_count(F.col("nearby_text"))})
+    rows = [F.struct(F.round(R.context_score(F.col("low"), F.col("n"), words), 6).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, words) in enumerate(R.IMAGE_CONTEXTS.items())]
+    own = own.withColumn("scores", F.filter(F.array(*rows), lambda x: x["score"] > least)).withColumn("best", F.array_max("scores"))
+    own = own.withColumn("found", relations.indicators(F.coalesce("type", F.lit("")), F.col("low"), F.col("full")))
+    context = F.coalesce("best.name", F.lit("general"))
+    said = F.struct(
+        "nearby_text",
+        F.map_from_entries(F.transform("scores", lambda x: F.struct(x["name"], x["score"]))).alias("context_scores"),
+        context.alias("primary_context"),
+        F.round(F.coalesce("best.score", F.lit(0.1)), 2).alias("context_confidence"),
+        F.col("found").alias("indicators"),
+        F.round(relations.correlation_strength(F.col("best.score"), F.col("found")), 6).alias("correlation_strength"),
+        relations.findings(relations.RELATIONSHIPS, F.coalesce("type", F.lit("")), F.col("low")).alias("supporting_relationships"),
+    )
+    said_of = own.select(*[F.col(k).alias(f"_{k}") for k in key], said.alias("text_correlation"), relations.description(F.coalesce("type", F.lit("")), context).alias("contextual_description"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return images.drop("text_correlation", "contextual_description").join(said_of, on[0] & on[1] & on[2], "left").drop(*[f"_{k}" for k in key])
+
+
+def image_descriptions(images: DataFrame) -> DataFrame:
+    """What an embedding of an image is made from, of correlated images."""
+    return images.select("filename", "type", F.coalesce("contextual_description", F.lit("")).alias("contextual_description"), F.col("text_correlation.primary_context").alias("primary_context"), F.col("text_correlation.correlation_strength").alias("correlation_strength"), F.coalesce("visibility", F.lit("unknown")).alias("visibility"))

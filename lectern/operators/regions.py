@@ -84,11 +84,21 @@ def relationships(regions: DataFrame, most: float) -> DataFrame:
     return met.where(distance < most).select(F.col("a.page").alias("page"), F.col("a.id").alias("one"), F.col("b.id").alias("two"), F.round(distance, 6).alias("distance"), G.relative_position(ax, ay, bx, by).alias("position"))
 
 
-def layouts(regions: DataFrame, width: int, height: int) -> DataFrame:
+def layouts(regions: DataFrame, width: int, height: int, pages: DataFrame | None = None) -> DataFrame:
+    """page, header, footer, layout.  Regions with a type can make a page one of
+    mixed data; `pages` (page) without a region are empty."""
     cx, cy = F.col("x") + F.floor(F.col("w") / 2), F.col("y") + F.floor(F.col("h") / 2)
-    own = regions.groupBy("page").agg(F.count_if(cy < 0.2 * height).alias("header"), F.count_if(cy > 0.8 * height).alias("footer"), F.count_if(cx < 0.4 * width).alias("l"), F.count_if(cx > 0.6 * width).alias("r"), F.count("*").alias("n"))
-    kind = F.when((F.col("l") > 0) & (F.col("r") > 0), "multi_column").when(F.col("n") == 1, "single_element").otherwise("single_column")
-    return own.select("page", "header", "footer", kind.alias("layout"))
+    kind = F.col("type") if "type" in regions.columns else F.lit("")
+    own = regions.groupBy("page").agg(
+        F.count_if(cy < 0.2 * height).alias("header"), F.count_if(cy > 0.8 * height).alias("footer"), F.count_if(cx < 0.4 * width).alias("l"), F.count_if(cx > 0.6 * width).alias("r"), F.count("*").alias("n"),
+        (F.max(F.coalesce(kind == "table", F.lit(False))) & F.max(F.coalesce(kind == "chart", F.lit(False)))).alias("mixed"),
+    )
+    layout = F.when((F.col("l") > 0) & (F.col("r") > 0), "multi_column").when(F.col("n") == 1, "single_element").when(F.col("mixed"), "mixed_data").otherwise("single_column")
+    found = own.select("page", "header", "footer", layout.alias("layout"))
+    if pages is None:
+        return found
+    none = F.lit(0).cast("long")
+    return pages.select("page").distinct().join(found, "page", "full").select("page", F.coalesce("header", none).alias("header"), F.coalesce("footer", none).alias("footer"), F.coalesce("layout", F.lit("empty")).alias("layout"))
 
 
 def suppress(regions: DataFrame, most: float, cell: int = 100) -> DataFrame:

@@ -65,10 +65,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 def vector_search(vectors: DataFrame, probe: DataFrame, k: int, key: str = "vec_id", value: str = "embedding", only: Column | None = None) -> DataFrame:
     """The k vectors of highest cosine to the one row of `probe`; `only` is
-    applied before the limit."""
+    applied before the limit.  Of several among them with one key the last, and
+    so the farthest, is left."""
     rows = vectors if only is None else vectors.where(only)
     scored = rows.crossJoin(F.broadcast(probe.select(F.col(value).alias("_probe")).limit(1)))
-    return scored.select(key, F.round(cosine(F.col(value), F.col("_probe")), 6).alias("cosine")).orderBy(F.desc("cosine"), key).limit(k)
+    best = scored.select(key, F.round(cosine(F.col(value), F.col("_probe")), 6).alias("cosine")).orderBy(F.desc("cosine"), key).limit(k)
+    # k rows in one task
+    last = F.min("cosine").over(Window.partitionBy(key))
+    return best.withColumn("_last", last).where(F.col("cosine") == F.col("_last")).drop("_last").dropDuplicates([key])
 
 
 def similar(vectors: DataFrame, vec_id: int, k: int) -> DataFrame:

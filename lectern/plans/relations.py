@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
 from lectern.functions import relations as R
-from lectern.plans.analytics import WORDS_OF
+from lectern.functions import relevance
+from lectern.operators import multimodal, regions
+from lectern.plans.analytics import WORDS_OF, score_sql
+from lectern.plans.exports import KEYED, SPACED
 from lectern.plans.extraction import has_sql
-from lectern.plans.layout import REGIONS, RH, RW, region_rows
+from lectern.plans.layout import DUPLICATES, REGIONS, RH, RW, all_images, region_rows
 from lectern.plans.registry import query, table
 
 KINDS = ("logo", "photo", "chart", "diagram", "unknown", "qr_code")
@@ -115,3 +118,54 @@ def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("parent"))
     return own.agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.round(F.count_if(F.length("text") > 0) / F.count("*"), 6).alias("success_rate"))
+
+
+def in_text(sql: str, column: str) -> str:
+    return sql.replace("low", column)
+
+
+SCORED = ", ".join(f"{{'s': round(({score_sql('low', w)} / {len(w)}.0::DOUBLE + least({score_sql('low', w)} / greatest(n * 0.1::DOUBLE, 1), 1)) / 2, 6), 'o': {-i}, 'k': '{k}'}}" for i, (k, w) in enumerate(relevance.IMAGE_CONTEXTS.items()))
+FOUND = rules_sql(R.INDICATORS, BRANDING.replace("contains(low", "contains(lowfull"))
+#: Images with their documents' texts; every document's text goes to the images of one of 40 documents.
+CORRELATED = f"""{DUPLICATES}, d AS (SELECT doc_id % 40 AS doc, max(replace(text, chr(10), chr(10) || chr(10))) AS text FROM documents GROUP BY doc_id % 40),
+a AS (SELECT dup.id, dup.visibility, type AS kind, page, coalesce(text, '') AS full_text, string_split(coalesce(text, ''), chr(10) || chr(10)) AS p FROM dup LEFT JOIN d ON d.doc = dup.doc),
+b AS (SELECT *, CASE WHEN page < len(p) THEN p[page + 1] WHEN len({KEYED}) > 0 THEN array_to_string(({KEYED})[1:3], ' ') ELSE array_to_string(p[greatest(len(p) // 2, 1):greatest(len(p) // 2, 1) + 2], ' ') END AS text FROM a),
+c AS (SELECT *, lower(text) AS low, lower(full_text) AS lowfull, {SPACED} AS n FROM b),
+e AS (SELECT *, list_filter([{SCORED}], lambda x: x.s > 0.1) AS scores, {FOUND} AS indicators FROM c),
+f AS (SELECT *, list_max(scores) AS best, coalesce(list_max(scores).k, 'general') AS context FROM e)"""
+
+
+def correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("doc"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return multimodal.correlate_with_text(all_images(spark, sf_dir), texts)
+
+
+@query(f"""WITH {CORRELATED} SELECT id, text AS nearby_text, len(scores)::INT AS n_contexts, context AS primary_context, round(coalesce(best.s, 0.1), 2) AS context_confidence, indicators,
+round(least(coalesce(best.s, 0.1) + len(indicators) * 0.2::DOUBLE * 0.3::DOUBLE, 1), 6) AS correlation_strength, {rules_sql(R.RELATIONSHIPS)} AS supporting_relationships, {DESCRIBED} AS contextual_description FROM f""")
+def correlated_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image with what its page's text says of it."""
+    c = F.col("text_correlation")
+    names = ("nearby_text", "primary_context", "context_confidence", "indicators", "correlation_strength", "supporting_relationships")
+    return correlated(spark, sf_dir).select("id", *[c[n].alias(n) for n in names], F.size(c["context_scores"]).alias("n_contexts"), "contextual_description")
+
+
+@query(f"WITH {CORRELATED} SELECT 'img' || id || '.png' AS filename, kind AS type, {DESCRIBED} AS contextual_description, context AS primary_context, round(least(coalesce(best.s, 0.1) + len(indicators) * 0.2::DOUBLE * 0.3::DOUBLE, 1), 6) AS correlation_strength, visibility FROM f")
+def image_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = correlated(spark, sf_dir).withColumn("filename", F.concat(F.lit("img"), F.col("id").cast("string"), F.lit(".png")))
+    return multimodal.image_descriptions(images)
+
+
+@query(f"""WITH {DUPLICATES} SELECT id, CASE WHEN confidence > 0.7 THEN 'This appears to be a ' || type WHEN confidence > 0.4 THEN 'This is likely a ' || type ELSE 'This may be a ' || type || ' or other visual element' END
+|| '. ' || CASE WHEN w > 400 OR h > 400 THEN 'of large size' WHEN w < 100 OR h < 100 THEN 'of small size' ELSE 'of medium size' END || CASE WHEN w / h > 2 THEN '. with a wide aspect ratio' WHEN w / h < 0.5 THEN '. with a tall aspect ratio' ELSE '' END || '.' AS description FROM dup""")
+def element_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return all_images(spark, sf_dir).select("id", R.element_description(c("type"), c("confidence"), c("w"), c("h")).alias("description"))
+
+
+@query(f"""WITH {REGIONS}, c AS (SELECT *, x + w // 2 AS cx, y + h // 2 AS cy, ['table', 'chart', 'text'][(x % 3) + 1] AS type FROM reg WHERE w > 300),
+o AS (SELECT page, sum((cy < 0.2 * {RH})::INT)::BIGINT AS header, sum((cy > 0.8 * {RH})::INT)::BIGINT AS footer, CASE WHEN bool_or(cx < 0.4 * {RW}) AND bool_or(cx > 0.6 * {RW}) THEN 'multi_column' WHEN count(*) = 1 THEN 'single_element' WHEN bool_or(type = 'table') AND bool_or(type = 'chart') THEN 'mixed_data' ELSE 'single_column' END AS layout FROM c GROUP BY page)
+SELECT o_orderkey AS page, coalesce(header, 0) AS header, coalesce(footer, 0) AS footer, coalesce(layout, 'empty') AS layout FROM orders LEFT JOIN o ON o.page = o_orderkey""")
+def typed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layouts of pages whose regions have types, of pages without any too."""
+    wide = region_rows(spark, sf_dir).where("w > 300").withColumn("type", F.element_at(F.array(F.lit("table"), F.lit("chart"), F.lit("text")), F.col("x") % 3 + 1))
+    return regions.layouts(wide, RW, RH, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page")))
