@@ -152,6 +152,10 @@ class TextIndex:
         """stem, key, tf, positions, bucket, segment of what is in the index."""
         return segments.live(self.spark, self.path, self.key, self.schema)
 
+    def of(self, words: list[str]) -> DataFrame:
+        """The postings of some words or stems: their folders and row groups."""
+        return chosen(self.postings(), words)
+
     def search(self, query: str, k: int) -> DataFrame:
         return search(self.postings(), query, k, self.key, self.config)
 
@@ -161,10 +165,7 @@ def search(index: DataFrame, query: str, k: int, key: str = "chunk_id", config:
     wanted = sorted(CONFIGS[config](query))
     if not wanted:
         return index.limit(0).select(key, F.lit(0.0).alias("rank"))
-    own = index.where(F.col("stem").isin(wanted))
-    if "bucket" in index.columns:
-        folders = index.sparkSession.createDataFrame([(w,) for w in wanted], "w string").select(bucket(F.col("w"))).distinct().collect()
-        own = own.where(F.col("bucket").isin([r[0] for r in folders]))
+    own = chosen(index, wanted)
     counted = own.groupBy(key).agg(F.countDistinct("stem").alias("n"), F.sum("tf").alias("tf"))
     # what a query's chunks are is settled by counts; places are read for those that have all stems
     loose = counted.select(key, F.lit(False).alias("every"), (F.col("tf") * WEIGHT).alias("rank"))
@@ -174,6 +175,15 @@ def search(index: DataFrame, query: str, k: int, key: str = "chunk_id", config:
     return best.withColumn("some", some).where(F.col("every") | ~F.col("some")).select(key, "rank")
 
 
+def chosen(index: DataFrame, wanted: list[str]) -> DataFrame:
+    own = index.where(F.col("stem").isin(wanted) if wanted else F.lit(False))
+    if "bucket" in index.columns and wanted:
+        # known to the driver, so that other folders are not listed as input
+        folders = index.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in wanted])).alias("w")).select(bucket(F.col("w"))).distinct().collect()
+        own = own.where(F.col("bucket").isin([r[0] for r in folders]))
+    return own
+
+
 def covers(own: DataFrame, wanted: list[str], key: str) -> DataFrame:
     """key, rank of chunks that have all of `wanted`."""
     by_place = Window.partitionBy(key).orderBy("pos")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 
+if TYPE_CHECKING:
+    from lectern.operators.fulltext import TextIndex
+
 ALPHA = 0.6
 #: Function words left out of queries and of the index.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -55,6 +59,21 @@ def fts(chunks: DataFrame, query: str, k: int, key: str = "chunk_id", carry: tup
     return found.where(F.col("every") | ~F.col("some")).select(key, "rank", *carry)
 
 
+def fts_index(index: TextIndex, query: str, k: int, among: DataFrame | None = None) -> DataFrame:
+    """`fts` over stored postings of plain words: key, rank.  The postings of
+    the query's words are read and nothing else; `among` (key) narrows the rows
+    before they are ranked."""
+    terms = query_terms(query)
+    own = index.of(terms)
+    if among is not None:
+        own = own.join(among.select(index.key), index.key, "left_semi")
+    counted = own.groupBy(index.key).agg(F.countDistinct("stem").alias("n_terms"), F.sum("tf").alias("rank"))
+    best = counted.withColumn("every", F.col("n_terms") == len(terms)).orderBy(F.desc("every"), F.desc("rank"), index.key).limit(k)
+    # k rows in one task
+    found = best.withColumn("some", F.max("every").over(Window.partitionBy()))
+    return found.where(F.col("every") | ~F.col("some")).select(index.key, "rank")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -109,14 +128,18 @@ def answer(hits: DataFrame) -> DataFrame:
     return row.select(shown.alias("answer"), F.array_join(F.transform("h", lambda x: x["d"].cast("string")), ",").alias("citations"))
 
 
-def tfidf_search(docs: DataFrame, query: str, k: int, features: int = 5000, key: str = "doc_id", least: float = 0.01) -> DataFrame:
+def tfidf_search(docs: DataFrame, query: str, k: int, features: int = 5000, key: str = "doc_id", least: float = 0.01, index: TextIndex | None = None) -> DataFrame:
     """Cosine of TF-IDF rows with the query: words of two characters or more,
     the most frequent `features` of the corpus, idf ln((1+n)/(1+df))+1.
-    Scores of `least` or less are not shown."""
+    Scores of `least` or less are not shown.  With an `index` of plain words its
+    postings are read in place of the texts."""
     from collections import Counter
 
-    words = docs.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term")).where(~F.col("term").isin(*STOP_WORDS))
-    counts = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    if index is None:
+        words = docs.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term")).where(~F.col("term").isin(*STOP_WORDS))
+        counts = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    else:
+        counts = index.postings().select(key, F.col("stem").alias("term"), "tf").where((F.length("term") >= 2) & ~F.col("term").isin(*STOP_WORDS))
     vocabulary = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(features)
     n = docs.agg(F.count("*").alias("n"))
     idf = vocabulary.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from lectern.operators import chunking, fulltext, retrieval
 from lectern.operators.vector_index import VectorIndex
 from lectern.plans.corpus import CHUNKS_SQL, DOC_PAGES, doc_pages, strip_sql
 from lectern.plans.registry import query, table
-from lectern.sources.sinks import shared_folder
+from lectern.sources.sinks import keyed, lookup, shared_folder
 
 ALL_TERMS = "thing hation onsh"
 RARE_TERMS = "qwertyuiop thonly"
@@ -20,6 +22,37 @@ TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 SNIP = f"CASE WHEN text <> '' THEN CASE WHEN length({strip_sql('text')}) > 300 THEN substr({strip_sql('text')}, 1, 300) || '...' ELSE {strip_sql('text')} END END"
 
 
+#: Folders that this session has written, by what they hold.
+STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], object]) -> str:
+    """A folder that is written when it is first asked for in a session."""
+    of = (spark.sparkContext.applicationId, sf_dir, name)
+    if of not in STORED:
+        folder = shared_folder(spark, name)
+        write(folder)
+        STORED[of] = folder
+    return STORED[of]
+
+
+def text_index(spark: SparkSession, sf_dir: str, config: str = "simple") -> fulltext.TextIndex:
+    """Of documents."""
+    folder = stored(spark, sf_dir, f"{config}-index", lambda path: fulltext.TextIndex.create(table(spark, sf_dir, "documents"), path, "doc_id", config=config))
+    return fulltext.TextIndex(spark, folder, "doc_id")
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> str:
+    """Chunks of documents by their ids."""
+    return stored(spark, sf_dir, "chunks", lambda path: keyed(chunking.chunks(doc_pages(spark, sf_dir), "doc_id", "page").select("chunk_id", "text"), path, "chunk_id"))
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> fulltext.TextIndex:
+    chunks = stored_chunks(spark, sf_dir)
+    folder = stored(spark, sf_dir, "chunk-index", lambda path: fulltext.TextIndex.create(spark.read.parquet(chunks), path, config="simple"))
+    return fulltext.TextIndex(spark, folder)
+
+
 def fts_sql(terms: str, source: str, key: str, k: int = K) -> str:
     own = sorted(set(terms.split()))
     tfs = ", ".join(f"len(list_filter({TOK}, lambda x: x = '{t}'))" for t in own)
@@ -39,20 +72,34 @@ def near_sql(probe: int, where: str = "true", k: int = K) -> str:
 
 @query(f"WITH {DOC_PAGES}, {CHUNKS_SQL}, c AS (SELECT key || ':c' || n AS chunk_id, text FROM chunk), {fts_sql(ALL_TERMS, 'c', 'chunk_id')} SELECT fts.chunk_id, rank, {SNIP} AS snippet FROM fts JOIN c USING (chunk_id)")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: documents to chunks, redacted, filtered and numbered, the
-    ten best for a keyword query, with snippets."""
+    """The flagship: documents to chunks, redacted, filtered and numbered, both
+    they and their postings stored; the ten best for a keyword query, with
+    snippets."""
+    best = retrieval.fts_index(chunk_index(spark, sf_dir), ALL_TERMS, K)
+    return lookup(spark, stored_chunks(spark, sf_dir), best, "chunk_id").select("chunk_id", "rank", X.snippet(F.col("text")).alias("snippet"))
+
+
+@query(f"WITH {DOC_PAGES}, {CHUNKS_SQL}, c AS (SELECT key || ':c' || n AS chunk_id, text FROM chunk), {fts_sql(ALL_TERMS, 'c', 'chunk_id')} SELECT fts.chunk_id, rank, {SNIP} AS snippet FROM fts JOIN c USING (chunk_id)")
+def keyword_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`keyword_search` in one pass over the texts, with nothing stored."""
     chunks = chunking.chunks(doc_pages(spark, sf_dir), "doc_id", "page").select("chunk_id", "text")
     return retrieval.fts(chunks, ALL_TERMS, K, carry=("text",)).select("chunk_id", "rank", X.snippet(F.col("text")).alias("snippet"))
 
 
 @query(f"WITH {fts_sql(ALL_TERMS, 'documents', 'doc_id')} SELECT * FROM fts")
 def fts_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.fts_index(text_index(spark, sf_dir), ALL_TERMS, K)
+
+
+@query(f"WITH {fts_sql(ALL_TERMS, 'documents', 'doc_id')} SELECT * FROM fts")
+def fts_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`fts_and` in one pass over the texts."""
     return retrieval.fts(table(spark, sf_dir, "documents"), ALL_TERMS, K, "doc_id")
 
 
 @query(f"WITH {fts_sql(RARE_TERMS, 'documents', 'doc_id')} SELECT * FROM fts")
 def fts_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.fts(table(spark, sf_dir, "documents"), RARE_TERMS, K, "doc_id")
+    return retrieval.fts_index(text_index(spark, sf_dir), RARE_TERMS, K)
 
 
 @query(rf"SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS total FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) WHERE term NOT IN ({STOPS}) GROUP BY ALL) GROUP BY term")
@@ -92,8 +139,16 @@ hyb AS (SELECT top.doc_id, top.source, top.score, {SNIP} AS snippet FROM top LEF
 
 
 def run_hybrid(spark: SparkSession, sf_dir: str, terms: str, probe: int, k: int, only=None) -> DataFrame:  # noqa: ANN001
-    vectors = table(spark, sf_dir, "embeddings")
-    return retrieval.hybrid(table(spark, sf_dir, "documents"), vectors, terms, vectors.where(F.col("vec_id") == probe), k, only)
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    hits = retrieval.fts_index(text_index(spark, sf_dir), terms, k, None if only is None else docs.where(only))
+    return retrieval.hybrid(docs, vectors, terms, vectors.where(F.col("vec_id") == probe), k, only, hits=hits)
+
+
+@query(f"WITH {hybrid_sql(ALL_TERMS, 7, K)} SELECT * FROM hyb")
+def hybrid_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`hybrid_search` with the texts scanned."""
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    return retrieval.hybrid(docs, vectors, ALL_TERMS, vectors.where("vec_id = 7"), K)
 
 
 @query(f"WITH {hybrid_sql(ALL_TERMS, 7, K)} SELECT * FROM hyb")
@@ -129,7 +184,7 @@ q AS (SELECT term, 1 * idf AS qw FROM i WHERE term IN ('thing', 'hation', 'onsh'
 s AS (SELECT doc_id, sqrt(sum(r.w * r.w)) AS norm, sum(coalesce(r.w * qw, 0)) AS dot FROM r LEFT JOIN q USING (term) GROUP BY doc_id)
 SELECT * FROM (SELECT doc_id, round(dot / (norm * (SELECT sqrt(sum(qw * qw)) FROM q)), 6) AS score FROM s WHERE dot > 0) WHERE score > 0.01 ORDER BY score DESC, doc_id DESC LIMIT 10""")
 def tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.tfidf_search(table(spark, sf_dir, "documents"), ALL_TERMS, K)
+    return retrieval.tfidf_search(table(spark, sf_dir, "documents"), ALL_TERMS, K, index=text_index(spark, sf_dir))
 
 
 @query()
@@ -137,24 +192,10 @@ def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hash_embeddings(table(spark, sf_dir, "documents"))
 
 
-#: Folders of indices that this session has written, by what they are of.
-STORED: dict[tuple, str] = {}
-
-
-def text_index(spark: SparkSession, sf_dir: str) -> fulltext.TextIndex:
-    """Of documents, written at the first search of a session and read by all."""
-    of = (spark.sparkContext.applicationId, sf_dir)
-    if of not in STORED:
-        folder = shared_folder(spark, "text-index")
-        fulltext.TextIndex.create(table(spark, sf_dir, "documents"), folder, "doc_id")
-        STORED[of] = folder
-    return fulltext.TextIndex(spark, STORED[of], "doc_id")
-
-
 @query()
 def english_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems and cover density over stored postings."""
-    return text_index(spark, sf_dir).search("things and hations", K)
+    return text_index(spark, sf_dir, "english").search("things and hations", K)
 
 
 CHANGED = "SELECT doc_id, CASE WHEN source = 'src1' THEN 'Changed since: ' || text || ' zyxwv' ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'en'"

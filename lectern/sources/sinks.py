@@ -33,6 +33,25 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FOLDERS = 64
+
+
+def keyed(df: DataFrame, path: str, key: str) -> None:
+    """Rows in folders by a hash of their key, sorted by it, for `lookup`."""
+    folder = F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int")
+    df.withColumn("_folder", folder).repartition("_folder").sortWithinPartitions("_folder", key).write.partitionBy("_folder").parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, found: DataFrame, key: str) -> DataFrame:
+    """`found`, a few rows such as a search gives, with the stored columns of
+    their keys: only the folders of those keys are read."""
+    folder = F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int")
+    few = found.withColumn("_folder", folder)
+    folders = [r[0] for r in few.select("_folder").distinct().collect()]
+    rows = spark.read.parquet(path).where(F.col("_folder").isin(folders) if folders else F.lit(False))
+    return few.join(rows, ["_folder", key], "left").drop("_folder")
+
+
 def jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
