@@ -3,7 +3,9 @@ region kinds and the second quality score."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +14,7 @@ from lectern.functions import geometry as G
 from lectern.functions import quality as Q
 from lectern.functions import relevance as R
 from lectern.functions import text as X
+from lectern.operators import reports as made
 from lectern.operators import validation
 from lectern.plans.analytics import MEDIA, NEAR_PAIRS, media, reports
 from lectern.plans.corpus import strip_sql
@@ -205,3 +208,46 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("overall", mean("text_quality", "image_quality", "integration_quality"))
     scores = {k: Q.two_places(F.col(c)) for k, c in (("structure", "structure"), ("chunking", "chunking"), ("classification", "sure"), ("correlation", "tied"), ("coverage", "coverage"), ("diversity", "diversity"))}
     return rows.select("doc", "text_quality", "image_quality", "integration_quality", "overall", Q.advice(scores, F.col("overall")).alias("recommendations"))
+
+
+#: Regions as the elements of their pages.
+ELEMENTS_SQL = f"{REGIONS}, el AS (SELECT page AS document_id, id, ['table', 'chart', 'image', 'text'][x % 4 + 1] AS type, (id % 5) / 4.0::DOUBLE AS confidence, x % 4 = 0 AS has_data FROM reg)"
+AT = datetime(2024, 5, 1, 12, 30)
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*[F.lit(k) for k in ("table", "chart", "image", "text")])
+    return region_rows(spark, sf_dir).select(F.col("page").alias("document_id"), "id", F.element_at(kinds, F.col("x") % 4 + 1).alias("type"), (F.col("id") % 5 / 4).alias("confidence"), (F.col("x") % 4 == 0).alias("has_data"))
+
+
+@query(f"""WITH {ELEMENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY document_id, type ORDER BY id) - 1 AS i FROM el WHERE type <> 'text')
+SELECT document_id, type, i::INT AS "index", document_id || '_' || type || '_' || i || '_20240501_123000.png' AS filename, confidence, has_data FROM n""")
+def element_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made.element_manifest(elements(spark, sf_dir), AT)
+
+
+SUMMARIES = "su AS (SELECT document_id, count(*) FILTER (type <> 'text') AS total_elements, count(*) FILTER (type = 'table') AS tables, count(*) FILTER (type = 'chart') AS charts, count(*) FILTER (type = 'image') AS images FROM el GROUP BY document_id)"
+
+
+@query(f"WITH {ELEMENTS_SQL}, {SUMMARIES} SELECT 'elem_' || (row_number() OVER (ORDER BY document_id) - 1) AS id, document_id, total_elements, tables, charts, images, true AS searchable FROM su")
+def element_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = made.element_index(made.element_summaries(elements(spark, sf_dir)), F.col("document_id"))
+    return index.select("id", "document_id", "total_elements", "breakdown.*", "searchable")
+
+
+@query(f"WITH {DUPLICATES} SELECT 'img_' || (row_number() OVER (ORDER BY id) - 1) AS id, doc AS document_id, type, '' AS description, CASE WHEN id % 3 > 0 THEN hash ELSE '' END AS context, confidence, true AS searchable FROM dup")
+def image_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = all_images(spark, sf_dir).select(F.col("id").alias("key"), F.col("doc").alias("document_id"), "type", F.lit(None).cast("string").alias("description"), F.when(F.col("id") % 3 > 0, F.col("hash")).alias("context"), "confidence")
+    return made.image_index(images, F.col("key"))
+
+
+@query(f"""WITH {DUPLICATES}, kt AS (SELECT doc, type, count(*) AS n FROM dup GROUP BY doc, type), kv AS (SELECT doc, visibility, count(*) AS n FROM dup GROUP BY doc, visibility)
+SELECT d.doc AS document_id, d.n AS total_images, (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM kt WHERE kt.doc = d.doc) AS types, (SELECT string_agg(visibility || '=' || n, ',' ORDER BY visibility) FROM kv WHERE kv.doc = d.doc) AS visibilities FROM (SELECT doc, count(*) AS n FROM dup GROUP BY doc) d""")
+def classification_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of each document by type and visibility."""
+    found = made.classification_reports(all_images(spark, sf_dir).select(F.col("doc").alias("document_id"), "type", "visibility"))
+
+    def said(name: str) -> Column:
+        return F.array_join(F.transform(F.map_entries(name), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+
+    return found.select("document_id", "total_images", said("classification_breakdown").alias("types"), said("visibility_breakdown").alias("visibilities"))

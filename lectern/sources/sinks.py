@@ -6,11 +6,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from lectern.sources import versions
+
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """The name of a new folder where all executors see it: under
@@ -81,23 +82,28 @@ def images(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("visibility", "type").parquet(path)
 
 
-def staged(tables: dict[str, DataFrame], root: str, run_id: str) -> DataFrame:
-    """Write several tables under one run, then name the run: the pointer is
-    written last, so a failed run is never read."""
+def staged(tables: dict[str, DataFrame], root: str, run_id: str, attempts: int = 20) -> int:
+    """Write several tables under one run, then name the run: its version is
+    written last, so a failed run is never read, and a writer that comes at the
+    same time takes the next number.  Returns the run's number."""
     spark = next(iter(tables.values())).sparkSession
+    folder = f"run={run_id}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/run={run_id}")
-    named = spark.createDataFrame([(run_id, sorted(tables))], "run_id string, tables array<string>")
-    try:
-        last = spark.read.parquet(f"{root}/_runs").agg(F.max("place")).first()[0]
-    except AnalysisException:  # the first run
-        last = 0
-    pointer = named.withColumn("place", F.lit(last + 1).cast("long"))
-    pointer.write.mode("append").parquet(f"{root}/_runs")
-    return pointer
+        df.write.parquet(f"{root}/{name}/{folder}")
+    for n in range(attempts):
+        last = max(versions.numbers(spark, root), default=0)
+        try:
+            return versions.publish(spark, root, {"run_id": run_id, "folder": folder, "tables": sorted(tables)}, last)
+        except versions.Conflict:
+            if n == attempts - 1:
+                raise
+    return 0
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table of the last run that was named with it."""
-    last = spark.read.parquet(f"{root}/_runs").where(F.array_contains("tables", name)).agg(F.max_by("run_id", "place")).first()[0]
-    return spark.read.parquet(f"{root}/{name}/run={last}")
+    for number in reversed(versions.numbers(spark, root)):
+        held = versions.read(spark, root, number)
+        if held and name in held["tables"]:
+            return spark.read.parquet(f"{root}/{name}/{held['folder']}")
+    raise LookupError(f"no run in {root} has a table {name}")
