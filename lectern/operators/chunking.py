@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -89,54 +90,73 @@ def chunks(pages: DataFrame, key: str, order: str, size: int = 1000, overlap: in
     )
 
 
-def split_sentences(section: Column, most: int) -> Column:
-    """Sentences packed to at most `most` characters, joined by '. '; a longer
-    sentence is cut off there."""
-    sentences = F.filter(F.split(section, r"[.!?]+\s+"), lambda s: s != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-
-    def add(a: Column, s: Column) -> Column:
-        joined = F.when(a["cur"] == "", s).otherwise(F.concat(a["cur"], F.lit(". "), s))
-        flushed = F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"])))
-        fits = F.length(joined) <= most
-        return F.struct(F.when(fits, a["done"]).otherwise(flushed).alias("done"), F.when(fits, joined).otherwise(F.substring(s, 1, most)).alias("cur"))
+SECTIONS, SENTENCES = re.compile(r"\n\n+|\n#{1,6}\s"), re.compile(r"[.!?]+\s+")
 
-    return F.aggregate(sentences, start, add, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
 
-
-def semantic_chunks(text: Column, most: int = 512) -> Column:
+def sentence_pieces(section: str, most: int = 512) -> Iterator[str]:
+    """Sentences packed to at most `most` characters, joined by '. '; a longer
+    sentence is cut off there."""
+    held, any_piece = "", False
+    for sentence in filter(str.strip, SENTENCES.split(section)):
+        joined = f"{held}. {sentence}" if held else sentence
+        if len(joined) > most:
+            if held:
+                yield held
+            joined = sentence[:most]
+        held, any_piece = joined, True
+    yield held if any_piece else section[:most]
+
+
+def semantic_pieces(text: str, most: int = 512) -> Iterator[str]:
     """Sections between blank lines or before headings, packed greedily;
     sections that are too long go by sentences, the last piece staying open."""
-    sections = F.filter(F.transform(F.split(text, r"\n\n+|\n#{1,6}\s"), X.strip), lambda s: s != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-
-    def add(a: Column, s: Column) -> Column:
-        joined = F.when(a["cur"] == "", s).otherwise(F.concat(a["cur"], F.lit("\n\n"), s))
-        flushed = F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"])))
-
-        def long(pieces: Column) -> Column:
-            return F.struct(F.concat(flushed, F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("done"), F.coalesce(F.try_element_at(pieces, F.lit(-1)), F.lit("")).alias("cur"))
+    held = ""
+    for section in filter(None, map(str.strip, SECTIONS.split(text))):
+        joined = f"{held}\n\n{section}" if held else section
+        if len(joined) <= most:
+            held = joined
+            continue
+        if held:
+            yield held
+        *whole, held = [section] if len(section) <= most else sentence_pieces(section, most)
+        yield from whole
+    if held:
+        yield held
+
+
+def structure_pieces(text: str, most: int = 512) -> Iterator[str]:
+    """Stripped lines packed greedily; blank lines go, line breaks do not
+    count."""
+    held: list[str] = []
+    size = 0
+    for line in filter(None, map(str.strip, text.split("\n"))):
+        if held and size + len(line) > most:
+            yield "\n".join(held)
+            held, size = [], 0
+        held.append(line)
+        size += len(line)
+    if held:
+        yield "\n".join(held)
+
+
+def folded(pieces: Callable[[str, int], Iterator[str]], text: Column, most: int) -> Column:
+    """The pieces of a text as an array.  What a greedy fold does depends on all
+    before it; in Python it is linear in the text, where an aggregate would copy
+    its list for each piece."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(pieces(t or "", most)) for t in texts], index=texts.index, dtype=object)
+
+    return run(text)
 
-        split = F.transform(F.array(split_sentences(s, most)), long)[0]
-        return F.when(F.length(joined) <= most, F.struct(a["done"].alias("done"), joined.alias("cur"))).when(F.length(s) <= most, F.struct(flushed.alias("done"), s.alias("cur"))).otherwise(split)
 
-    return F.aggregate(sections, start, add, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+def semantic_chunks(text: Column, most: int = 512) -> Column:
+    return folded(semantic_pieces, text, most)
 
 
 def structure_chunks(text: Column, most: int = 512) -> Column:
-    """Lines packed greedily; blank lines go, line breaks do not count."""
-    lines = F.filter(F.split(text, "\n"), lambda s: X.strip(s) != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
-
-    def add(a: Column, s: Column) -> Column:
-        full = (a["n"] + F.length(s) > most) & (F.size(a["cur"]) > 0)
-        return F.struct(
-            F.when(full, F.concat(a["done"], F.array(F.array_join(a["cur"], "\n")))).otherwise(a["done"]).alias("done"),
-            F.when(full, F.array(s)).otherwise(F.concat(a["cur"], F.array(s))).alias("cur"),
-            F.when(full, F.length(s)).otherwise(a["n"] + F.length(s)).alias("n"),
-        )
-
-    return F.aggregate(lines, start, add, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(F.array_join(a["cur"], "\n")))).otherwise(a["done"]))
+    return folded(structure_pieces, text, most)
 
 
 def size_pieces(text: str, most: int = 512, overlap: int = 50, legacy_tail: bool = False) -> Iterator[str]:

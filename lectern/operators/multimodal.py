@@ -110,3 +110,14 @@ def correlate_with_text(images: DataFrame, texts: DataFrame, least: float = 0.1)
 def image_descriptions(images: DataFrame) -> DataFrame:
     """What an embedding of an image is made from, of correlated images."""
     return images.select("filename", "type", F.coalesce("contextual_description", F.lit("")).alias("contextual_description"), F.col("text_correlation.primary_context").alias("primary_context"), F.col("text_correlation.correlation_strength").alias("correlation_strength"), F.coalesce("visibility", F.lit("unknown")).alias("visibility"))
+
+
+def pages_with_images(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """doc, page, text, images: pages (doc, page, text) with markers for their
+    images (doc, page, filename, type, x, y) in the order of filenames; a page
+    without images stays as it is."""
+    image = F.struct("filename", "type", "x", "y")
+    held = images.groupBy("doc", "page").agg(F.array_sort(F.collect_list(image)).alias("images"))
+    own = pages.join(held, ["doc", "page"], "left")
+    marked = F.when(F.col("images").isNull(), F.col("text")).otherwise(relations.with_references(F.coalesce("text", F.lit("")), F.col("images")))
+    return own.select("doc", "page", marked.alias("text"), F.coalesce(F.size("images"), F.lit(0)).alias("n_images"))

@@ -169,3 +169,18 @@ def typed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layouts of pages whose regions have types, of pages without any too."""
     wide = region_rows(spark, sf_dir).where("w > 300").withColumn("type", F.element_at(F.array(F.lit("table"), F.lit("chart"), F.lit("text")), F.col("x") % 3 + 1))
     return regions.layouts(wide, RW, RH, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page")))
+
+
+MARKS = "chr(10) || chr(10) || '[IMAGE: img' || id || ' - ' || type || ' at (' || x || ', ' || y || ')]' || chr(10) || chr(10)"
+INSIDE = "contains(lower(t), 'tip') AND type IN ('photo', 'illustration')"
+
+
+@query(f"""WITH {DUPLICATES}, pg AS (SELECT conv_id AS doc, turn AS page, CASE WHEN turn % 2 = 0 THEN 'Monthly savings tip: ' || text ELSE text END AS t FROM conversations),
+j AS (SELECT pg.doc, pg.page, t, 'img' || id AS name, id IS NOT NULL AS found, {INSIDE} AS inside, {MARKS} AS mark FROM pg LEFT JOIN dup ON dup.doc = pg.doc AND dup.page = pg.page)
+SELECT doc, page, replace(t, 'Monthly savings tip:', 'Monthly savings tip:' || coalesce(string_agg(mark, '' ORDER BY name DESC) FILTER (found AND inside), '')) || coalesce(string_agg(mark, '' ORDER BY name) FILTER (found AND NOT inside), '') AS text, count(*) FILTER (found)::INT AS n_images FROM j GROUP BY doc, page, t""")
+def pages_with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as pages, with markers for all images of each."""
+    tip = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Monthly savings tip: "), F.col("text"))).otherwise(F.col("text"))
+    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), tip.alias("text"))
+    images = all_images(spark, sf_dir).select("doc", "page", F.concat(F.lit("img"), F.col("id").cast("string")).alias("filename"), "type", "x", "y")
+    return multimodal.pages_with_images(own, images)

@@ -10,10 +10,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from lectern import schemas
 from lectern.functions import text as X
-from lectern.operators import chunking, merge, regions, retrieval, vectors
+from lectern.operators import chunking, merge, multimodal, regions, retrieval, vectors
 from lectern.sources import points, readers, sinks
 from lectern.streaming import ingest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAGE0 = "Home report for you.\nAccount number: 954137 Service address: 1627 Tulip Lane " + "word " * 100
 PAGE1 = " ".join(f"word{i}" for i in range(183))
@@ -145,6 +146,56 @@ def test_semantic_chunks(spark):
         chunking.create_chunks(rows, "none")
 
 
+def test_structure_chunks_of_whole_texts(spark):
+    """Lines are stripped and packed; against a version that looks at all starts of a chunk."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.concat(F.lit("  "), F.replace("text", F.lit("\n"), F.lit(" \n\t ")), F.lit(" \n\n # x ")).alias("text"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in docs.select("doc_id", chunking.structure_chunks(F.col("text"), 300).alias("c")).collect():
+        lines = [x.strip() for x in (texts[r.doc_id] or "").split("\n") if x.strip()]
+        wanted, at = [], 0
+        while at < len(lines):
+            stop = max(j for j in range(at + 1, len(lines) + 1) if j == at + 1 or sum(map(len, lines[at:j])) <= 300)
+            wanted.append("\n".join(lines[at:stop]))
+            at = stop
+        assert r.c == wanted
+
+
+def test_grid_rows(spark):
+    rng = random.Random(9)
+    cells = [(p, i, rng.randrange(300), rng.randrange(200)) for p in range(5) for i in range(40)]
+    wanted = {}
+    for page in range(5):
+        row, top = -1, None
+        for _, i, x, y in sorted((c for c in cells if c[0] == page), key=lambda c: (c[3], c[2], c[1])):
+            if top is None or abs(y - top) > 20:
+                row, top = row + 1, y
+            wanted[page, i] = (row, x)
+    found = {(r.page, r.id): (r.row, r.x) for r in regions.grid(spark.createDataFrame(cells, "page long, id int, x int, y int"), 20).collect()}
+    assert found == wanted
+
+
+def test_reports_images_and_databases(spark, tmp_path):
+    """Reports carry the id of their folder; images come by page; a database is read by ranges."""
+    for doc, name, body in (("d1", "a_ocr_report.json", {"document_id": "x", "text_length": 3}), ("d2", "b_ocr_report.json", {"text_length": 4}), ("d2", "c_other.json", {"text_length": 5})):
+        (tmp_path / "documents" / doc / "metadata").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "documents" / doc / "metadata" / name).write_text(json.dumps(body, indent=1))
+    schema = T.StructType([T.StructField("document_id", T.StringType()), T.StructField("text_length", T.LongType())])
+    found = sorted(map(tuple, readers.reports(spark, str(tmp_path), "*_ocr_report.json", schema).collect()))
+    assert found == [("d1", 3), ("d2", 4)]
+    (tmp_path / "images.json").write_text(json.dumps({"images": [{"image_id": "a", "filename": "a.png", "page_number": 1, "coordinates": {"x": 1, "y": 2}, "classification": {"type": "photo"}}, {"image_id": "b", "filename": "b.png", "page_number": 1, "coordinates": {"x": 3, "y": 4}, "classification": {"type": "logo"}}]}, indent=1))
+    c = F.col
+    images = readers.image_metadata(spark, str(tmp_path / "images.json")).select(F.lit(1).alias("doc"), c("page_number").alias("page"), "filename", c("classification.type").alias("type"), c("coordinates.x").alias("x"), c("coordinates.y").alias("y"))
+    pages = spark.createDataFrame([(1, 1, "Monthly savings tip: go"), (1, 2, "none")], "doc int, page int, text string")
+    out = {r.page: (r.text, r.n_images) for r in multimodal.pages_with_images(pages, images).collect()}
+    assert out == {1: ("Monthly savings tip:\n\n[IMAGE: a.png - photo at (1, 2)]\n\n go\n\n[IMAGE: b.png - logo at (3, 4)]\n\n", 2), 2: ("none", 0)}
+    sinks.images(spark.createDataFrame([(1, "visible", "logo"), (2, "embedded", "photo")], "id int, visibility string, type string"), str(tmp_path / "images"))
+    assert (tmp_path / "images/visibility=visible/type=logo").is_dir() and spark.read.parquet(str(tmp_path / "images")).where("type = 'photo'").first().id == 2
+    url = "jdbc:derby:memory:lectern;create=true"
+    spark.range(100).withColumnRenamed("id", "n").write.format("jdbc").option("url", url).option("dbtable", "numbers").mode("overwrite").save()
+    rows = readers.jdbc(spark, url, "numbers", "n", (0, 100), 4)
+    assert rows.rdd.getNumPartitions() == 4 and sorted(r[0] for r in rows.where("n >= 95").collect()) == [95, 96, 97, 98, 99]
+
+
 def test_size_chunks():
     text = " ".join(f"word{i}" for i in range(300))
     pieces = list(chunking.size_pieces(text, 100, 20))

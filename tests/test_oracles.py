@@ -43,5 +43,6 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() >= 0
+    found = entry.entry(spark)
+    assert found.columns == ["chunk_id", "rank", "snippet"] and found.count() == registry.queries()["keyword_scan"](spark, SF).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
