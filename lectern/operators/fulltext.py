@@ -23,7 +23,8 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,18 +64,28 @@ def postings(chunks: DataFrame, key: str = "chunk_id", value: str = "text", conf
 
     take_apart = CONFIGS[config]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lru_cache(100_000)(stem)
         for batch in batches:
-            rows = []
-            for k, text in zip(batch[key], batch[value], strict=True):
-                rows += [(s, k, len(at), at) for s, at in take_apart(text, known).items()]
-                if len(rows) >= 50_000:
-                    yield pd.DataFrame(rows, columns=["stem", key, "tf", "positions"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["stem", key, "tf", "positions"])
-
-    return chunks.select(key, value).where(F.col(value) != "").mapInPandas(run, postings_schema(chunks.schema[key]))
+            keys = batch.column(0)
+            words, rows, places, ends = [], [], [], [0]
+
+            def made() -> pa.RecordBatch:
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+                return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), keys.take(pa.array(rows, pa.int64())), pa.array(np.diff(ends), pa.int32()), lists], ["stem", key, "tf", "positions"])
+
+            for at, text in enumerate(batch.column(1)):
+                for word, found in take_apart(text.as_py(), known).items():
+                    words.append(word)
+                    rows.append(at)
+                    places += found
+                    ends.append(len(places))
+                if len(words) >= 100_000:
+                    yield made()
+                    words, rows, places, ends = [], [], [], [0]
+            yield made()
+
+    return chunks.select(key, value).where(F.col(value) != "").mapInArrow(run, postings_schema(chunks.schema[key]))
 
 
 def postings_schema(key: T.StructField) -> T.StructType:
