@@ -45,7 +45,8 @@ from lectern.llm.common import cut, small_batches
 
 #: Narrow on purpose: there is a row for every five words or so.  The digest has 96 bits, and text_key tells texts of one id apart.
 UNITS = "doc_id long, text_key int, start int, chars int, first_word int, n_words int, high long, low int"
-NULL_ID = -(2**63)
+#: Blocks with `FREQUENT` rows in a sample of `SAMPLE_ROWS` go apart from the others.
+SAMPLE_ROWS, FREQUENT = 2_000_000, 50
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LEAST_WORDS, LINE_WORDS, REACH = 25, 20, 3
 
@@ -126,16 +127,29 @@ def hashed_blocks(docs: DataFrame, least_words: int, line_words: int) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_key"), "text").mapInArrow(run, UNITS)
 
 
+def frequent_firsts(units: DataFrame) -> DataFrame:
+    """The first occurrence of the most frequent blocks, told by a sample: at
+    most `SAMPLE_ROWS` / `FREQUENT` rows or so, whatever the input.  The sample
+    only says which way a block's rows take, not what becomes of them."""
+    n = units.count()
+    drawn = units.select("high", "low") if n <= SAMPLE_ROWS else units.select("high", "low").sample(SAMPLE_ROWS / n, seed=1)
+    often = cut(drawn.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).drop("n"), "frequent-blocks")
+    firsts = units.join(F.broadcast(often), ["high", "low"]).groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    return cut(firsts.select("high", "low", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "frequent-firsts")
+
+
 def repeated_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """The blocks that go: UNITS without the digest, and the occurrence that
-    stays as first_doc_id and first_start."""
+    stays as first_doc_id and first_start.  Rows of frequent blocks stay where
+    they are and only meet a minimum that was combined before its shuffle; all
+    others are shuffled once, by digest."""
     units = cut(hashed_blocks(docs, least_words, line_words), "blocks", "zstd")
-    # a hot block is one row for each task before it is shuffled; the join below only has blocks that repeat, and its hot keys can be split
-    place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("start"))
-    firsts = units.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = units.join(firsts, ["high", "low"])
-    later = (F.coalesce("doc_id", F.lit(NULL_ID)) != F.col("first.id")) | (F.col("start") != F.col("first.start"))
-    return found.where(later).drop("high", "low").select("*", F.nullif(F.col("first.id"), F.lit(NULL_ID)).alias("first_doc_id"), F.col("first.start").alias("first_start")).drop("first")
+    firsts = F.broadcast(frequent_firsts(units))
+    # null ids come first; plain columns, so that nothing is added to what is shuffled
+    earlier = Window.partitionBy("high", "low").orderBy(F.asc_nulls_first("doc_id"), "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = units.join(firsts, ["high", "low"], "left_anti").select("*", F.first("doc_id").over(earlier).alias("first_doc_id"), F.first("start").over(earlier).alias("first_start"))
+    found = units.join(firsts, ["high", "low"]).unionByName(rest)
+    return found.where(~F.col("doc_id").eqNullSafe(F.col("first_doc_id")) | (F.col("start") != F.col("first_start"))).drop("high", "low")
 
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:

@@ -301,7 +301,18 @@ def test_repeats_recall(spark):
     assert sum(len(own & found.get(d, set())) for d, own in wanted.items()) >= 0.95 * words
 
 
-def test_repeats_of_odd_rows(spark):
+def test_frequent_blocks_go_apart(spark, docs, monkeypatch):
+    rows = docs + [(5000 + d, t) for d, t in EDGES if d not in (None, 6)] + [(7000 + i, BASE * 2 + f" x{i}") for i in range(300)]
+    wanted = brute.repeated_spans(rows)
+    for sample, frequent in ((2_000_000, 50), (2_000_000, 2), (2_000, 3), (100, 10**9)):
+        monkeypatch.setattr(line_hash, "SAMPLE_ROWS", sample)
+        monkeypatch.setattr(line_hash, "FREQUENT", frequent)
+        same(line_hash.repeated_spans(frame(spark, rows)).drop("text_key").collect(), wanted)
+
+
+@pytest.mark.parametrize("frequent", [2, 10**9])
+def test_repeats_of_odd_rows(spark, monkeypatch, frequent):
+    monkeypatch.setattr(line_hash, "FREQUENT", frequent)
     rows = [(None, BASE * 2), (4, BASE * 2), (4, BASE * 2), (5, "\n" + BASE * 2), (5, "\n" + BASE * 2), (6, None), (7, "")]
     found = line_hash.repeated_spans(frame(spark, rows)).select("doc_id", "start", "first_doc_id", "first_start").collect()
     same(found, [(4, 0, None, 0), (5, 1, None, 0)])
