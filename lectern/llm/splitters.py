@@ -2,7 +2,7 @@
 
 Records are ordered by (MD5 of the text, doc_id), so equal texts lie side by
 side.  A size-weighted sample of keys gives quantile boundaries of many fine
-ranges; ranges that turn out overfull are divided again by a sample of their
+ranges, more for a larger input; ranges that turn out overfull are divided again by a sample of their
 own.  With the exact bytes of each range known, every range has its exact
 place on the byte line from 0 to the total; records of a range take their
 places inside it, and equal stretches of the line are the shards.  So shards
@@ -31,8 +31,10 @@ from pyspark.sql.window import Window
 from lectern.llm.common import cut, md5_key, utf8_bytes
 
 Key = tuple[int, int]
-KEY, TIE, SIZE, RANGE, BYTE, ROW = "_lx_key", "_lx_tie", "_lx_size", "_lx_range", "_lx_byte", "_lx_row"
+KEY, TIE, SIZE, RANGE, BYTE, ROW, FIRST_BYTE, FIRST_ROW = "_lx_key", "_lx_tie", "_lx_size", "_lx_range", "_lx_byte", "_lx_row", "_lx_first_byte", "_lx_first_row"
 NULL_ID = -(2**63)
+#: What the driver holds: this many boundaries, and 24 sampled keys for each.
+MOST_RANGES = 32_768
 
 
 def key_columns(docs: DataFrame, record_bytes: int) -> DataFrame:
@@ -105,17 +107,25 @@ def find_boundaries(keys: DataFrame, total: int, ranges: int, per_range: int = 2
     return boundaries, held
 
 
-def shard_records(docs: DataFrame, shards: int, record_bytes: int = 16, ranges_per_shard: int = 16) -> DataFrame:
+def range_count(total: int, shards: int, range_bytes: int) -> int:
+    """Ranges of about `range_bytes`, 16 for each shard at least, so that they
+    stay as large when the input grows, up to `MOST_RANGES`."""
+    return max(16 * shards, min(MOST_RANGES, -(-total // range_bytes)))
+
+
+def shard_records(docs: DataFrame, shards: int, record_bytes: int = 16, range_bytes: int = 256 << 20) -> DataFrame:
     """`docs` with size, shard and slot (gapless from 0 in each shard)."""
     result = {"size", "shard", "slot"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in result])
     keyed = key_columns(docs, record_bytes)
     keys = cut(keyed.select(KEY, TIE, SIZE), "shard-keys")
     total = keys.agg(F.sum(SIZE)).first()[0] or 0
-    boundaries, held = find_boundaries(keys, total, shards * ranges_per_shard)
+    boundaries, held = find_boundaries(keys, total, range_count(total, shards, range_bytes))
     ids = sorted(held)
-    first_byte = dict(zip(ids, accumulate((held[i][0] for i in ids), initial=0), strict=False))
-    first_row = dict(zip(ids, accumulate((held[i][1] for i in ids), initial=0), strict=False))
+    bytes_before = accumulate((held[i][0] for i in ids), initial=0)
+    rows_before = accumulate((held[i][1] for i in ids), initial=0)
+    # a row for each range
+    starts = F.broadcast(docs.sparkSession.createDataFrame(list(zip(ids, bytes_before, rows_before, strict=False)), f"{RANGE} int, {FIRST_BYTE} long, {FIRST_ROW} long"))
 
     def shard_of(start: Column, size: Column) -> Column:
         # by a record's middle; twice the middle keeps to whole numbers
@@ -123,19 +133,10 @@ def shard_records(docs: DataFrame, shards: int, record_bytes: int = 16, ranges_p
         middle = (start * 2 + size).cast(wide) * F.lit(shards).cast(wide)
         return F.least(F.lit(shards - 1), whole_division(middle, F.lit(2 * max(1, total)).cast(wide)))
 
-    def lookup(values: dict[int, int]) -> Column:
-        filled = np.array([values.get(i, 0) for i in range(len(boundaries) + 1)], dtype=np.int64)
-
-        @F.pandas_udf(T.LongType())
-        def find(at: pd.Series) -> pd.Series:
-            return pd.Series(filled[at.to_numpy()])
-
-        return find(RANGE)
-
     def placed(rows: DataFrame) -> DataFrame:
         inside = Window.partitionBy(RANGE).orderBy(KEY, TIE, SIZE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = rows.withColumn(RANGE, range_of(boundaries)).withColumns({BYTE: F.sum(SIZE).over(inside) - F.col(SIZE), ROW: F.count(F.lit(1)).over(inside) - 1})
-        rows = rows.withColumns({BYTE: F.col(BYTE) + lookup(first_byte), ROW: F.col(ROW) + lookup(first_row)})
+        rows = rows.join(starts, RANGE).withColumns({BYTE: F.col(BYTE) + F.col(FIRST_BYTE), ROW: F.col(ROW) + F.col(FIRST_ROW)})
         return rows.withColumn("shard", shard_of(F.col(BYTE), F.col(SIZE)))
 
     firsts = {r[0]: r[1] for r in placed(keys).groupBy("shard").agg(F.min(ROW)).collect()}

@@ -136,8 +136,8 @@ def test_shards(spark, docs):
 
 def test_placement(spark, docs):
     rows = docs + EDGES + [(5000 + i, "the same text again") for i in range(400)] + [(77, "r")] * 50
-    for shards in (7, 40):
-        found = splitters.shard_records(frame(spark, rows), shards).select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")), "shard", "slot").collect()
+    for shards, range_bytes in ((7, 256 << 20), (40, 1_000)):
+        found = splitters.shard_records(frame(spark, rows), shards, range_bytes=range_bytes).select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")), "shard", "slot").collect()
         wanted = brute.placement(rows, shards)
         # rows equal in all that orders them may change places
         same([r[:4] for r in found], [r[:4] for r in wanted])
@@ -147,6 +147,22 @@ def test_placement(spark, docs):
     same([(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in query], brute.placement(docs, 40))
 
 
+def test_ranges_grow_with_the_input(spark):
+    """Ten times the input in ranges of a fixed size: the largest stays the same."""
+    assert splitters.range_count(10**6, 40, 10**9) == 640
+    assert splitters.range_count(10**12, 40, 256 << 20) == -(-(10**12) // (256 << 20))
+    assert splitters.range_count(10**16, 40, 256 << 20) == splitters.MOST_RANGES
+    largest = []
+    for n in (4_000, 40_000):
+        keys = splitters.key_columns(spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 1000).alias("text")), 16)
+        keys = keys.select(splitters.KEY, splitters.TIE, splitters.SIZE).cache()
+        total = keys.agg(F.sum(splitters.SIZE)).first()[0]
+        _, held = splitters.find_boundaries(keys, total, splitters.range_count(total, 1, 2_000))
+        assert sum(w[1] for w in held.values()) == n
+        largest.append(max(w[0] for w in held.values()))
+    assert largest[1] < 1.5 * max(largest[0], 2_000) and max(largest) <= 2 * 2_000
+
+
 def test_pii(spark, docs):
     rows = docs + EDGES
     found = pii.find_spans(frame(spark, rows)).select("doc_id", pii.listed(pii.base_spans(pii.F.col("spans"))).alias("b")).collect()
