@@ -12,7 +12,8 @@ budget takes a superset.
 Defined results: a null or empty text has no words and is taken 0 times; null
 sources are a source, sorted last; documents with equal ids share a hash and
 are taken together; a source without words has target 0.  Extra columns stay;
-input columns named like a result are replaced.  An empty table gives an empty
+for `mix` and `take`, input columns named like a result of `mix` are left
+out.  An empty table gives an empty
 result.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql.window import Window
 from lectern.llm.common import cut, md5_key, word_count
 
 HASH, SIZE, SOURCE, CUT = "_lx_hash", "_lx_size", "_lx_source", "_lx_cut"
+TIMES, SOURCE_SIZE, TARGET = "_lx_times", "_lx_source_size", "_lx_target"
 HASH_BITS, LEVEL_BITS = 60, 10
 #: Sources up to which what is known of each goes to all executors.
 BROADCAST_SOURCES = 20_000
@@ -84,10 +86,8 @@ def thresholds(docs: DataFrame, rests: DataFrame) -> DataFrame:
     return cut(found, "mix-thresholds") if found is not None else spark.createDataFrame([], docs.select(SOURCE, F.col(HASH).alias(CUT)).schema)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """`docs` with size, source_size, target and taken."""
-    result = {"size", "source_size", "target", "taken"}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in result])
+def counted(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """`docs` with SIZE, TIMES (how often the mix takes a row), SOURCE_SIZE and TARGET."""
     sized = docs.withColumns({SIZE: word_count(F.col("text")), HASH: md5_key(F.col("doc_id").cast("string")), SOURCE: F.col("source")})
     narrow = cut(sized.select(SOURCE, HASH, SIZE), "mix-sizes")
     totals = cut(narrow.groupBy(SOURCE).agg(F.sum(SIZE).cast("long").alias("source_size")), "mix-totals")
@@ -96,10 +96,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     hint = F.broadcast if small else (lambda df: df)
     rests = plan.where("rest > 0").select(SOURCE, "rest")
     limits = thresholds(narrow, rests)
-    plan = plan.join(limits.withColumnRenamed(SOURCE, "_lx_of"), F.col(SOURCE).eqNullSafe(F.col("_lx_of")), "left").drop("_lx_of").withColumnRenamed(SOURCE, "_lx_of")
+    plan = plan.join(limits.withColumnRenamed(SOURCE, "_lx_of"), F.col(SOURCE).eqNullSafe(F.col("_lx_of")), "left")
+    plan = plan.select(F.col(SOURCE).alias("_lx_of"), F.col("source_size").alias(SOURCE_SIZE), F.col("target").alias(TARGET), F.col("passes").alias(TIMES), CUT)
     out = sized.join(hint(plan), F.col(SOURCE).eqNullSafe(F.col("_lx_of")), "left")
-    times = F.col("passes") + F.when(F.col(HASH) < F.col(CUT), 1).otherwise(0)
-    return out.select(*[sized[c] for c in docs.columns], F.col(SIZE).alias("size"), "source_size", "target", (F.col(SIZE) * times).cast("long").alias("taken"))
+    return out.withColumn(TIMES, F.col(TIMES) + F.when(F.col(HASH) < F.col(CUT), 1).otherwise(0))
+
+
+def given_columns(docs: DataFrame) -> list[str]:
+    """Columns that no result of `mix` is named like."""
+    return [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken"}]
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """`docs` with size, source_size, target and taken; options as in `counted`."""
+    out = counted(docs, **options)
+    return out.select(*given_columns(docs), F.col(SIZE).alias("size"), F.col(SOURCE_SIZE).alias("source_size"), F.col(TARGET).alias("target"), (F.col(SIZE) * F.col(TIMES)).cast("long").alias("taken"))
 
 
 def source_plan(totals: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -138,9 +149,13 @@ def reshare(totals: DataFrame, weights: tuple[int, ...], share: float, most: flo
     return own.select(SOURCE, "source_size", F.least(F.lit(most) * F.col("source_size"), F.col("weight") * F.lit(high)).alias("target"))
 
 
+def repeat_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mixture itself: each row as often as it is taken, with the columns
+    that it came with, whatever their names."""
+    out = counted(docs, **options).where((F.col(SIZE) > 0) & (F.col(TIMES) > 0))
+    return out.withColumn("_lx_copy", F.explode(F.sequence(F.lit(1), F.col(TIMES).cast("int")))).select(*docs.columns)
+
+
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: each row as often as it is taken."""
-    mixed = mix(docs, **options)
-    given = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken"}]
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
-    return mixed.where("taken > 0").withColumn("_lx_copy", F.explode(F.sequence(F.lit(1), times))).select(*given)
+    """`repeat_rows` without columns named like a result of `mix`."""
+    return repeat_rows(docs.select(*given_columns(docs)), **options)

@@ -117,6 +117,19 @@ def test_field_tells_labelled_documents(spark):
     assert sum(bad) / len(bad) < 0.15
 
 
+def test_field_tells_documents_it_was_not_trained_on(spark):
+    """Trained on one half of the labels by a hash of the id, judged on the other."""
+    sf = "/root/testdata/sf0.01"
+    texts, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    field = crf_quality.train_line_field(texts, labels.where(half == 0))
+    found = crf_quality.score_documents(texts, field).select("doc_id", "kept").join(labels.where(half == 1), "doc_id").collect()
+    good, bad = [r.kept for r in found if r.quality == 1], [r.kept for r in found if r.quality == 0]
+    assert min(len(good), len(bad)) > 20
+    assert sum(good) / len(good) > 0.95
+    assert sum(bad) / len(bad) < 0.15
+
+
 def test_shards(spark, docs):
     rows = docs + [(d, t) for d, t in EDGES if d is None or d < 11 or d > 12] + [(5000 + i, "the same text again") for i in range(400)] + [(77, "r")] * 50
     for shards in (1, 7, 40):
