@@ -4,11 +4,12 @@ Each stage takes (spark, docs, sf_dir); all but the last return the columns of
 documents.  Counted as part of the package `lectern.llm`.
 
 Defined results, of each stage by itself: rows without text or words, and
-texts of fewer than 20 words, fail the quality rules; they link with nothing,
-so near duplicates leaves them, but of rows equal in id and text it leaves
-one; they hold nothing of a benchmark; a mixture takes rows without words 0
-times, and rows of equal ids alike; sharding places every row.  A null id is
-an id like any other and ranks first, a null source is a source of its own.
+texts of fewer than 20 words, fail the quality rules.  Near duplicates leaves
+all rows without words, and of rows with words that are equal in id and text
+one; a null id comes after all others there.  Decontamination leaves rows
+without words.  The mixture takes rows without words 0 times and rows of equal
+ids alike; a null source is a source of its own.  Sharding places every row,
+null ids before others.
 Extra columns stay, but for the last stage's size, shard and slot, which
 replace columns of these names.  An empty table stays empty.
 """
