@@ -69,7 +69,7 @@ REQUIRED = ", ".join(f"CAST(len(regexp_extract_all(text, '{p}', 0, 'i')) AS INT)
 
 @query(f"SELECT *, 20 * ((n_account_number > 0)::INT + (n_service_address > 0)::INT + (n_usage_analysis > 0)::INT + (n_energy_tips > 0)::INT + (n_comparison_data > 0)::INT) AS completeness FROM (SELECT doc_id, {REQUIRED} FROM (SELECT doc_id, {MARKED} AS text FROM documents))")
 def energy_report_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [F.regexp_count("text", F.lit("(?i)" + p)).alias(f"n_{n}") for n, p in X.ENERGY_REQUIRED]
+    counts = [F.regexp_count("text", F.lit("(?i)" + X.bordered(p))).alias(f"n_{n}") for n, p in X.ENERGY_REQUIRED]
     score = F.lit(0)
     for n, _ in X.ENERGY_REQUIRED:
         score = score + F.when(F.col(f"n_{n}") > 0, 20).otherwise(0)
