@@ -3,6 +3,8 @@ text, evaluated as Columns."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,15 +110,34 @@ def near_lines(text: Column, most: int = 3) -> Column:
 
 def with_references(text: Column, images: Column) -> Column:
     """Markers for a page's images (filename, type, x, y), one after another:
-    photos of a page with tips go after the tip's label, others to the end."""
-
-    def add(t: Column, i: Column) -> Column:
-        mark = F.concat(F.lit("\n\n[IMAGE: "), i["filename"], F.lit(" - "), i["type"], F.lit(" at ("), i["x"].cast("string"), F.lit(", "), i["y"].cast("string"), F.lit(")]\n\n"))
-        label = F.lit("Monthly savings tip:")
-        inside = F.contains(F.lower(t), F.lit("tip")) & i["type"].isin("photo", "illustration")
-        return F.when(inside, F.replace(t, label, F.concat(label, mark))).otherwise(F.concat(t, mark))
-
-    return F.aggregate(images, text, add)
+    photos of a page with tips go after the tip's label, others to the end.
+
+    The markers are put together first and the text is built once, so the work
+    follows their number.  A marker that names a tip makes the page one with
+    tips for the images after it; file names are not searched for the label; an
+    image without one of its four values has no marker."""
+    label, tip = F.lit("Monthly savings tip:"), F.lit("tip")
+
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def mark(i: Column) -> Column:
+        shown = F.concat(F.lit("\n\n[IMAGE: "), i["filename"], F.lit(" - "), i["type"], F.lit(" at ("), i["x"].cast("string"), F.lit(", "), i["y"].cast("string"), F.lit(")]\n\n"))
+        return F.struct(shown.alias("text"), F.coalesce(i["type"].isin("photo", "illustration"), F.lit(False)).alias("picture"))
+
+    def started(marks: Column) -> Column:
+        """The number of the first image that comes to a page with tips."""
+        first = F.array_position(F.transform(marks, lambda m: F.coalesce(F.contains(F.lower(m["text"]), tip), F.lit(False))), True)
+        return F.struct(marks.alias("marks"), F.when(F.contains(F.lower(text), tip), 0).when(first > 0, first).otherwise(F.size(marks)).alias("first"))
+
+    def joined(own: Column) -> Column:
+        inside = F.filter(own["marks"], lambda m, n: m["picture"] & (n >= own["first"]))
+        behind = F.filter(own["marks"], lambda m, n: ~m["picture"] | (n < own["first"]))
+        # each goes right behind the label, so the last comes first
+        tips, rest = (F.array_join(F.transform(x, lambda m: m["text"]), "") for x in (F.reverse(inside), behind))
+        return F.concat(F.replace(text, label, F.concat(label, tips)), rest)
+
+    return bound(F.transform(images, mark), lambda marks: bound(started(marks), joined))
 
 
 def region_correlation(kind: Column, low: Column) -> Column:
