@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import geometry as G
 from lectern.sources.sinks import cut
@@ -41,28 +42,45 @@ def box(side: str) -> dict[str, Column]:
     return {c: F.col(f"{side}.{c}") for c in "xywh"}
 
 
-def cells(start: Column, end: Column, size: int) -> Column:
+#: Regions of a page up to which they all meet without a grid.
+FEW = 64
+#: A cell that holds a whole page.
+WHOLE = float(1 << 40)
+
+
+def cells(start: Column, end: Column, size: Column | float) -> Column:
     """The numbers of the cells that an interval touches."""
     return F.sequence(F.floor(start / size).cast("long"), F.floor(F.greatest(start, end) / size).cast("long"))
 
 
-def touching(regions: DataFrame, cell: int = 100) -> DataFrame:
-    """Pairs (a, b) of a page with a.id < b.id whose boxes share more than an
-    edge.  Regions meet in the cells of a grid that both touch, so the work
-    follows the neighbours of a region; a pair counts in the one cell where its
-    common part begins."""
-    own = regions.where("w > 0 AND h > 0").withColumn("cx", F.explode(cells(F.col("x"), F.col("x") + F.col("w"), cell))).withColumn("cy", F.explode(cells(F.col("y"), F.col("y") + F.col("h"), cell)))
+def touching(regions: DataFrame, cell: int = 100, few: int = FEW) -> DataFrame:
+    """Pairs (a, b) of a page with a.id < b.id whose boxes share more
+    than an edge.  Regions meet in the cells of a grid that both touch, so the
+    work follows the neighbours of a region; a pair counts in the one cell where
+    its common part begins.
+
+    A page of up to `few` regions is one cell.  On others a cell is `cell` wide
+    and high at least, and as large as the page's mean region, so a region lies
+    in four cells in the mean, however large regions are."""
+    page, double = Window.partitionBy("page"), {c: F.col(c).cast("double") for c in "wh"}
+    own = regions.where("w > 0 AND h > 0 AND page IS NOT NULL").select("page", "id", *"xywh")
+    own = own.withColumns({"_n": F.count(F.lit(1)).over(page), "_w": F.avg(double["w"]).over(page), "_h": F.avg(double["h"]).over(page), "_area": F.avg(double["w"] * double["h"]).over(page)})
+    # so that mean area <= cell area too, where wide regions are the high ones
+    wider = F.greatest(F.lit(1.0), F.sqrt(F.col("_area") / (F.col("_w") * F.col("_h"))))
+    size = {c: F.when(F.col("_n") <= few, WHOLE).otherwise(F.greatest(F.lit(float(cell)), F.ceil(F.col(c) * wider))) for c in ("_w", "_h")}
+    own = own.select("page", "id", *"xywh", size["_w"].alias("across"), size["_h"].alias("down"))
+    own = own.withColumn("cx", F.explode(cells(F.col("x"), F.col("x") + F.col("w"), F.col("across")))).withColumn("cy", F.explode(cells(F.col("y"), F.col("y") + F.col("h"), F.col("down"))))
     a, b = own.alias("a"), own.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("page", "cx", "cy")]
-    begins = (F.floor(F.greatest("a.x", "b.x") / cell) == F.col("a.cx")) & (F.floor(F.greatest("a.y", "b.y") / cell) == F.col("a.cy"))
+    begins = (F.floor(F.greatest("a.x", "b.x") / F.col("a.across")) == F.col("a.cx")) & (F.floor(F.greatest("a.y", "b.y") / F.col("a.down")) == F.col("a.cy"))
     common = (F.greatest("a.x", "b.x") < F.least(F.col("a.x") + F.col("a.w"), F.col("b.x") + F.col("b.w"))) & (F.greatest("a.y", "b.y") < F.least(F.col("a.y") + F.col("a.h"), F.col("b.y") + F.col("b.h")))
     return a.join(b, same[0] & same[1] & same[2] & (F.col("a.id") < F.col("b.id"))).where(begins & common)
 
 
-def overlaps(regions: DataFrame, least: float, cell: int = 100) -> DataFrame:
+def overlaps(regions: DataFrame, least: float, cell: int = 100, few: int = FEW) -> DataFrame:
     """Pairs of which more than `least` (0 or more) of the smaller is common."""
     share = G.overlap_share(box("a"), box("b"))
-    return touching(regions, cell).where(share > least).select(F.col("a.page").alias("page"), F.col("a.id").alias("one"), F.col("b.id").alias("two"), F.round(share, 6).alias("share"))
+    return touching(regions, cell, few).where(share > least).select(F.col("a.page").alias("page"), F.col("a.id").alias("one"), F.col("b.id").alias("two"), F.round(share, 6).alias("share"))
 
 
 def centre(side: str) -> tuple[Column, Column]:
@@ -70,14 +88,18 @@ def centre(side: str) -> tuple[Column, Column]:
     return c["x"] + F.floor(c["w"] / 2), c["y"] + F.floor(c["h"] / 2)
 
 
-def relationships(regions: DataFrame, most: float) -> DataFrame:
+def relationships(regions: DataFrame, most: float, few: int = FEW) -> DataFrame:
     """Pairs of a page whose centres are less than `most` apart.  Centres lie in
-    cells of that size, so a near one is in the same cell or one beside it."""
+    cells of that size, so a near one is in the same cell or one beside it; a
+    page of up to `few` regions is one cell, with none beside it."""
     (ax, ay), (bx, by) = centre("a"), centre("b")
     cell = max(1, math.ceil(most))
+    small = F.count(F.lit(1)).over(Window.partitionBy("page")) <= few
+    own = regions.select("page", "id", *"xywh").withColumn("_small", small)
     middle = {"cx": F.floor((F.col("x") + F.floor(F.col("w") / 2)) / cell), "cy": F.floor((F.col("y") + F.floor(F.col("h") / 2)) / cell)}
-    own = regions.withColumns(middle)
-    beside = own.withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1))).withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
+    own = own.withColumns({c: F.when(F.col("_small"), F.lit(0).cast("long")).otherwise(at) for c, at in middle.items()})
+    near = {c: F.when(F.col("_small"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.col(c) - 1, F.col(c) + 1)) for c in middle}
+    beside = own.withColumn("cx", F.explode(near["cx"])).withColumn("cy", F.explode(near["cy"]))
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("page", "cx", "cy")]
     met = own.alias("a").join(beside.alias("b"), same[0] & same[1] & same[2] & (F.col("a.id") < F.col("b.id")))
     distance = F.sqrt(((ax - bx) * (ax - bx) + (ay - by) * (ay - by)).cast("double"))
