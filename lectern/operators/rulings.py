@@ -16,16 +16,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.operators.graph import components
-from lectern.operators.regions import cells
+from lectern.operators.regions import FEW, cells
+from lectern.sources.sinks import cut
 
+#: Where lines of pages with few lines across meet.
+NO_CELL = -(1 << 62)
 
-def crossings(across: DataFrame, down: DataFrame, cell: int = 200) -> DataFrame:
+
+def crossings(across: DataFrame, down: DataFrame, cell: int = 200, few: int = FEW) -> DataFrame:
     """page, h_id, v_id, x, y.  A line across meets the lines down of the cells
-    that it runs through, not all of the page."""
+    that it runs through, not all of the page; up to `few` lines across a page
+    meet all of its lines down."""
     low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
     h = across.select("page", F.col("id").alias("h_id"), low.alias("low"), high.alias("high"), "y").where("low IS NOT NULL AND high IS NOT NULL AND y IS NOT NULL")
-    h = h.withColumn("cell", F.explode(cells(F.col("low"), F.col("high"), cell)))
-    v = down.select("page", F.col("id").alias("v_id"), "x", F.least("y1", "y2").alias("top"), F.greatest("y1", "y2").alias("bottom")).withColumn("cell", F.floor(F.col("x") / cell).cast("long"))
+    h = h.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("page")))
+    # lines down are in their cell and, for pages with few lines across, in one without a number
+    own = F.when(F.col("_n") <= few, F.array(F.lit(NO_CELL))).otherwise(cells(F.col("low"), F.col("high"), cell))
+    h = h.withColumn("cell", F.explode(own)).drop("_n")
+    v = down.select("page", F.col("id").alias("v_id"), "x", F.least("y1", "y2").alias("top"), F.greatest("y1", "y2").alias("bottom"))
+    v = v.where("x IS NOT NULL").withColumn("cell", F.explode(F.array(F.floor(F.col("x") / cell).cast("long"), F.lit(NO_CELL))))
     return h.join(v, ["page", "cell"]).where("x BETWEEN low AND high AND y BETWEEN top AND bottom").select("page", "h_id", "v_id", "x", "y").distinct()
 
 
@@ -39,7 +48,8 @@ def boundaries(places: DataFrame, tolerance: float) -> DataFrame:
 def tables(across: DataFrame, down: DataFrame, tolerance: float = 3, cell: int = 200) -> DataFrame:
     """page, table (of its lines the first across), n_rows, n_columns, n_lines,
     n_crossings and box of what has a row and a column at least."""
-    met = crossings(across, down, cell)
+    # read twice: by the components and by the tables
+    met = cut(crossings(across, down, cell), "crossings")
 
     def line(kind: int, name: str) -> Column:
         return F.struct("page", F.lit(kind).alias("kind"), F.col(name).alias("id"))
