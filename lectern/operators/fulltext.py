@@ -58,11 +58,22 @@ def words_of(text: str, known=None) -> dict[str, list[int]]:  # noqa: ANN001
 CONFIGS = {"english": stems_of, "simple": words_of}
 
 
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
+    """Texts go to Python `rows` at a time and about `size` bytes at a time, not
+    10,000, unless the session asks for fewer: a worker holds a batch, however
+    large the table is.  This sets two settings of the session."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name)
+        if not 0 < int(now if now.lstrip("-").isdigit() else 0) <= most:
+            spark.conf.set(name, most)
+
+
 def postings(chunks: DataFrame, key: str = "chunk_id", value: str = "text", config: str = "english") -> DataFrame:
     """stem, key, tf, positions.  Each text is taken apart where it lies; there
     is no shuffle."""
 
     take_apart = CONFIGS[config]
+    small_batches(chunks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lru_cache(100_000)(stem)
@@ -80,7 +91,8 @@ def postings(chunks: DataFrame, key: str = "chunk_id", value: str = "text", conf
                     rows.append(at)
                     places += found
                     ends.append(len(places))
-                if len(words) >= 100_000:
+                # by places too: those of one word can be as many as a text has words
+                if len(words) >= 50_000 or len(places) >= 100_000:
                     yield made()
                     words, rows, places, ends = [], [], [], [0]
             yield made()
