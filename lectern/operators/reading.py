@@ -9,9 +9,14 @@ or more beyond the furthest end before it.  The path of cuts is the
 reading order: what a heading spans comes first, then each column from top to
 bottom.  In a block, words make lines where their heights overlap.
 
-All pages are cut at once; a round is one shuffle by block and ends when no
-block was cut, so rounds follow the depth of the deepest layout, not the number
-of pages.
+All pages are cut at once.  Neighbours that no cut can part are one before: of
+the words of an Arrow batch that lie less than both gaps apart, and so of all
+between them, clumps are made, with their lines.  What a batch does not hold
+together is only left for later.  A round of cuts is one shuffle by block of the
+clumps that the round before has parted, without texts; it ends when no block
+was cut, so rounds follow the depth of the deepest layout, not the number of
+pages.  Texts are shuffled once, by page, when the paths of clumps are known:
+the lines of a clump that is a block by itself stand, others meet again.
 
 Defined results: words with a null page or box are left out, and so are words
 without text; boxes with swapped ends are put right; words with one and the
@@ -20,13 +25,20 @@ same box go by id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.sources.sinks import cut
 
 ENDS = ("x0", "y0", "x1", "y1")
+WORD = ["x0", "id", "text"]
 
 
 def clean(words: DataFrame) -> DataFrame:
@@ -47,36 +59,148 @@ def numbered(rows: DataFrame, axis: str, gap: float, by: list[str], name: str) -
     return rows.withColumn("_before", before).withColumn("_new", new).withColumn(name, F.sum("_new").over(through).cast("int")).drop("_before", "_new")
 
 
-def blocks(words: DataFrame, column_gap: float = 50, row_gap: float = 20) -> DataFrame:
-    """words with path, the way of cuts to their block: array of int."""
-    rows = clean(words).withColumn("path", F.array().cast("array<int>"))
+def runs(group: np.ndarray, box: dict[str, np.ndarray], by: tuple[str, str], x_gap: float, y_gap: float) -> np.ndarray:
+    """The number of the run that each box lies in: of two neighbours by `by` in
+    a group the second joins the first if less than both gaps is between them."""
+    order = np.lexsort((box[by[1]], box[by[0]], group))
+    a, b = order[:-1], order[1:]
+    near = group[a] == group[b]
+    for axis, gap in (("x", x_gap), ("y", y_gap)):
+        low, high = box[f"{axis}0"], box[f"{axis}1"]
+        near &= np.maximum(low[a], low[b]) - np.minimum(high[a], high[b]) < gap
+    out = np.empty(len(order), np.int64)
+    out[order] = np.concatenate(([0], np.cumsum(~near)))
+    return out
+
+
+def islands(group: np.ndarray, box: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """The number of the line that each box lies in, as `numbered` by y with no
+    gap; groups go on from one another."""
+    order = np.lexsort((ids, box["y1"], box["y0"], group))
+    ends, rank = np.unique(box["y1"], return_inverse=True)
+    # later groups count as further down, so that the furthest end is one of the own group or else new
+    own = group[order]
+    furthest = np.maximum.accumulate(own * len(ends) + rank[order])[:-1]
+    same = own[1:] == own[:-1]
+    joins = same & (box["y0"][order][1:] < ends[np.where(same, furthest - own[1:] * len(ends), 0)])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.concatenate(([0], np.cumsum(~joins)))
+    return out
+
+
+def hulls(label: np.ndarray, box: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Rows by label, where each label starts, the box around it."""
+    order = np.argsort(label, kind="stable")
+    starts = np.searchsorted(label[order], np.arange(label.max() + 1))
+    return order, starts, {c: (np.minimum if c.endswith("0") else np.maximum).reduceat(b[order], starts) for c, b in box.items()}
+
+
+def clumped(batch: pa.RecordBatch, column_gap: float, row_gap: float) -> pa.RecordBatch:
+    """A row for each clump: page, id (of one of its words), box, lines."""
+    page, ids = batch["page"].dictionary_encode().indices.to_numpy(), pc.rank(batch["id"], null_placement="at_start", tiebreaker="dense").to_numpy()
+    types = {c: batch[c].type for c in ENDS}
+    box = {c: batch[c].to_numpy(zero_copy_only=False) for c in ENDS}
+    if all(b.dtype.kind == "i" or (b.dtype.kind == "f" and np.isfinite(b).all()) for b in box.values()):
+        box = {c: b.astype("int64") if b.dtype.kind == "i" else b for c, b in box.items()}
+        # words side by side, then what is close both ways; neither can be parted by a cut
+        piece = runs(page, box, ("y0", "x0"), column_gap, min(row_gap, 0))
+        order, starts, around = hulls(piece, box)
+        first = order[starts]
+        clump = runs(page[first], around, ("x0", "y0"), column_gap, row_gap)
+        line, clump = islands(clump, around, ids[first])[piece], clump[piece]
+    else:
+        line = clump = np.arange(len(page))
+        box = {c: batch[c] for c in ENDS}
+
+    def part(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]:
+        if line is clump:
+            return of, of, box
+        order, starts, around = hulls(of, box)
+        return order, starts, {c: pa.array(b, types[c]) for c, b in around.items()}
+
+    def offsets(starts: np.ndarray, end: int) -> pa.Array:
+        return pa.array(np.append(starts, end), pa.int32())
+
+    order, starts, around = part(line)
+    # words of a line from left to right
+    order = order if line is clump else np.lexsort((box["x0"], line))
+    own = batch.take(pa.array(order))
+    words = pa.StructArray.from_arrays([own[c] for c in WORD], WORD)
+    lines = pa.StructArray.from_arrays([own["id"].take(pa.array(starts)), *(around[c] for c in ENDS), pa.ListArray.from_arrays(offsets(starts, len(order)), words)], ["id", *ENDS, "words"])
+    of_line = clump[order[starts]]
+    firsts = np.searchsorted(of_line, np.arange(of_line[-1] + 1))
+    at = pa.array(starts[firsts])
+    return pa.RecordBatch.from_arrays([own["page"].take(at), own["id"].take(at), *(part(clump)[2][c] for c in ENDS), pa.ListArray.from_arrays(offsets(firsts, len(lines)), lines)], ["page", "id", *ENDS, "lines"])
+
+
+def merged(column_gap: float, row_gap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield clumped(batch, column_gap, row_gap)
+
+    return run
+
+
+def clumps(words: DataFrame, column_gap: float = 50, row_gap: float = 20) -> DataFrame:
+    """clump, page, id, box, lines: array of (id, box, words), words being
+    arrays of (x0, id, text)."""
+    own = clean(words)
+    line = F.struct("id", *ENDS, F.array(F.struct(*WORD)).alias("words"))
+    schema = own.select("page", "id", *ENDS, F.array(line).alias("lines")).schema
+    return own.mapInArrow(merged(column_gap, row_gap), schema).withColumn("clump", F.monotonically_increasing_id())
+
+
+def blocks(rows: DataFrame, column_gap: float = 50, row_gap: float = 20) -> DataFrame:
+    """rows with path, the way of cuts to their block: array of int."""
+    rows, whole = rows.withColumn("path", F.array().cast("array<int>")), []
     key = ["page", "path"]
     while True:
         own = numbered(numbered(rows, "x", column_gap, key, "_column"), "y", row_gap, key, "_row")
-        whole = Window.partitionBy(*key)
-        columns, lines = F.max("_column").over(whole), F.max("_row").over(whole)
+        block = Window.partitionBy(*key)
+        columns, lines = F.max("_column").over(block), F.max("_row").over(block)
         # rows first where they are free of words all across: a heading is no part of a column below it
         part = F.when(lines > 0, F.col("_row")).when(columns > 0, F.col("_column"))
         own = cut(own.withColumn("_part", part).drop("_column", "_row"), "blocks")
-        rows = own.withColumn("path", F.when(F.col("_part").isNotNull(), F.concat("path", F.array("_part"))).otherwise(F.col("path"))).drop("_part")
-        if own.where(F.col("_part").isNotNull()).isEmpty():
-            return rows
+        # a block that was not cut stays as it is
+        whole.append(own.where(F.col("_part").isNull()).drop("_part"))
+        rows = own.where(F.col("_part").isNotNull())
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, whole)
+        rows = rows.withColumn("path", F.concat("path", F.array("_part"))).drop("_part")
 
 
 def lines(words: DataFrame, column_gap: float = 50, row_gap: float = 20) -> DataFrame:
     """page, line (from 0, in reading order), block (likewise), box, text."""
-    rows = numbered(blocks(words, column_gap, row_gap), "y", 0, ["page", "path"], "_line")
-    return in_order(line_rows(rows, ["page", "path", "_line"]))
-
-
-def line_rows(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The words of a line joined by blanks, from left to right."""
-    words = F.array_sort(F.collect_list(F.struct("x0", "id", "text")))
-    return rows.groupBy(*key).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("text"), F.count(F.lit(1)).alias("n_words"))
+    held = cut(clumps(words, column_gap, row_gap), "clumps")
+    found = blocks(held.select("clump", "page", "id", *ENDS), column_gap, row_gap)
+    alone = F.count(F.lit(1)).over(Window.partitionBy("page", "path")) == 1
+    places = found.withColumn("alone", alone).select("page", "clump", F.struct("path", "alone").alias("place"))
+    # by page throughout, so that texts move once: a clump's place comes before it
+    both = held.select("page", "clump", "lines").unionByName(places, allowMissingColumns=True).repartition("page")
+    through = Window.partitionBy("page", "clump").orderBy(F.col("place").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = both.withColumn("place", F.first("place").over(through)).where(F.col("lines").isNotNull())
+    # a clump that is a block stays one row, of others each line is one
+    each = F.when(F.col("place.alone"), F.array("lines")).otherwise(F.transform("lines", lambda x: F.array(x)))
+    own = own.select("page", "place.*", F.explode(each).alias("lines"))
+    rows = numbered(own.select("*", *(F.col("lines")[0][c].alias(c) for c in ("id", "y0", "y1"))), "y", 0, ["page", "path"], "_line")
+    met = rows.groupBy("page", "path", "_line").agg(F.first("alone").alias("alone"), F.flatten(F.collect_list("lines")).alias("lines"))
+    return in_order(met.select("page", "path", "_line", F.when(F.col("alone") | (F.size("lines") == 1), F.col("lines")).otherwise(F.array(one_line(F.col("lines")))).alias("lines")))
+
+
+def one_line(parts: Column) -> Column:
+    ends = [(F.array_min if c.endswith("0") else F.array_max)(parts[c]).alias(c) for c in ENDS]
+    return F.struct(parts[0]["id"].alias("id"), *ends, F.flatten(parts["words"]).alias("words"))
 
 
 def in_order(found: DataFrame) -> DataFrame:
+    """The lines of a page's rows (path, _line, lines), numbered; words of a line
+    are joined by blanks, from left to right."""
     order = Window.partitionBy("page").orderBy("path", "_line")
+    before = F.coalesce(F.sum(F.size("lines")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
     first = F.lag("path").over(order)
-    own = found.withColumn("line", F.row_number().over(order) - 1).withColumn("_opens", F.when(first.isNull() | (first == F.col("path")), 0).otherwise(1))
-    return own.withColumn("block", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).select("page", "line", "block", *ENDS, "n_words", "text")
+    own = found.withColumn("_before", before).withColumn("_opens", F.when(first.isNull() | (first == F.col("path")), 0).otherwise(1))
+    own = own.withColumn("block", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
+    own = own.select("page", "_before", "block", F.posexplode("lines").alias("_at", "_own"))
+    text = F.array_join(F.transform(F.array_sort("_own.words"), lambda w: w["text"]), " ")
+    return own.select("page", (F.col("_before") + F.col("_at")).alias("line"), "block", *(F.col("_own")[c].alias(c) for c in ENDS), F.size("_own.words").cast("long").alias("n_words"), text.alias("text"))
