@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +18,8 @@ if TYPE_CHECKING:
     from lectern.operators.fulltext import TextIndex
 
 ALPHA = 0.6
+#: Words of a text to a row, where hashes go to Python.
+SLICE = 4096
 #: Function words left out of queries and of the index.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
@@ -170,14 +175,42 @@ def cover_density(chunks: DataFrame, query: str, key: str = "chunk_id", ideal: i
     return spans.groupBy(key).agg(F.round(F.sum(F.least(F.lit(1.0), F.lit(float(ideal)) / (F.col("stop") - F.col("start") + 1))), 6).alias("rank"))
 
 
-def hash_embeddings(docs: DataFrame, dim: int = 384, key: str = "doc_id") -> DataFrame:
-    """A deterministic stand-in for an embedding model: hashed words with
-    signs, length one.  Real models plug in behind the same columns."""
-    words = X.tokens(F.lower(F.col("text")))
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    spread = docs.select(key, F.explode(hashes).alias("h")).select(key, F.pmod("h", F.lit(dim)).cast("int").alias("i"), F.when(F.col("h") >= 0, 1.0).otherwise(-1.0).alias("s"))
-    sums = spread.groupBy(key, "i").agg(F.sum("s").alias("v"))
-    vectors = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return vectors.where("norm > 0").select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).cast("float")).alias("embedding"))
+def summed(key: str, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes of words to one row of signed counts for each key of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch[key].dictionary_encode(null_encoding="encode")
+            h, n = batch["h"].flatten().to_numpy(), len(keys.dictionary)
+            at = np.repeat(keys.indices.to_numpy().astype("int64"), batch["h"].value_lengths().to_numpy()) * dim + h % dim
+            counts = np.bincount(at, weights=np.where(h >= 0, 1, -1), minlength=n * dim).astype("int64")
+            yield pa.RecordBatch.from_arrays([keys.dictionary, pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(counts))], [key, "v"])
 
+    return run
 
+
+def hash_embeddings(docs: DataFrame, dim: int = 384, key: str = "doc_id") -> DataFrame:
+    """A deterministic stand-in for an embedding model: hashed words with
+    signs, length one.  Real models plug in behind the same columns.  Words are
+    counted where they lie, in slices of at most `SLICE`; a row for each key of
+    a batch is shuffled."""
+    hashes = F.transform(X.tokens(F.lower(F.col("text"))), lambda w: F.xxhash64(w))
+
+    def slices(h: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / SLICE).cast("int")), lambda i: F.slice(h, i * SLICE + 1, SLICE))
+        return F.when(F.size(h) > 0, made).otherwise(F.array().cast("array<array<bigint>>"))
+
+    # bound once, so that words are hashed once
+    own = docs.select(key, F.explode(F.flatten(F.transform(F.array(hashes), slices))).alias("h"))
+    schema = own.select(key, F.col("h").alias("v")).schema
+    held = own.mapInArrow(summed(key, dim), schema).groupBy(key).agg(F.collect_list("v").alias("p"))
+    # a key in several batches adds them up
+    both = F.aggregate(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), F.col("p")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    vectors = held.select(key, F.when(F.size("p") == 1, F.col("p")[0]).otherwise(both).alias("v"))
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        # bound once, so that the norm is not found again for each value
+        return F.transform(F.array(norm), lambda n: F.transform(v, lambda x: (x / n).cast("float")))[0]
+
+    return vectors.where(F.exists("v", lambda x: x != 0)).select(key, scaled(F.col("v")).alias("embedding"))
