@@ -18,8 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -31,7 +30,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Pages(StatefulProcessor):
-    """doc_id to its pages; two times: when it goes out, when it is forgotten."""
+    """doc_id to its pages; two times: when it goes out (0 if it has), when it is
+    forgotten.  The timer is for the first of them."""
 
     def __init__(self, idle: timedelta, retain: timedelta) -> None:
         self.idle, self.retain = (int(x.total_seconds() * 1000) for x in (idle, max(idle, retain)))
@@ -41,38 +41,46 @@ class Pages(StatefulProcessor):
         self.pages = handle.getMapState("pages", "page int", "text string, at long")
         self.times = handle.getValueState("times", "out long, forget long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        # each call to the state is a message to the JVM: pages of a document that is new are not asked for
+        old = self.times.get()
+        new: dict[int, tuple[int, str]] = {}
         last = None
-        for batch in rows:
-            for page, text, at in zip(batch["page"].tolist(), batch["text"].tolist(), batch["at"].tolist(), strict=True):
-                new = (at, "" if text is None else text)
-                old = self.pages.getValue((page,)) if self.pages.containsKey((page,)) else None
-                if old is None or new > (old[1], "" if old[0] is None else old[0]):
-                    self.pages.updateValue((page,), (new[1], at))
-                last = at if last is None else max(last, at)
-        if last is not None:
-            old = self.times.get() if self.times.exists() else None
-            # a change to a finished document ends it again, after the same time
-            seen = max(last, timerValues.getCurrentWatermarkInMs() - self.idle)
-            now = (max(seen + self.idle, old[0] if old and old[0] else 0), max(seen + self.retain, old[1] if old else 0))
-            if old is None or tuple(old) != now:
-                for was in old or ():
-                    if was and was not in now:
-                        self.handle.deleteTimer(was)
-                for at in set(now) - set(old or ()):
-                    self.handle.registerTimer(at)
-                self.times.update(now)
+        for row in rows:
+            page = (row["at"], "" if row["text"] is None else row["text"])
+            new[row["page"]] = max(page, new.get(row["page"], page))
+            last = page[0] if last is None else max(last, page[0])
+        if last is None:
+            return iter(())
+        for number, (at, text) in new.items():
+            held = self.pages.getValue((number,)) if old else None
+            if held is None or (at, text) > (held[1], "" if held[0] is None else held[0]):
+                self.pages.updateValue((number,), (text, at))
+        # a change to a finished document ends it again, after the same time
+        seen = max(last, timerValues.getCurrentWatermarkInMs() - self.idle)
+        now = (max(seen + self.idle, old[0] if old and old[0] else 0), max(seen + self.retain, old[1] if old else 0))
+        if old is None or tuple(old) != now:
+            # one timer at a time: a document that has gone out waits to be forgotten
+            was = (old[0] or old[1]) if old else None
+            if was != now[0]:
+                if was:
+                    self.handle.deleteTimer(was)
+                self.handle.registerTimer(now[0])
+            self.times.update(now)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        if not self.times.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        times = self.times.get()
+        if times is None:
             return
-        out, forget = self.times.get()
+        out, forget = times
         at = expiredTimerInfo.getExpiryTimeInMs()
         if out and at >= out:
-            held = sorted((page[0], value[0]) for page, value in self.pages.iterator())
-            yield pd.DataFrame({"doc_id": key[0], "page": [p for p, _ in held], "text": [t for _, t in held]})
-            self.times.update((0, forget))
+            for page, text in sorted((page[0], value[0]) for page, value in self.pages.iterator()):
+                yield Row(doc_id=key[0], page=page, text=text)
+            if at < forget:
+                self.times.update((0, forget))
+                self.handle.registerTimer(forget)
         if at >= forget:
             self.pages.clear()
             self.times.clear()
@@ -87,7 +95,7 @@ def finished(pages: DataFrame, idle: timedelta = timedelta(minutes=10), retain:
     first = F.timestamp_millis(F.lit(1))
     own = pages.where("doc_id IS NOT NULL AND page IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "text", F.coalesce("ts", first).alias("ts"))
     timed = own.withWatermark("ts", f"{int(idle.total_seconds() * 1000)} milliseconds").withColumn("at", F.unix_millis("ts"))
-    return timed.groupBy("doc_id").transformWithStateInPandas(Pages(idle, retain), "doc_id long, page int, text string", "append", "eventTime")
+    return timed.groupBy("doc_id").transformWithState(Pages(idle, retain), "doc_id long, page int, text string", "append", "eventTime")
 
 
 def ingest(spark: SparkSession, pages_folder: str, folder: str, checkpoint: str, idle: timedelta = timedelta(minutes=10), retain: timedelta = timedelta(days=30), files: int = 1000) -> StreamingQuery:
