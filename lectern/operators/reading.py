@@ -9,14 +9,17 @@ or more beyond the furthest end before it.  The path of cuts is the
 reading order: what a heading spans comes first, then each column from top to
 bottom.  In a block, words make lines where their heights overlap.
 
-All pages are cut at once.  Neighbours that no cut can part are one before: of
-the words of an Arrow batch that lie less than both gaps apart, and so of all
-between them, clumps are made, with their lines.  What a batch does not hold
-together is only left for later.  A round of cuts is one shuffle by block of the
-clumps that the round before has parted, without texts; it ends when no block
-was cut, so rounds follow the depth of the deepest layout, not the number of
-pages.  Texts are shuffled once, by page, when the paths of clumps are known:
-the lines of a clump that is a block by itself stand, others meet again.
+All pages are cut at once.  What no cut can part is one before: the words of a
+page that come together in an Arrow batch are cut there, and what is left whole
+is a clump, with its lines.  What a batch does not hold together is only left
+for later.  A round of cuts is one shuffle by block of the clumps that the round
+before has parted, without texts; it ends when no block was cut, so rounds
+follow the depth of the deepest layout, not the number of pages.
+
+A page all of whose clumps are blocks by themselves is whole: its lines stand,
+as texts, and are only numbered by a join with their clumps' places.  Words of
+other pages, which came in pieces, are read again with their ids, so that lines
+of several clumps of a block can meet; the bulk needs no ids on disk.
 
 Defined results: words with a null page or box are left out, and so are words
 without text; boxes with swapped ends are put right; words with one and the
@@ -39,6 +42,8 @@ from lectern.sources.sinks import cut
 
 ENDS = ("x0", "y0", "x1", "y1")
 WORD = ["x0", "id", "text"]
+#: Words of one page that wait for the next batch, at most.
+WAITING = 100_000
 
 
 def clean(words: DataFrame) -> DataFrame:
@@ -73,21 +78,37 @@ def runs(group: np.ndarray, box: dict[str, np.ndarray], by: tuple[str, str], x_g
     return out
 
 
-def islands(group: np.ndarray, box: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
-    """The number of the line that each box lies in, as `numbered` by y with no
-    gap; groups go on from one another."""
-    order = np.lexsort((ids, box["y1"], box["y0"], group))
-    ends, rank = np.unique(box["y1"], return_inverse=True)
+def islands(group: np.ndarray, box: dict[str, np.ndarray], ids: np.ndarray, axis: str = "y", gap: float = 0) -> np.ndarray:
+    """The number of the island that each box lies in, as `numbered`; groups go
+    on from one another."""
+    low, high = box[f"{axis}0"], box[f"{axis}1"]
+    order = np.lexsort((ids, high, low, group))
+    ends, rank = np.unique(high, return_inverse=True)
     # later groups count as further down, so that the furthest end is one of the own group or else new
     own = group[order]
     furthest = np.maximum.accumulate(own * len(ends) + rank[order])[:-1]
     same = own[1:] == own[:-1]
-    joins = same & (box["y0"][order][1:] < ends[np.where(same, furthest - own[1:] * len(ends), 0)])
+    joins = same & (low[order][1:] - ends[np.where(same, furthest - own[1:] * len(ends), 0)] < gap)
     out = np.empty(len(order), np.int64)
     out[order] = np.concatenate(([0], np.cumsum(~joins)))
     return out
 
 
+def parted(block: np.ndarray, box: dict[str, np.ndarray], ids: np.ndarray, x_gap: float, y_gap: float) -> np.ndarray:
+    """The number of the block that each box lies in, after all cuts of the
+    blocks given: rows, or else columns."""
+    while True:
+        row, first = islands(block, box, ids, "y", y_gap), np.full(len(block), len(block))
+        np.minimum.at(first, block, row)
+        rows = np.zeros(len(block), bool)
+        rows[block[row != first[block]]] = True
+        part = np.where(rows[block], row, islands(block, box, ids, "x", x_gap))
+        found, own = np.unique(block * len(block) + part, return_inverse=True)
+        if len(found) == block.max() + 1:
+            return own
+        block = own
+
+
 def hulls(label: np.ndarray, box: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """Rows by label, where each label starts, the box around it."""
     order = np.argsort(label, kind="stable")
@@ -95,9 +116,9 @@ def hulls(label: np.ndarray, box: dict[str, np.ndarray]) -> tuple[np.ndarray, np
     return order, starts, {c: (np.minimum if c.endswith("0") else np.maximum).reduceat(b[order], starts) for c, b in box.items()}
 
 
-def clumped(batch: pa.RecordBatch, column_gap: float, row_gap: float) -> pa.RecordBatch:
+def clumped(batch: pa.RecordBatch, column_gap: float, row_gap: float, apart: bool) -> pa.RecordBatch:
     """A row for each clump: page, id (of one of its words), box, lines."""
-    page, ids = batch["page"].dictionary_encode().indices.to_numpy(), pc.rank(batch["id"], null_placement="at_start", tiebreaker="dense").to_numpy()
+    page, ids = batch["page"].dictionary_encode().indices.to_numpy().astype(np.int64), pc.rank(batch["id"], null_placement="at_start", tiebreaker="dense").to_numpy()
     types = {c: batch[c].type for c in ENDS}
     box = {c: batch[c].to_numpy(zero_copy_only=False) for c in ENDS}
     if all(b.dtype.kind == "i" or (b.dtype.kind == "f" and np.isfinite(b).all()) for b in box.values()):
@@ -106,7 +127,9 @@ def clumped(batch: pa.RecordBatch, column_gap: float, row_gap: float) -> pa.Reco
         piece = runs(page, box, ("y0", "x0"), column_gap, min(row_gap, 0))
         order, starts, around = hulls(piece, box)
         first = order[starts]
-        clump = runs(page[first], around, ("x0", "y0"), column_gap, row_gap)
+        near = runs(page[first], around, ("x0", "y0"), column_gap, row_gap)
+        of_near, starts, hull = hulls(near, around)
+        clump = parted(page[first[of_near[starts]]], hull, np.arange(len(starts)), column_gap, row_gap)[near]
         line, clump = islands(clump, around, ids[first])[piece], clump[piece]
     else:
         line = clump = np.arange(len(page))
@@ -123,32 +146,58 @@ def clumped(batch: pa.RecordBatch, column_gap: float, row_gap: float) -> pa.Reco
 
     order, starts, around = part(line)
     # words of a line from left to right
-    order = order if line is clump else np.lexsort((box["x0"], line))
-    own = batch.take(pa.array(order))
-    words = pa.StructArray.from_arrays([own[c] for c in WORD], WORD)
-    lines = pa.StructArray.from_arrays([own["id"].take(pa.array(starts)), *(around[c] for c in ENDS), pa.ListArray.from_arrays(offsets(starts, len(order)), words)], ["id", *ENDS, "words"])
+    if line is not clump:
+        keys = (ids, box["x0"], line)
+        order = np.lexsort(keys)
+        if len(order) > 1 and np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys]).any():
+            order = np.lexsort((pc.rank(batch["text"], tiebreaker="dense").to_numpy(), *keys))
+    own, through = batch.take(pa.array(order)), offsets(starts, len(order))
+    if apart:
+        words = pa.StructArray.from_arrays([own[c] for c in WORD], WORD)
+        lines = pa.StructArray.from_arrays([own["id"].take(pa.array(starts)), *(around[c] for c in ENDS), pa.ListArray.from_arrays(through, words)], ["id", *ENDS, "words"])
+    else:
+        texts = pc.binary_join(pa.ListArray.from_arrays(through, own["text"]), pa.scalar(" ", own["text"].type))
+        lines = pa.StructArray.from_arrays([*(around[c] for c in ENDS), pa.array(np.diff(through.to_numpy()), pa.int32()), texts], [*ENDS, "n_words", "text"])
     of_line = clump[order[starts]]
     firsts = np.searchsorted(of_line, np.arange(of_line[-1] + 1))
     at = pa.array(starts[firsts])
     return pa.RecordBatch.from_arrays([own["page"].take(at), own["id"].take(at), *(part(clump)[2][c] for c in ENDS), pa.ListArray.from_arrays(offsets(firsts, len(lines)), lines)], ["page", "id", *ENDS, "lines"])
 
 
-def merged(column_gap: float, row_gap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def between_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that end where a page does, unless it is very long."""
+    left = None
+    for batch in batches:
+        own = pa.concat_batches([left, batch]) if left else batch
+        if not own.num_rows:
+            continue
+        others = np.flatnonzero(~pc.equal(own["page"], own["page"][-1]).to_numpy(zero_copy_only=False))
+        end = int(others[-1]) + 1 if len(others) else 0
+        if own.num_rows - end > WAITING:
+            end = own.num_rows
+        if end:
+            yield own.slice(0, end)
+        left = own.slice(end)
+    if left:
+        yield left
+
+
+def merged(column_gap: float, row_gap: float, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield clumped(batch, column_gap, row_gap)
+        for batch in between_pages(batches):
+            yield clumped(batch, column_gap, row_gap, apart)
 
     return run
 
 
-def clumps(words: DataFrame, column_gap: float = 50, row_gap: float = 20) -> DataFrame:
+def clumps(words: DataFrame, column_gap: float = 50, row_gap: float = 20, apart: bool = True) -> DataFrame:
     """clump, page, id, box, lines: array of (id, box, words), words being
-    arrays of (x0, id, text)."""
+    arrays of (x0, id, text), or if they are not to be kept apart of (box,
+    n_words, text)."""
     own = clean(words)
-    line = F.struct("id", *ENDS, F.array(F.struct(*WORD)).alias("words"))
+    line = F.struct("id", *ENDS, F.array(F.struct(*WORD)).alias("words")) if apart else F.struct(*ENDS, F.lit(1).alias("n_words"), "text")
     schema = own.select("page", "id", *ENDS, F.array(line).alias("lines")).schema
-    return own.mapInArrow(merged(column_gap, row_gap), schema).withColumn("clump", F.monotonically_increasing_id())
+    return own.mapInArrow(merged(column_gap, row_gap, apart), schema).withColumn("clump", F.monotonically_increasing_id())
 
 
 def blocks(rows: DataFrame, column_gap: float = 50, row_gap: float = 20) -> DataFrame:
@@ -172,6 +221,25 @@ def blocks(rows: DataFrame, column_gap: float = 50, row_gap: float = 20) -> Data
 
 def lines(words: DataFrame, column_gap: float = 50, row_gap: float = 20) -> DataFrame:
     """page, line (from 0, in reading order), block (likewise), box, text."""
+    held = cut(clumps(words, column_gap, row_gap, apart=False).withColumn("n_lines", F.size("lines")), "lines")
+    found = blocks(held.select("clump", "page", "id", *ENDS, "n_lines"), column_gap, row_gap).repartition("page")
+    page = Window.partitionBy("page")
+    order, alone = page.orderBy("path"), F.count(F.lit(1)).over(Window.partitionBy("page", "path")) == 1
+    before = F.sum("n_lines").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_lines")
+    own = found.withColumn("alone", alone).select("page", "clump", before.cast("int").alias("before"), (F.row_number().over(order) - 1).alias("block"), F.min("alone").over(page).alias("whole"))
+    places = cut(own, "places")
+    # places are built upon and texts stream by, so that these move once and are not sorted
+    parts = [*ENDS, "n_words", "text"]
+    numbers = places.where("whole").select("clump", "before", "block").hint("shuffle_hash")
+    each = held.select("clump", "page", *(F.col("lines")[c].alias(c) for c in parts)).join(numbers, "clump")
+    each = each.select("page", "before", "block", *parts[:-1], F.posexplode("text").alias("at", "text"))
+    done = each.select("page", (F.col("before") + F.col("at")).alias("line"), "block", *(F.col(c)[F.col("at")].alias(c) for c in ENDS), F.col("n_words")[F.col("at")].cast("long").alias("n_words"), "text")
+    pieces = places.where(~F.col("whole")).select("page").distinct()
+    return done if pieces.isEmpty() else done.unionByName(pieced(words.join(pieces, "page", "left_semi"), column_gap, row_gap))
+
+
+def pieced(words: DataFrame, column_gap: float, row_gap: float) -> DataFrame:
+    """`lines` of pages in pieces: words of clumps of one block meet."""
     held = cut(clumps(words, column_gap, row_gap), "clumps")
     found = blocks(held.select("clump", "page", "id", *ENDS), column_gap, row_gap)
     alone = F.count(F.lit(1)).over(Window.partitionBy("page", "path")) == 1
