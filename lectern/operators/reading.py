@@ -16,10 +16,11 @@ for later.  A round of cuts is one shuffle by block of the clumps that the round
 before has parted, without texts; it ends when no block was cut, so rounds
 follow the depth of the deepest layout, not the number of pages.
 
-A page all of whose clumps are blocks by themselves is whole: its lines stand,
-as texts, and are only numbered by a join with their clumps' places.  Words of
-other pages, which came in pieces, are read again with their ids, so that lines
-of several clumps of a block can meet; the bulk needs no ids on disk.
+Pages that came in several batches are read again, sorted by page.  A page all
+of whose clumps are then blocks by themselves is whole: its lines stand, as
+texts, and are only numbered by a join with their clumps' places, so that ids of
+words are not on disk.  What is left, very long pages and boxes without end, is
+read with the ids, and lines of several clumps of a block meet.
 
 Defined results: words with a null page or box are left out, and so are words
 without text; boxes with swapped ends are put right; words with one and the
@@ -36,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 from pyspark.sql.window import Window
 
 from lectern.sources.sinks import cut
@@ -184,20 +186,22 @@ def between_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def merged(column_gap: float, row_gap: float, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in between_pages(batches):
-            yield clumped(batch, column_gap, row_gap, apart)
+        for n, batch in enumerate(between_pages(batches)):
+            own = clumped(batch, column_gap, row_gap, apart)
+            yield own.append_column("batch", pa.array(np.full(own.num_rows, n), pa.int64()))
 
     return run
 
 
 def clumps(words: DataFrame, column_gap: float = 50, row_gap: float = 20, apart: bool = True) -> DataFrame:
-    """clump, page, id, box, lines: array of (id, box, words), words being
+    """clump, batch, page, id, box, lines: array of (id, box, words), words being
     arrays of (x0, id, text), or if they are not to be kept apart of (box,
     n_words, text)."""
     own = clean(words)
     line = F.struct("id", *ENDS, F.array(F.struct(*WORD)).alias("words")) if apart else F.struct(*ENDS, F.lit(1).alias("n_words"), "text")
-    schema = own.select("page", "id", *ENDS, F.array(line).alias("lines")).schema
-    return own.mapInArrow(merged(column_gap, row_gap, apart), schema).withColumn("clump", F.monotonically_increasing_id())
+    schema = own.select("page", "id", *ENDS, F.array(line).alias("lines"), F.lit(0).cast("long").alias("batch")).schema
+    batch = F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("batch")
+    return own.mapInArrow(merged(column_gap, row_gap, apart), schema).withColumns({"clump": F.monotonically_increasing_id(), "batch": batch})
 
 
 def blocks(rows: DataFrame, column_gap: float = 50, row_gap: float = 20) -> DataFrame:
@@ -221,8 +225,22 @@ def blocks(rows: DataFrame, column_gap: float = 50, row_gap: float = 20) -> Data
 
 def lines(words: DataFrame, column_gap: float = 50, row_gap: float = 20) -> DataFrame:
     """page, line (from 0, in reading order), block (likewise), box, text."""
-    held = cut(clumps(words, column_gap, row_gap, apart=False).withColumn("n_lines", F.size("lines")), "lines")
-    found = blocks(held.select("clump", "page", "id", *ENDS, "n_lines"), column_gap, row_gap).repartition("page")
+    if any(isinstance(words.schema[c].dataType, DecimalType) for c in ENDS):
+        return pieced(words, column_gap, row_gap)
+
+    def written(own: DataFrame) -> DataFrame:
+        return cut(clumps(own, column_gap, row_gap, apart=False).withColumn("n_lines", F.size("lines")), "lines")
+
+    held, bare = written(words), ["clump", "page", "id", *ENDS, "n_lines"]
+    own, several = held.select(bare), F.min("batch") < F.max("batch")
+    pieces = cut(held.groupBy("page").agg(several.alias("several")).where("several").select("page"), "pieces")
+    if not pieces.isEmpty():
+        again = written(words.join(pieces, "page", "left_semi").repartition("page").sortWithinPartitions("page"))
+        again = again.withColumn("clump", -1 - F.col("clump"))
+        own = own.join(pieces, "page", "left_anti").unionByName(again.select(bare))
+        # pieces stay among the texts, but get no number
+        held = held.unionByName(again)
+    found = blocks(own, column_gap, row_gap).repartition("page")
     page = Window.partitionBy("page")
     order, alone = page.orderBy("path"), F.count(F.lit(1)).over(Window.partitionBy("page", "path")) == 1
     before = F.sum("n_lines").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_lines")
@@ -234,13 +252,13 @@ def lines(words: DataFrame, column_gap: float = 50, row_gap: float = 20) -> Data
     each = held.select("clump", "page", *(F.col("lines")[c].alias(c) for c in parts)).join(numbers, "clump")
     each = each.select("page", "before", "block", *parts[:-1], F.posexplode("text").alias("at", "text"))
     done = each.select("page", (F.col("before") + F.col("at")).alias("line"), "block", *(F.col(c)[F.col("at")].alias(c) for c in ENDS), F.col("n_words")[F.col("at")].cast("long").alias("n_words"), "text")
-    pieces = places.where(~F.col("whole")).select("page").distinct()
-    return done if pieces.isEmpty() else done.unionByName(pieced(words.join(pieces, "page", "left_semi"), column_gap, row_gap))
+    rest = places.where(~F.col("whole")).select("page").distinct()
+    return done if rest.isEmpty() else done.unionByName(pieced(words.join(rest, "page", "left_semi"), column_gap, row_gap))
 
 
 def pieced(words: DataFrame, column_gap: float, row_gap: float) -> DataFrame:
-    """`lines` of pages in pieces: words of clumps of one block meet."""
-    held = cut(clumps(words, column_gap, row_gap), "clumps")
+    """`lines` of pages of any kind: words of several clumps of a block meet."""
+    held = cut(clumps(words, column_gap, row_gap).drop("batch"), "clumps")
     found = blocks(held.select("clump", "page", "id", *ENDS), column_gap, row_gap)
     alone = F.count(F.lit(1)).over(Window.partitionBy("page", "path")) == 1
     places = found.withColumn("alone", alone).select("page", "clump", F.struct("path", "alone").alias("place"))

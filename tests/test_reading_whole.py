@@ -1,10 +1,11 @@
-"""Pages that come whole keep no ids on disk; pages in pieces are read again."""
+"""Pages that come whole keep no ids on disk; pages in pieces are read again, by page."""
 
 import random
 
 import numpy as np
 import pyarrow as pa
 from lectern.operators import reading
+from pyspark.sql import functions as F
 from tests.test_drivers import plain_lines
 from tests.test_reading_clumps import SCHEMA, found
 
@@ -41,14 +42,14 @@ def test_whole_pages_keep_no_ids(spark, monkeypatch):
     # batches end inside of pages
     lines, tables = written(spark, monkeypatch, frame, 50)
     assert lines == {p: plain_lines(ws) for p, ws in pages.items()}
-    assert set(tables) == {"lines", "blocks", "places"}
+    assert set(tables) == {"lines", "pieces", "blocks", "places"} and tables["pieces"].isEmpty()
     held = tables["lines"]
     assert held.schema["lines"].dataType.elementType.names == [*reading.ENDS, "n_words", "text"]
     assert held.count() == 7 * 3 and tables["places"].where("whole").count() == 7 * 3
 
 
 def test_pages_in_pieces_are_read_again(spark, monkeypatch):
-    """Words of one left edge, from two batches, go by id; other pages stand."""
+    """Words of one left edge, from two batches, go by id; other pages stand, and no ids are kept."""
     rng = random.Random(3)
     pages = columns(4, 5)
     # every box twice, far from its copy; ids of the copies are lower or higher
@@ -57,8 +58,19 @@ def test_pages_in_pieces_are_read_again(spark, monkeypatch):
     pages[1] += copies
     lines, tables = written(spark, monkeypatch, spark.createDataFrame(rows, SCHEMA.format("long")).coalesce(1), 20)
     assert lines == {p: plain_lines(ws) for p, ws in pages.items()}
+    assert {r.page for r in tables["lines"].select("page").distinct().collect()} == {1} and "clumps" not in tables
+
+
+def test_pages_that_no_batch_holds(spark, monkeypatch):
+    n, i = 120_000, F.col("id")
+    # lines of two words
+    words = spark.range(n).select(F.lit(1).cast("long").alias("page"), (n - i).alias("id"), (i % 2 * 70).alias("x0"), (F.floor(i / 2) * 14).alias("y0"), F.concat(F.lit("w"), i).alias("text"))
+    words = words.withColumns({"x1": F.col("x0") + 60, "y1": F.col("y0") + 10})
+    words = words.unionByName(words.where(i > n - 2).withColumn("page", F.lit(2).cast("long"))).coalesce(1)
+    lines, tables = written(spark, monkeypatch, words, 10_000)
+    assert lines == {1: [(0, f"w{k} w{k + 1}") for k in range(0, n, 2)], 2: [(0, "w0 w1")]}
     assert {r.page for r in tables["clumps"].select("page").distinct().collect()} == {1}
-    # boxes without end or number: each word is one by itself, and pages are in pieces where a block has several
+    # boxes without end or number: each word is one by itself
     inf, nan = float("inf"), float("nan")
     odd = [(5, 2, 0.0, 0.0, 9.0, 5.0, "a"), (5, 1, 0.0, 0.0, 9.0, 5.0, "b"), (6, 1, -inf, 0.0, inf, 5.0, "c"), (7, 1, nan, 0.0, 1.0, 5.0, "d"), (8, 1, 0.0, 0.0, 5.0, 5.0, "e")]
     assert found(spark.createDataFrame(odd, SCHEMA.format("double")).coalesce(1)) == {5: [(0, "b a")], 6: [(0, "c")], 7: [(0, "d")], 8: [(0, "e")]}
